@@ -5,21 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, url_filter
+from . import media, sentencepiece_codec, sharding, url_filter
 from .common import table
 
 
+#: Where the public tokenizers' files are; pass another path to the operators themselves.
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
+
+
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.filter_urls(pages, url_filter.page_outcomes(pages, table(spark, sf_dir, "labels"))).drop("bad_lower")
 
 
+def op7_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sequences = media.interleaved(media.text_pages(docs))
+    features = media.described(media.media_table(media.text_payloads(docs)))
+    return media.resolve(sequences, features, "doc_id").where("kind = 'image'").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sharding.document_sizes(table(spark, sf_dir, "documents"))
     placed = sharding.number_slots(sharding.assign_shards(docs, "doc_id", sharding.balanced_tree(24)), "doc_id", ["text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op3_url_reputation": op3_url_reputation, "op8_hash_tree": op8_hash_tree}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op7_interleaved_media": op7_interleaved_media, "op3_url_reputation": op3_url_reputation, "op8_hash_tree": op8_hash_tree}
 
 ORACLE_SQL: dict[str, str] = {}
