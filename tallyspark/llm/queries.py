@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, sentencepiece_codec, sharding, url_filter
+from . import media, mixing, quality, sentencepiece_codec, sharding, url_filter
 from .common import table
 
 
@@ -22,6 +22,14 @@ def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.page_outcomes(pages, table(spark, sf_dir, "labels"))).drop("bad_lower")
 
 
+#: Shares of the expected tokens by domain, at as many expected tokens as there are.
+TARGET_SHARES = {"good": 0.90, "poor": 0.06, "toxic": 0.04}
+
+
+def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGET_SHARES)
+
+
 def op7_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sequences = media.interleaved(media.text_pages(docs))
@@ -35,6 +43,10 @@ def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op7_interleaved_media": op7_interleaved_media, "op3_url_reputation": op3_url_reputation, "op8_hash_tree": op8_hash_tree}
+def op9_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op4_soft_mixing": op4_soft_mixing, "op9_quality_pu": op9_quality_pu, "op1_sentencepiece": op1_sentencepiece, "op7_interleaved_media": op7_interleaved_media, "op3_url_reputation": op3_url_reputation, "op8_hash_tree": op8_hash_tree}
 
 ORACLE_SQL: dict[str, str] = {}
