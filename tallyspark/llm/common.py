@@ -69,3 +69,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
     return x ^ (x >> np.uint64(31))
+
+
+#: Most rows of a side of ids (8 to 40 bytes each) that are sent to all executors; more are joined by shuffling.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(ids: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """ids, with a broadcast hint if they number at most limit (counted unless rows is known)."""
+    n = ids.count() if rows is None else rows
+    return F.broadcast(ids) if n <= limit else ids
