@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, minmax_dedup, mixing, quality, sentencepiece_codec, sharding, url_filter
+from . import embedding_dedup, media, minmax_dedup, mixing, quality, sentencepiece_codec, sharding, url_filter
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_minmax": op10_minmax, "op4_soft_mixing": op4_soft_mixing, "op9_quality_pu": op9_quality_pu, "op1_sentencepiece": op1_sentencepiece, "op7_interleaved_media": op7_interleaved_media, "op3_url_reputation": op3_url_reputation, "op8_hash_tree": op8_hash_tree}
+def op6_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op6_rotation_codes": op6_rotation_codes, "op10_minmax": op10_minmax, "op4_soft_mixing": op4_soft_mixing, "op9_quality_pu": op9_quality_pu, "op1_sentencepiece": op1_sentencepiece, "op7_interleaved_media": op7_interleaved_media, "op3_url_reputation": op3_url_reputation, "op8_hash_tree": op8_hash_tree}
 
 ORACLE_SQL: dict[str, str] = {}
