@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, media, minmax_dedup, mixing, quality, sentencepiece_codec, sharding, url_filter
+from . import embedding_dedup, katz, media, minmax_dedup, mixing, quality, sentencepiece_codec, sharding, url_filter
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGET_SHARES)
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sequences = media.interleaved(media.text_pages(docs))
@@ -55,6 +59,6 @@ def op6_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op6_rotation_codes": op6_rotation_codes, "op10_minmax": op10_minmax, "op4_soft_mixing": op4_soft_mixing, "op9_quality_pu": op9_quality_pu, "op1_sentencepiece": op1_sentencepiece, "op7_interleaved_media": op7_interleaved_media, "op3_url_reputation": op3_url_reputation, "op8_hash_tree": op8_hash_tree}
+QUERIES = {"op5_katz": op5_katz, "op6_rotation_codes": op6_rotation_codes, "op10_minmax": op10_minmax, "op4_soft_mixing": op4_soft_mixing, "op9_quality_pu": op9_quality_pu, "op1_sentencepiece": op1_sentencepiece, "op7_interleaved_media": op7_interleaved_media, "op3_url_reputation": op3_url_reputation, "op8_hash_tree": op8_hash_tree}
 
 ORACLE_SQL: dict[str, str] = {}
