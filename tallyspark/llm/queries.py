@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, katz, media, minmax_dedup, mixing, quality, sentencepiece_codec, sharding, url_filter
+from . import embedding_dedup, katz, media, minmax_dedup, mixing, pii, quality, sentencepiece_codec, sharding, url_filter
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
+
+
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.filter_urls(pages, url_filter.page_outcomes(pages, table(spark, sf_dir, "labels"))).drop("bad_lower")
@@ -59,6 +63,6 @@ def op6_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op5_katz": op5_katz, "op6_rotation_codes": op6_rotation_codes, "op10_minmax": op10_minmax, "op4_soft_mixing": op4_soft_mixing, "op9_quality_pu": op9_quality_pu, "op1_sentencepiece": op1_sentencepiece, "op7_interleaved_media": op7_interleaved_media, "op3_url_reputation": op3_url_reputation, "op8_hash_tree": op8_hash_tree}
+QUERIES = {"op2_surrogates": op2_surrogates, "op5_katz": op5_katz, "op6_rotation_codes": op6_rotation_codes, "op10_minmax": op10_minmax, "op4_soft_mixing": op4_soft_mixing, "op9_quality_pu": op9_quality_pu, "op1_sentencepiece": op1_sentencepiece, "op7_interleaved_media": op7_interleaved_media, "op3_url_reputation": op3_url_reputation, "op8_hash_tree": op8_hash_tree}
 
 ORACLE_SQL: dict[str, str] = {}
