@@ -98,10 +98,12 @@ def with_posteriors(docs: DataFrame, model: SoftmaxModel, column: str = "members
 @dataclass
 class Fit:
     """The multipliers of all steps, scaled to the tokens' unit, and how far totals were from targets after each.
-    keep: documents whose posterior of the first domain is at least this have rates of at least 1 (None: only r >= 0)."""
+    keep: documents whose posterior of the first domain is at least this have rates of at least 1 (None: only r >= 0);
+    most: no rate is above this."""
 
     unit: float
     keep: float | None = None
+    most: float | None = None
     steps: list[list[float]] = field(default_factory=list)
     misses: list[float] = field(default_factory=list)
 
@@ -116,18 +118,22 @@ class Fit:
 
         def step(r: Column, multipliers: Column) -> Column:
             moved = F.aggregate(F.zip_with(a, multipliers, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-            return F.greatest(least, r - moved)
+            r = F.greatest(least, r - moved)
+            return r if self.most is None else F.least(F.lit(self.most), r)
 
         return F.aggregate(history, F.lit(1.0), step)
 
 
-def fit_rates(memberships: DataFrame, shares: dict[str, float], budget: float = 1.0, most_steps: int = 24, tolerance: float = 1e-3, keep: float | None = None) -> Fit:
+def fit_rates(memberships: DataFrame, shares: dict[str, float], budget: float = 1.0, most_steps: int = 24, tolerance: float = 1e-3, keep: float | None = None, most: float | None = None, ceilings: tuple[str, ...] = ()) -> Fit:
     """Fit rates to memberships (n_tokens, p).
 
     shares: the share of all expected tokens that each domain is to have, summing to 1; budget: expected
     tokens as a multiple of those there are. Ends when each domain's total is within tolerance of its
     target, relative to the budget, or after most_steps; keep projects onto rates of at least 1 for documents
-    of the first domain instead of 0, so targets below what they hold are not reached. An empty table or one without tokens: all rates 1.
+    of the first domain instead of 0, so targets below what they hold are not reached; most projects onto rates
+    up to it. With ceilings, the shares of those domains are only upper bounds: the other domains keep what they
+    hold, and a ceiling's domain is brought to its share beside them or stays at what it holds if that is less.
+    An empty table or one without tokens: all rates 1.
     """
     k = len(DOMAINS)
     if abs(sum(shares.get(d, 0.0) for d in DOMAINS) - 1) > 1e-9 or set(shares) - set(DOMAINS):
@@ -138,13 +144,17 @@ def fit_rates(memberships: DataFrame, shares: dict[str, float], budget: float =
     if not row["n"]:
         return Fit(1.0)
     total = float(row["n"])
-    fitted = Fit(unit=total, keep=keep)
+    fitted = Fit(unit=total, keep=keep, most=most)
     gram = np.zeros((k, k))
     for i, j in grams:
         gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] / total**2
     metric = np.linalg.pinv(gram, rcond=1e-10)
     target = np.array([shares.get(d, 0.0) for d in DOMAINS]) * budget
     now = np.array([row[f"t{i}"] for i in range(k)]) / total
+    if ceilings:
+        free = [i for i, d in enumerate(DOMAINS) if d not in ceilings]
+        unit = now[free].sum() / max(sum(shares.get(DOMAINS[i], 0.0) for i in free), 1e-9)
+        target = np.array([now[i] if i in free else min(now[i], shares.get(d, 0.0) * unit) for i, d in enumerate(DOMAINS)])
     for _ in range(most_steps):
         miss = now - target
         fitted.misses.append(float(np.abs(miss).max()))
@@ -165,12 +175,15 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], budget: fl
     return rows.select("doc_id", "n_tokens", *[F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], fitted.rate(F.col("n_tokens"), F.col("p")).alias("rate"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, shares: dict[str, float], budget: float = 1.0, keep: float | None = 0.5, seed: int = 4) -> DataFrame:
-    """Rows of docs, with their columns, each as often as its rate: the whole part, and once more by a keyed draw against the rest."""
+def resample(docs: DataFrame, labels: DataFrame, shares: dict[str, float], budget: float = 1.0, keep: float | None = 0.5, most: float | None = 1.0, ceilings: tuple[str, ...] = DOMAINS[1:], seed: int = 4) -> DataFrame:
+    """Rows of docs, with their columns, each as often as its rate: the whole part, and once more by a keyed draw against the rest.
+
+    By default no row repeats, documents that are likely good stay, and the other domains' shares are upper bounds.
+    """
     names = docs.columns
     model = train_domains(docs, labels)
     rows = stored(with_posteriors(docs.select("doc_id", "text"), model).select("membership.n_tokens", "membership.p"), "memberships")
-    fitted = fit_rates(rows, shares, budget, keep=keep)
+    fitted = fit_rates(rows, shares, budget, keep=keep, most=most, ceilings=ceilings)
     drop_stored(rows)
     marked = with_posteriors(docs, model, "__membership")
     rate = fitted.rate(F.col("__membership.n_tokens"), F.col("__membership.p"))

@@ -134,7 +134,7 @@ def segments(text: Column) -> Column:
 
 def has_entities(text: Column) -> Column:
     safe = F.replace(text, F.lit(MARK), F.lit(ESCAPE))
-    found = F.exists(F.regexp_extract_all(safe, F.lit(f"({_ANY})"), F.lit(0)), lambda s: kind_of(s).isNotNull())
+    found = F.exists(F.regexp_extract_all(safe, F.lit(_ANY), F.lit(0)), lambda s: kind_of(s).isNotNull())
     return F.coalesce(F.when(text.rlike(_QUICK), found), F.lit(False))
 
 
