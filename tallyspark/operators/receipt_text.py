@@ -152,7 +152,7 @@ def repaired_json(answer: Column) -> Column:
     whole = F.from_json(sliced, "provider_name string, provider_tax_id string, total_amount string, tax_amount string, subtotal string, expense_date string", {"mode": "PERMISSIVE"})
 
     def field(name: str) -> Column:
-        salvaged = F.coalesce(_group(bare, rf'"{name}"\s*:\s*"([^"]*)"'), _group(bare, rf'"{name}"\s*:\s*([-\d.,]+)'))
+        salvaged = F.coalesce(_group(bare, rf'"{name}"\s*:\s*"([^"]*)"'), _group(bare, rf'"{name}"\s*:\s*(-?[\d.,]*\d)'))
         value = F.trim(F.coalesce(whole[name], salvaged))
         return F.when(~F.lower(value).isin("null", "none", "n/a", "", "desconocido"), value)
 
