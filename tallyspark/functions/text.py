@@ -175,7 +175,6 @@ def magic_type(content: Column) -> Column:
 
 def is_plain_text(content: Column) -> Column:
     """Valid UTF-8 without NUL bytes whose first 2048 characters hold under 5 % of control characters."""
-    text = F.decode(content, "UTF-8")
-    head = F.substring(text, 1, 2048)
+    head = F.substring(F.make_valid_utf8(content.cast("string")), 1, 2048)
     controls = F.regexp_count(head, F.lit(r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]"))
     return F.coalesce(F.is_valid_utf8(content.cast("string")) & ~F.hex(F.substring(content, 1, 2048)).rlike("^(..)*00") & (F.length(head) > 0) & (controls < 0.05 * F.length(head)), F.lit(False))

@@ -177,6 +177,6 @@ def lines_from_boxes(boxes: DataFrame) -> DataFrame:
             else:
                 rows.append([box.y0, box.y1, [box]])
         texts = [" ".join(b.text for b in sorted(row[2], key=lambda b: b.x0)) for row in rows]
-        return pd.DataFrame({"page_id": page["page_id"].iloc[: len(texts)].tolist(), "line": range(len(texts)), "text": texts})
+        return pd.DataFrame({"page_id": pd.Series(page["page_id"].iloc[: len(texts)].tolist(), dtype="object"), "line": pd.Series(range(len(texts)), dtype="int32"), "text": pd.Series(texts, dtype="object")})
 
     return boxes.groupBy("page_id").applyInPandas(merge, "page_id string, line int, text string")
