@@ -4,10 +4,10 @@ A classifier fitted on a labelled table gives each document posteriors over doma
 tokens count towards domain d by its posterior of d. Nonnegative rates r (expected copies of each
 document) are fitted so that the domains' expected token totals A r match targets T:
     minimise (A r - T)' W (A r - T) / 2 over r >= 0, from r = 1, with W = inverse(A A').
-In that metric the gradient's Lipschitz constant is 1, so projected gradient steps of length 1 are
-r <- max(0, r - A' W (A r - T)). Each step is one distributed sum; a document's rate follows from its
-own row of A and the short list of multipliers W (A r - T) of the steps so far, so no vector of rates
-is ever gathered.
+In that metric the gradient's Lipschitz constant is 1, so accelerated projected gradient steps of length 1
+are r' = max(0, y - A' W (A y - T)), y' = r' + b (r' - r), from y = r = 1. Each step is one distributed sum
+(A y follows from the sums A r); a document's rate follows from its own row of A and the short list of
+multipliers W (A y - T) of the steps so far, so no vector of rates is ever gathered.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ class Fit:
     unit: float
     keep: float | None = None
     most: float | None = None
-    steps: list[list[float]] = field(default_factory=list)
+    steps: list[tuple[list[float], float]] = field(default_factory=list)  # multipliers, and momentum after the step
     misses: list[float] = field(default_factory=list)
 
     def rate(self, n_tokens: Column, p: Column) -> Column:
@@ -112,16 +112,16 @@ class Fit:
         a = F.transform(p, lambda q: q * n_tokens.cast("double") / F.lit(self.unit))
         if not self.steps:
             return F.lit(1.0)
-        history = F.array(*[F.array(*[F.lit(float(v)) for v in step]) for step in self.steps])
-
+        history = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in m]).alias("m"), F.lit(b).alias("b")) for m, b in self.steps])
         least = F.lit(0.0) if self.keep is None else F.when(F.element_at(p, 1) >= self.keep, 1.0).otherwise(0.0)
 
-        def step(r: Column, multipliers: Column) -> Column:
-            moved = F.aggregate(F.zip_with(a, multipliers, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-            r = F.greatest(least, r - moved)
-            return r if self.most is None else F.least(F.lit(self.most), r)
+        def step(state: Column, h: Column) -> Column:
+            moved = F.aggregate(F.zip_with(a, h["m"], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+            r = F.greatest(least, state["y"] - moved)
+            r = r if self.most is None else F.least(F.lit(self.most), r)
+            return F.struct(r.alias("r"), (r + h["b"] * (r - state["r"])).alias("y"))
 
-        return F.aggregate(history, F.lit(1.0), step)
+        return F.aggregate(history, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step, lambda state: state["r"])
 
 
 def fit_rates(memberships: DataFrame, shares: dict[str, float], budget: float = 1.0, most_steps: int = 24, tolerance: float = 1e-3, keep: float | None = None, most: float | None = None, ceilings: tuple[str, ...] = ()) -> Fit:
@@ -155,15 +155,18 @@ def fit_rates(memberships: DataFrame, shares: dict[str, float], budget: float =
         free = [i for i, d in enumerate(DOMAINS) if d not in ceilings]
         unit = now[free].sum() / max(sum(shares.get(DOMAINS[i], 0.0) for i in free), 1e-9)
         target = np.array([now[i] if i in free else min(now[i], shares.get(d, 0.0) * unit) for i, d in enumerate(DOMAINS)])
+    at, t = now, 1.0  # the totals of y, and the momentum's sequence
     for _ in range(most_steps):
-        miss = now - target
-        fitted.misses.append(float(np.abs(miss).max()))
+        fitted.misses.append(float(np.abs(now - target).max()))
         if fitted.misses[-1] <= tolerance * budget:
             break
-        fitted.steps.append((metric @ miss).tolist())
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        momentum = float((t - 1) / after)
+        fitted.steps.append(((metric @ (at - target)).tolist(), momentum))
         rate = fitted.rate(F.col("n_tokens"), F.col("p"))
         sums = memberships.withColumn("__r", rate).agg(*[F.sum(F.col("__r") * n * q).alias(f"t{i}") for i, q in enumerate(p)]).first()
-        now = np.array([sums[f"t{i}"] for i in range(k)]) / total
+        before, now, t = now, np.array([sums[f"t{i}"] for i in range(k)]) / total, after
+        at = now + momentum * (now - before)
     return fitted
 
 

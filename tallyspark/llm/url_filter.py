@@ -1,9 +1,9 @@
 """URL filtering: host rules, then empirical-Bayes reputation of hosts.
 
 Labelled outcomes of pages (bad or not) are counted by host, registered domain and suffix. Each level
-has a beta prior whose mean is the posterior mean of the level above and whose strength is fitted from
-the overdispersion of the level's groups (beta-binomial moments). A host is blocked when the lower
-posterior bound of its bad rate exceeds a threshold. All in DataFrame functions.
+has a beta prior whose mean is the posterior mean of the level above, without its own counts, and whose
+strength is fitted from the overdispersion of the level's groups (beta-binomial moments). A host is
+blocked when the lower posterior bound of its bad rate exceeds a threshold. All in DataFrame functions.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def _strength(groups: DataFrame) -> float:
     if not row["g"] or row["n"] <= row["g"]:
         return 10.0
     rho = (row["s"] - row["g"]) / (row["n"] - row["g"])
-    rho = min(max(rho, 1e-3), 0.99)
+    rho = min(max(rho, 1e-3), 0.5)  # a strength of one page at least: no single page decides
     return (1 - rho) / rho
 
 
@@ -96,16 +96,15 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     """
     hosts = stored(host_counts(outcomes), "hosts")
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
-    above = hosts.select("suffix", "domain").distinct().withColumn("m", F.lit((total["k"] + 0.5) / (total["n"] + 1)))
-    # suffix, then domain: each level is counted by its own name and shrunk to the level above
-    for level in ("suffix", "domain"):
-        sums = hosts.groupBy(level).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        prior = above.groupBy(level).agg(F.first("m").alias("m"))
-        level_rows = sums.join(prior, level)
-        strength = _strength(level_rows)
-        posterior = level_rows.select(level, ((F.col("m") * strength + F.col("k")) / (strength + F.col("n"))).alias("m"))
-        above = above.drop("m").join(posterior, level)
-    rows = hosts.join(above.select("domain", "m"), "domain")
+    domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("dn"), F.sum("k").alias("dk"))
+    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
+    overall = F.lit((total["k"] + 0.5) / (total["n"] + 1))
+    # each level's mean leaves out the counts of the one that it is the prior of, so no page speaks twice
+    strength = _strength(suffixes.select(F.col("sn").alias("n"), F.col("sk").alias("k"), overall.alias("m")))
+    rows = domains.join(suffixes, "suffix").withColumn("m", (overall * strength + F.col("sk") - F.col("dk")) / (strength + F.col("sn") - F.col("dn")))
+    rows = stored(rows.select("domain", "dn", "dk", "m"), "domains")
+    strength = _strength(rows.select(F.col("dn").alias("n"), F.col("dk").alias("k"), "m"))
+    rows = hosts.join(rows, "domain").withColumn("m", (F.col("m") * strength + F.col("dk") - F.col("k")) / (strength + F.col("dn") - F.col("n")))
     strength = _strength(rows)
     a, b = F.col("m") * strength + F.col("k"), (1 - F.col("m")) * strength + F.col("n") - F.col("k")
     mean = a / (a + b)
