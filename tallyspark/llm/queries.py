@@ -63,6 +63,45 @@ def op6_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_surrogates": op2_surrogates, "op5_katz": op5_katz, "op6_rotation_codes": op6_rotation_codes, "op10_minmax": op10_minmax, "op4_soft_mixing": op4_soft_mixing, "op9_quality_pu": op9_quality_pu, "op1_sentencepiece": op1_sentencepiece, "op7_interleaved_media": op7_interleaved_media, "op3_url_reputation": op3_url_reputation, "op8_hash_tree": op8_hash_tree}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece, "op2_surrogates": op2_surrogates, "op3_url_reputation": op3_url_reputation, "op4_soft_mixing": op4_soft_mixing, "op5_katz": op5_katz,
+    "op6_rotation_codes": op6_rotation_codes, "op7_interleaved_media": op7_interleaved_media, "op8_hash_tree": op8_hash_tree, "op9_quality_pu": op9_quality_pu, "op10_minmax": op10_minmax,
+}
+
+#: Components of links (a, b, both ways) among nodes: each node with the smallest id that it reaches.
+_COMPONENTS = """reach(node, root) AS (SELECT node, node FROM nodes UNION SELECT l.b, r.root FROM reach AS r JOIN links AS l ON l.a = r.node),
+component AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)"""
+
+_OP3 = """WITH page AS (SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path, try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS bigint) AS doc_id FROM pages),
+  marked AS (SELECT doc_id, max(cast(quality = 0 OR toxic = 1 AS int)) AS bad FROM labels GROUP BY 1),
+  host AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM page AS p LEFT JOIN marked AS m ON m.doc_id = p.doc_id GROUP BY host),
+  overall AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS m FROM host),
+  domain AS (SELECT domain, min(suffix) AS suffix, sum(n) AS n, sum(k) AS k FROM host GROUP BY 1), suffix AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domain GROUP BY 1),
+  t1 AS (SELECT count(*) AS g, sum(n) AS n, sum(n * power(cast(k AS double) / n - m, 2) / (m * (1 - m))) AS s FROM suffix, overall WHERE n > 0),
+  s1 AS (SELECT CASE WHEN g = 0 OR n <= g THEN 10.0 ELSE (1 - least(greatest((s - g) / (n - g), 0.001), 0.5)) / least(greatest((s - g) / (n - g), 0.001), 0.5) END AS v FROM t1),
+  d2 AS (SELECT d.domain, d.n, d.k, (o.m * s1.v + x.k - d.k) / (s1.v + x.n - d.n) AS m FROM domain AS d JOIN suffix AS x ON x.suffix = d.suffix, overall AS o, s1),
+  t2 AS (SELECT count(*) AS g, sum(n) AS n, sum(n * power(cast(k AS double) / n - m, 2) / (m * (1 - m))) AS s FROM d2 WHERE n > 0),
+  s2 AS (SELECT CASE WHEN g = 0 OR n <= g THEN 10.0 ELSE (1 - least(greatest((s - g) / (n - g), 0.001), 0.5)) / least(greatest((s - g) / (n - g), 0.001), 0.5) END AS v FROM t2),
+  h3 AS (SELECT h.host, h.n, h.k, (d.m * s2.v + d.k - h.k) / (s2.v + d.n - h.n) AS m FROM host AS h JOIN d2 AS d ON d.domain = h.domain, s2),
+  t3 AS (SELECT count(*) AS g, sum(n) AS n, sum(n * power(cast(k AS double) / n - m, 2) / (m * (1 - m))) AS s FROM h3 WHERE n > 0),
+  s3 AS (SELECT CASE WHEN g = 0 OR n <= g THEN 10.0 ELSE (1 - least(greatest((s - g) / (n - g), 0.001), 0.5)) / least(greatest((s - g) / (n - g), 0.001), 0.5) END AS v FROM t3),
+  lower AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bad_lower FROM (SELECT host, m * v + k AS a, (1 - m) * v + n - k AS b FROM h3, s3) AS x)
+SELECT page_id, host, path, rule, coalesce(CASE rule WHEN 'net/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'org/fr/' THEN 'allow' END, CASE WHEN bad_lower > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM (
+  SELECT page_id, p.host, path, bad_lower, CASE WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/' WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (p.host = 'org' OR p.host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' WHEN (p.host = 'net' OR p.host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM page AS p LEFT JOIN lower AS l ON l.host = p.host) AS y"""
+
+_OP6 = f"""WITH RECURSIVE vec AS (SELECT vec_id, cast(embedding AS double[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pair AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vec AS a JOIN vec AS b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+links AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair), nodes AS (SELECT vec_id AS node FROM embeddings), {_COMPONENTS}
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings AS e JOIN component AS c ON c.node = e.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY 1) AS k ON k.a = e.vec_id"""
+
+_OP10 = f"""WITH RECURSIVE word AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM word) AS x),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1), common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingle AS a JOIN shingle AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+pair AS (SELECT a, b FROM common JOIN size AS x ON x.doc_id = a JOIN size AS y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair), nodes AS (SELECT doc_id AS node FROM documents), {_COMPONENTS}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents AS d JOIN component AS c ON c.node = d.doc_id LEFT JOIN size AS s ON s.doc_id = d.doc_id"""
+
+#: Fitted models, token search, keyed hashes of Spark's own and compressed media have no SQL form; they are tested by brute force.
+ORACLE_SQL: dict[str, str] = {"op3_url_reputation": _OP3, "op6_rotation_codes": _OP6, "op10_minmax": _OP10}

@@ -1,0 +1,32 @@
+"""The operators' queries against their SQL, and all of them for their rows and columns."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from tallyspark.llm.queries import ORACLE_SQL, QUERIES
+
+COLUMNS = {
+    "op3_url_reputation": "page_id host path rule verdict", "op5_katz": "doc_id held_out n_tokens n_known train_tokens base_score score", "op6_rotation_codes": "vec_id n_links component_id kept",
+    "op7_interleaved_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op8_hash_tree": "doc_id size text_crc32 law shard slot grown_shard",
+    "op9_quality_pu": "doc_id held_out score predicted", "op10_minmax": "doc_id n_shingles component_id kept",
+}
+TABLE = {"op3_url_reputation": "pages", "op6_rotation_codes": "embeddings"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, sf_dir, name):
+    got = QUERIES[name](spark, sf_dir).toPandas()
+    con = duckdb.connect()
+    for f in glob.glob(f"{sf_dir}/*.parquet"):
+        con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    assert len(got) == con.sql(f"select count(*) from {TABLE.get(name, 'documents')}").fetchall()[0][0]
+    assert set(COLUMNS.get(name, "doc_id").split()) <= set(got.columns)
+    if name in ORACLE_SQL:
+        want = con.sql(ORACLE_SQL[name]).df()
+        key, columns = want.columns[0], list(want.columns)
+        assert sorted(got.columns) == sorted(columns)
+        rows = lambda df: [tuple(None if v is None or v != v else v for v in r) for r in df.sort_values(key)[columns].itertuples(index=False, name=None)]
+        assert rows(got) == rows(want)
