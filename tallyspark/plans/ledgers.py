@@ -204,3 +204,13 @@ def r01(t: Tables):
 @query("R02_failure_bursts", """SELECT key, ts, n FROM (SELECT 'u' || cast(user_id % 40 AS varchar) || '|ip' AS key, cast(1704067200 + event_id * 4 AS double) AS ts, count(*) OVER (PARTITION BY user_id % 40 ORDER BY event_id * 4 RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type <> 'purchase') AS x WHERE n >= 5""")
 def r02(t: Tables):
     return limiter.bursts(_attempts(t))
+
+
+@query("T04_event_history", "SELECT path, action FROM scan_detail WHERE status = 'PROCESADO' ORDER BY action, path LIMIT 60")
+def t04(t: Tables):
+    return queues.page(t.scan_detail.where("status = 'PROCESADO'"), [F.col("action"), F.col("path")], 60).select("path", "action")
+
+
+@query("J16_reconciled_receipts", "SELECT id FROM receipt AS r WHERE EXISTS (SELECT 1 FROM reconciliation AS m WHERE m.receipt_id = r.id AND m.match_status = 'MANUAL')")
+def j16(t: Tables):
+    return t.receipt.join(t.reconciliation.where("match_status = 'MANUAL'").select(F.col("receipt_id").alias("id")), "id", "left_semi").select("id")
