@@ -37,21 +37,27 @@ BYTES_PER_BUCKET, LEAST_BUCKETS = 8 << 20, 64
 #: Counts above this are trusted and not discounted.
 TRUSTED = 5
 FOLDS = 10
-#: Rows of packed arrays. SEQUENCE: a document's words as numbers inside its block; ORDER: the block's words in the order of its requests.
+#: Rows of packed arrays. SEQUENCE: some documents' words as numbers inside their block; ORDER: the block's words in the order of its requests.
 SEQUENCE, ORDER, WORDS, PAIRS, CONTEXTS, MODEL = range(6)
 ROW = T.StructType(
-    [T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())]
+    [T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())]
 )
-_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 END = b" "  # no word holds a blank
 
 
+SEQUENCE_TOKENS = 1 << 17  # about so many in one row
+
+
 def pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+    """Compressed, byte by byte of all items: the high bytes of small numbers are alike."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize)
+    return zstandard.compress(np.ascontiguousarray(planes.T).tobytes(), 1)
 
 
 def unpack(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(raw), kind)
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -169,18 +175,22 @@ def _blocks(docs: DataFrame, buckets: int, held_out: Column) -> DataFrame:
 
     def closed(block: int, numbers: _Numbers, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         trained = np.zeros(len(numbers), np.int64)
-        for *_, held, sequence, _ in rows:
+        for _, held, sequence in rows:
             if not held:
                 trained += np.bincount(sequence, minlength=len(numbers))
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))
         order, out = [], []
         for bucket, part in dealt(hashes, (hashes % np.uint64(buckets)).astype(np.int64)):
             order.append(part)
-            out.append((block, bucket, WORDS, None, None, pack(hashes[part]), pack(trained[part])))
-        out.append((block, -1, ORDER, None, None, pack(np.concatenate(order).astype(np.uint32)), None))
+            out.append((block, bucket, WORDS, pack(hashes[part]), pack(trained[part])))
+        out.append((block, -1, ORDER, pack(np.concatenate(order).astype(np.uint32)), None))
         yield as_rows(out)
-        for at in range(0, len(rows), 512):
-            yield as_rows([(*x[:5], pack(x[5]), None) for x in rows[at : at + 512]])
+        ends = np.cumsum([len(x[2]) for x in rows])
+        for part in np.split(np.arange(len(rows)), np.searchsorted(ends, np.arange(SEQUENCE_TOKENS, ends[-1], SEQUENCE_TOKENS))):
+            if len(part):
+                some = [rows[i] for i in part]
+                about = np.array([[len(x[2]), x[0] or 0, int(x[1]) + 2 * (x[0] is None)] for x in some], np.int64)
+                yield as_rows([(block, -1, SEQUENCE, pack(np.concatenate([x[2] for x in some])), pack(about.T.ravel()))])
 
     def cut(batches):
         context = TaskContext.get()
@@ -190,7 +200,7 @@ def _blocks(docs: DataFrame, buckets: int, held_out: Column) -> DataFrame:
             for doc_id, held, raw in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), batch.column("raw"), strict=True):
                 words = raw.as_py().lower().split()
                 words.append(END)
-                rows.append((block, -1, SEQUENCE, doc_id, held, np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)), None))
+                rows.append((doc_id, held, np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))))
                 tokens += len(words)
                 if tokens >= BLOCK_TOKENS:
                     yield from closed(block, numbers, rows)
@@ -220,8 +230,8 @@ def _answers(requests: DataFrame, table: DataFrame, values: list[tuple[str, np.d
             for column, (_, dtype, missing) in zip(columns, values, strict=True):
                 x = np.full(len(want), missing, dtype)
                 x[hit] = column[at[hit]]
-                got.append(x.tobytes())
-            out.append((block, bucket, kind, None, None, zstandard.compress(b"".join(got), 1), None))
+                got.append(x)
+            out.append((block, bucket, kind, pack(np.concatenate(got)), None))
         return pa.Table.from_batches([as_rows(out)])
 
     return requests.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(answered, ROW)
@@ -234,11 +244,18 @@ def _by_kind(table: pa.Table, kind: int) -> list[dict]:
 
 def _numbered(block: pa.Table, answers: pa.Table) -> list[tuple[int, bool, np.ndarray]]:
     """The block's documents (id, held_out, words by number in the vocabulary; -1: not seen), always in the same order."""
-    rows = [r for r in block.select(["kind", "doc_id", "held_out", "keys"]).to_pylist()]
+    rows = block.select(["kind", "keys", "counts"]).to_pylist()
     order = unpack(next(r["keys"] for r in rows if r["kind"] == ORDER), np.uint32)
     ids = np.empty(len(order), np.int64)
     ids[order] = np.concatenate([unpack(r["keys"], np.int64) for r in _by_kind(answers, WORDS)])
-    return [(r["doc_id"], r["held_out"], ids[unpack(r["keys"], np.uint32)]) for r in rows if r["kind"] == SEQUENCE]
+    out = []
+    for r in rows:
+        if r["kind"] == SEQUENCE:
+            lengths, doc_ids, flags = unpack(r["counts"], np.int64).reshape(3, -1)
+            words = ids[unpack(r["keys"], np.uint32)]
+            for x, doc_id, flag in zip(np.split(words, np.cumsum(lengths)[:-1]), doc_ids.tolist(), flags.tolist(), strict=True):
+                out.append((None if flag & 2 else doc_id, bool(flag & 1), x))
+    return out
 
 
 def _pairs(ids: np.ndarray, size: int) -> np.ndarray:
@@ -322,11 +339,11 @@ def _counted(requests: DataFrame, words: Words) -> DataFrame:
         bucket = rows.column("bucket")[0].as_py()
         out, at = [], 0
         for block, x in zip(rows.column("block").to_pylist(), asked, strict=True):
-            out.append((block, bucket, PAIRS, None, None, pack(total[where[at : at + len(x)]].astype(np.int32)), None))
+            out.append((block, bucket, PAIRS, pack(total[where[at : at + len(x)]].astype(np.int32)), None))
             at += len(x)
         seen = total > 0
         keys, total = keys[seen], total[seen]
-        out.append((None, bucket, MODEL, None, None, pack_sorted(keys), pack(total)))
+        out.append((None, bucket, MODEL, pack_sorted(keys), pack(total)))
         batch = as_rows(out)
         blank = [pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.list_(pa.int64())), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.float64())]
         yield pa.RecordBatch.from_arrays([*batch.columns, *blank], names=COUNTED.names)
@@ -339,7 +356,7 @@ def _counted(requests: DataFrame, words: Words) -> DataFrame:
         p = np.add.reduceat(words.p(words.count(keys % words.size)), first)
         n = len(first)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (TRUSTED + 1)), pa.array(kinds.ravel()))
-        fixed = [pa.nulls(n, pa.int64()), pa.array(np.full(n, bucket, np.int32)), pa.array(np.full(n, CONTEXTS, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+        fixed = [pa.nulls(n, pa.int64()), pa.array(np.full(n, bucket, np.int32)), pa.array(np.full(n, CONTEXTS, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
         yield pa.RecordBatch.from_arrays([*fixed, pa.array(before[first]), lists, pa.array(rest), pa.array(p)], names=COUNTED.names)
 
     def whole(rows: pa.Table) -> pa.Table:
@@ -392,8 +409,8 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
         words = shared.value
         number = block.column("block")[0].as_py()
         keys, counts, buckets, contexts = _asked(_numbered(block, answers), words, plan.buckets, plan.per_bucket)
-        out = [(number, b, PAIRS, None, None, pack_sorted(keys[part]), pack(counts[part].astype(np.int32))) for b, part in dealt(keys, buckets)]
-        out += [(number, b, CONTEXTS, None, None, pack_sorted(contexts[part]), None) for b, part in dealt(contexts, contexts % plan.buckets)]
+        out = [(number, b, PAIRS, pack_sorted(keys[part]), pack(counts[part].astype(np.int32))) for b, part in dealt(keys, buckets)]
+        out += [(number, b, CONTEXTS, pack_sorted(contexts[part]), None) for b, part in dealt(contexts, contexts % plan.buckets)]
         return pa.Table.from_batches([as_rows(out)])
 
     requests = stored(sequences.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(asked, ROW), "requests")
