@@ -39,9 +39,16 @@ SSN = rf"{_BEFORE}(?<!\d-)(?!000|666|9)\d{{3}}-(?!00)\d{{2}}-(?!0000)\d{{4}}{_AF
 CARD = rf"{_BEFORE}(?:\d{{13,19}}|\d{{4}}([ -])\d{{4}}\2\d{{4}}\2\d{{4}}|\d{{4}}([ -])\d{{6}}\3\d{{5}}){_AFTER}"
 IBAN = rf"{_BEFORE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_AFTER}"
 NAME = rf"{_BEFORE}(?:(?:{_TITLES})\.? {_WORD}(?:[ -]{_WORD}){{0,2}}|(?:{_NAMES})(?: {_WORD}){{1,2}}){_AFTER}"
-_ANY = "|".join((EMAIL, IP, PHONE, SSN, CARD, IBAN, NAME))
-#: A text without one of these holds no entity.
-_QUICK = rf"@|\d\.\d|\d\d-\d|\d{{13}}|\d{{4}}[ -]\d|[A-Z]{{2}}\d\d|{_TITLES}|{_NAMES}"
+# All but e-mail addresses begin with one of these; a look at one character passes over nearly every place of a text.
+_HEAD = r"(?=[0-9+(A-ZÀ-ÞА-ЯΑ-Ωг])"
+_NUMBERS = f"(?=[0-9+(])(?:{'|'.join((IP, PHONE, SSN, CARD))})"
+_OTHERS = f"{_HEAD}(?:{_NUMBERS}|(?=[^0-9+(])(?:{IBAN}|{NAME}))"
+_ANY = f"{_OTHERS}|{EMAIL}"
+
+
+def _by_at(text: Column, build) -> Column:
+    """build(pattern) with e-mail addresses only for texts that hold an @."""
+    return F.when(text.contains("@"), build(_ANY)).otherwise(build(_OTHERS))
 
 
 def _digits(s: Column) -> Column:
@@ -127,15 +134,15 @@ def units_of(s: Column, kind: Column) -> Column:
 def segments(text: Column) -> Column:
     """The text cut into structs (s, kind, units); kind and units are null for plain stretches."""
     safe = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "e")), F.lit(MARK), F.lit(ESCAPE + "m"))
-    parts = F.split(F.regexp_replace(safe, f"(?:{_ANY})", f"{MARK}$0{MARK}"), MARK)
+    parts = F.split(_by_at(safe, lambda p: F.regexp_replace(safe, f"(?:{p})", f"{MARK}$0{MARK}")), MARK)
     kinds = F.transform(parts, lambda s, i: F.struct(s.alias("s"), F.when(i % 2 == 1, kind_of(s)).alias("kind")))
     return F.transform(kinds, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), F.when(x["kind"].isNotNull(), units_of(x["s"], x["kind"])).alias("units")))
 
 
 def has_entities(text: Column) -> Column:
     safe = F.replace(text, F.lit(MARK), F.lit(ESCAPE))
-    found = F.exists(F.regexp_extract_all(safe, F.lit(_ANY), F.lit(0)), lambda s: kind_of(s).isNotNull())
-    return F.coalesce(F.when(text.rlike(_QUICK), found), F.lit(False))
+    found = _by_at(text, lambda p: F.regexp_extract_all(safe, F.lit(f"(?:{p})"), F.lit(0)))
+    return F.coalesce(F.exists(found, lambda s: kind_of(s).isNotNull()), F.lit(False))
 
 
 # --- surrogates ---------------------------------------------------------------------------------------
