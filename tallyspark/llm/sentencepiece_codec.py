@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +29,7 @@ SPACE = "▁"
 LITERAL = "\udfff"  # stands for a U+2581 of the text; no valid text holds it
 UNIT = 1024
 UNKNOWN_PENALTY = 10.0
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
 
 
 @dataclass
@@ -40,12 +41,12 @@ class Vocabulary:
     tokens: list[bytes]
     unknown: int
     longest: int = 0
-    prefixes: set[str] = field(default_factory=set)
+    table: dict[str, tuple[int, int] | None] = field(default_factory=dict)  # pieces, and None for what only begins one
     split: re.Pattern | None = None
 
     def __post_init__(self):
         self.longest = max(map(len, self.ids), default=1)
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.table = dict.fromkeys(p[:k] for p in self.ids for k in range(1, len(p))) | self.ids
         chars = {c for p in self.ids for c in p}
         stop = "".join(c for c in "\n\t\r" if c not in chars)
         words = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
@@ -95,7 +96,7 @@ class Encoder:
     def stream(self, s: str) -> list[int]:
         """The ids of the best segmentation of s; of equal ones, that whose last piece is longest."""
         v, n, longest = self.v, len(s), self.v.longest
-        pieces, prefixes = v.ids, v.prefixes
+        pieces, table = v.ids, v.table
         out: list[int] = []
         done = 0
         best = {0: 0}  # scores of the surviving states
@@ -105,10 +106,10 @@ class Encoder:
             at = best.pop(i)
             end, top = i + 1, min(n, i + longest)
             while end <= top:
-                sub = s[i:end]
-                if sub not in prefixes:
+                hit = table.get(s[i:end], 0)
+                if hit == 0:
                     break
-                if hit := pieces.get(sub):
+                if hit:
                     score = at + hit[1]
                     if end not in best or score > best[end]:
                         best[end] = score
@@ -138,8 +139,36 @@ class Encoder:
                     done = meet
         return out
 
+    def short(self, s: str) -> list[int]:
+        """The same for a segment that lies within one window, where nothing can be committed early."""
+        get, unknown = self.v.table.get, self.v.unknown
+        n = len(s)
+        best, start, ids = [-(1 << 60)] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0
+        for i in range(n):
+            at = best[i]
+            for end in range(i + 1, n + 1):
+                hit = get(s[i:end], 0)
+                if hit:
+                    score = at + hit[1]
+                    if score > best[end]:
+                        best[end], start[end], ids[end] = score, i, hit[0]
+                elif hit == 0:
+                    break
+            if at + unknown > best[i + 1] and not get(s[i]):
+                best[i + 1], start[i + 1], ids[i + 1] = at + unknown, i, -1
+        out: list[int] = []
+        while n:
+            if ids[n] >= 0:
+                out.append(ids[n])
+            else:
+                out.extend(reversed(self._unknown(s[start[n]])))
+            n = start[n]
+        out.reverse()
+        return out
+
     def segment(self, s: str) -> bytes:
-        ids = np.array(self.stream(s), dtype=np.int32).tobytes()
+        ids = array("i", self.short(s) if len(s) <= self.v.longest else self.stream(s)).tobytes()
         if len(s) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_ENTRIES:
                 self.cache.clear()
