@@ -4,9 +4,9 @@ A document is the set of its four-word shingles. Under each of 48 permutations b
 maximum are kept, 96 values for 48 hash evaluations; groups of four make 24 bands. Documents with
 equal sets are one class. In each band's bucket every class is paired with the bucket's smallest one;
 pairs that the sizes or the one-bit sketches of the values rule out (five standard deviations below
-0.8) go, the others are confirmed on their full sets. Classes of one bucket that are then still in
-different components are paired with each other in the same way, so no link hides behind the hub.
-Components follow from the confirmed links.
+0.8) go, the others are confirmed on their full sets. Buckets that still hold several components meet
+more hubs, drawn at random; what is then left outside a bucket's most frequent component is paired with
+all of other components, so no link hides behind the hubs. Components follow from the confirmed links.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ PERMUTATIONS, BAND = 48, 4
 SIMILAR_PERCENT = 80
 #: Most differing bits of two sketches of 96 bits: 9.6 are expected at 0.8, with a deviation of 2.9.
 SKETCH_BITS = 24
+#: Members of an open bucket that its others are met with before all that is left is met, and how many of the hubs that a
+#: class meets, those with the most similar sketches, are confirmed.
+HUBS, HUB_TESTS = 8, 4
 BLOCK = 1 << 14
 WORD_CACHE = 300_000
 
@@ -154,27 +157,57 @@ def _component(ids: DataFrame, components: DataFrame | None, column: str, name:
     return ids.join(components.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _settle(pairs: DataFrame, docs: DataFrame, links: DataFrame | None, components: DataFrame | None, first_rounds: int):
-    """Confirm pairs (a, b, bits), likeliest first: in each of the first rounds one for every b and component of a, at last all that still
-    join different components. Pairs inside a component need no test: it is the components that are asked for."""
+def _linked(todo: DataFrame, docs: DataFrame, links: DataFrame | None):
+    """The links with those confirmed among todo (a, b), and their components."""
+    found = confirmed(todo, docs)
+    links = stored(found if links is None else found.unionByName(links), "confirmed")
+    return links, stored(connected_components(links), "components")
+
+
+def _settle(pairs: DataFrame, docs: DataFrame, links: DataFrame | None, components: DataFrame | None, few: int):
+    """Confirm all pairs (a, b, bits) that join different components; where they are more than few, the likeliest of each b and
+    component of a first, as those inside a component need no test: it is the components that are asked for."""
     pairs = stored(pairs, "pairs")
-    for k in range(first_rounds + 1):
+    for first in [True, False] if pairs.count() > few else [False]:
         open_pairs = _component(_component(pairs, components, "a", "ca"), components, "b", "cb").where("ca <> cb")
-        if k < first_rounds:
-            open_pairs = open_pairs.groupBy("b", "ca").agg(F.min_by("a", F.struct("bits", "a")).alias("a"), F.first("cb").alias("cb"))
-        todo = stored(open_pairs.select("a", "b"), "todo")
+        if first:
+            open_pairs = open_pairs.groupBy("b", "ca").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
+        # a pair of two classes that are both asked for is met from either side
+        todo = stored(open_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "todo")
         if todo.isEmpty():
             drop_stored(todo)
             break
-        found = confirmed(todo, docs)
-        new = stored(found if links is None else found.unionByName(links), "confirmed")
-        if k < first_rounds:
-            pairs = stored(pairs.join(todo, ["a", "b"], "left_anti"), "pairs")
-        links = new
-        components = stored(connected_components(links), "components")
+        if first:
+            tested = todo.unionByName(todo.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        links, components = _linked(todo, docs, links)
     return links, components
 
 
+def _likeliest(met: DataFrame, n: int) -> DataFrame:
+    """Of pairs (a, b, bits) the n with the fewest differing bits for each b, each once. A b meets a bounded number of hubs in each of its bands."""
+    best = met.groupBy("b").agg(F.slice(F.sort_array(F.collect_set(F.struct("bits", "a"))), 1, n).alias("best")).select("b", F.explode("best.a").alias("a"))
+    return stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "todo")
+
+
+def _open(members: DataFrame, components: DataFrame | None) -> DataFrame:
+    """The members (bucket, x) of buckets that hold several components, with their component c."""
+    placed = stored(_component(members.select("bucket", "x", F.col("x.rep").alias("rep")), components, "rep", "c").select("bucket", "x", "c"), "placed")
+    several = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
+    return stored(placed.join(several, "bucket", "left_semi"), "open")
+
+
+def _by_hubs(members: DataFrame, docs: DataFrame, links: DataFrame | None, components: DataFrame | None, salt: int):
+    """Meet each class of an open bucket with HUBS members of its bucket, drawn at random; of those
+    in other components those with the most similar sketches are confirmed."""
+    drawn = [F.min_by(F.struct("x", "c"), F.struct(F.xxhash64(F.lit(salt + i), F.col("x.rep")), F.col("x.rep"))).alias(f"h{i}") for i in range(HUBS)]
+    hubs = members.groupBy("bucket").agg(*drawn)
+    met = members.join(hubs, "bucket").select("x", "c", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("h")).select("x", "c", F.col("h.x").alias("y"), F.col("h.c").alias("cy"))
+    met = met.where((F.col("c") != F.col("cy")) & _may_link("x", "y")).select(F.col("x.rep").alias("b"), F.col("y.rep").alias("a"), differing_bits("x", "y").alias("bits"))
+    todo = _likeliest(met, HUB_TESTS)
+    return (links, components) if todo.isEmpty() else _linked(todo, docs, links)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every row of docs (doc_id, text).
 
@@ -191,19 +224,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(members.join(hubs.select("bucket"), "bucket", "left_semi"), "members")
     hubs = members.groupBy("bucket").agg(F.min("x").alias("hub"))
     tested = members.join(hubs, "bucket").where(F.col("x.rep") != F.col("hub.rep"))
-    pairs = tested.where(_may_link("x", "hub")).select(F.col("hub.rep").alias("a"), F.col("x.rep").alias("b"), differing_bits("x", "hub").alias("bits")).distinct()
-    links, components = _settle(pairs, docs, None, None, 1)
+    pairs = tested.where(_may_link("x", "hub")).select(F.col("hub.rep").alias("a"), F.col("x.rep").alias("b"), differing_bits("x", "hub").alias("bits"))
+    todo, links, components = _likeliest(pairs, HUB_TESTS), None, None
+    if not todo.isEmpty():
+        links, components = _linked(todo, docs, None)
+    members = _open(members, components)
+    if not members.isEmpty():
+        links, components = _by_hubs(members, docs, links, components, 0)
+        members = _open(members, components)
     if not members.isEmpty():
-        # classes of one bucket in different components: those outside the hub's component against all others
-        placed = _component(members.withColumn("rep", F.col("x.rep")), components, "rep", "c").select("bucket", "x", "c")
-        home = _component(hubs.withColumn("rep", F.col("hub.rep")), components, "rep", "home").select("bucket", "home")
-        placed = stored(placed.join(home, "bucket"), "placed")
+        # what is left: classes outside their bucket's most frequent component, against all of other components
+        sizes = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
+        home = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("home"))
+        placed = stored(members.join(home, "bucket"), "placed")
         away = placed.where("c <> home").select("bucket", F.col("x").alias("y"), F.col("c").alias("cy"))
-        if not away.isEmpty():
-            rest = placed.join(away, "bucket").where((F.col("c") != F.col("cy")) & _may_link("x", "y"))
-            # of two classes both outside, each pair is met twice: the smaller id leads
-            rest = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), differing_bits("x", "y").alias("bits")).distinct()
-            links, components = _settle(rest, docs, links, components, 2)
+        rest = placed.join(away, "bucket").where((F.col("c") != F.col("cy")) & _may_link("x", "y"))
+        rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), differing_bits("x", "y").alias("bits")).distinct()
+        links, components = _settle(rest, docs, links, components, classes.count())
     return _labelled(signed, classes, components)
 
 
