@@ -43,7 +43,7 @@ def keyed(attempts: DataFrame) -> DataFrame:
 
 
 def blocked_attempts(attempts: DataFrame) -> DataFrame:
-    """Every attempt with whether it met a block and whether it began one; a key's attempts are replayed in time order, in chunks of bounded size."""
+    """Every attempt with whether it met a block and whether it began one; a key's attempts are replayed in time order, in parts cut at long pauses."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ts", "success"])
