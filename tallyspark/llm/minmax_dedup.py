@@ -1,6 +1,6 @@
 """Near-duplicate documents by min-max hashing.
 
-A document is the set of its four-word shingles. Under each of 48 permutations both the minimum and the
+A document is the set of its word shingles: of five words in the pipeline's stage, of four in op 10. Under each of 48 permutations both the minimum and the
 maximum are kept, 96 values for 48 hash evaluations; groups of four make 24 bands. Documents with
 equal sets are one class. In each band's bucket every class is paired with the bucket's smallest one;
 pairs that the sizes or the one-bit sketches of the values rule out (five standard deviations below
@@ -23,7 +23,8 @@ from .components import connected_components
 from .sentencepiece_codec import small_batches
 from .text_features import text_bytes
 
-WORDS = 4
+#: Words of a shingle unless told otherwise; op 10 asks for four.
+WORDS = 5
 PERMUTATIONS, BAND = 48, 4
 SIMILAR_PERCENT = 80
 #: Most differing bits of two sketches of 96 bits: 9.6 are expected at 0.8, with a deviation of 2.9.
@@ -90,7 +91,7 @@ SIGNED = T.StructType(
 )
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n (shingles), k1 and k2 (a 128-bit key of the set), s1 and s2 (its sketch), bands; null bands for an empty set."""
     small_batches(docs.sparkSession)
 
@@ -99,7 +100,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             n, k1, k2, s1, s2, bands = [], [], [], [], [], []
             for x in batch.column("raw"):
-                h = shingles(x.as_py(), hashes)
+                h = shingles(x.as_py(), hashes, words)
                 n.append(len(h))
                 if len(h):
                     b, low, high = bands_and_sketch(signature(h))
@@ -128,7 +129,7 @@ def differing_bits(x: str, y: str) -> Column:
     return F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1"))) + F.bit_count(F.col(f"{x}.s2").bitwiseXOR(F.col(f"{y}.s2")))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Those pairs (a, b) of ids whose texts' full sets are similar enough. Only texts of the pairs are moved, b's by the side of a's."""
     ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw")).join(if_small(ids), "doc_id"), "texts")
@@ -141,8 +142,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for ra, rb in zip(batch.column("ra"), batch.column("rb"), strict=True):
                 ra = ra.as_py()
                 if ra != last:  # rows of one hub follow each other
-                    last, own = ra, shingles(ra, hashes)
-                other = shingles(rb.as_py(), hashes)
+                    last, own = ra, shingles(ra, hashes, words)
+                other = shingles(rb.as_py(), hashes, words)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= SIMILAR_PERCENT * (len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -157,14 +158,14 @@ def _component(ids: DataFrame, components: DataFrame | None, column: str, name:
     return ids.join(components.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _linked(todo: DataFrame, docs: DataFrame, links: DataFrame | None):
+def _linked(todo: DataFrame, docs: DataFrame, links: DataFrame | None, words: int):
     """The links with those confirmed among todo (a, b), and their components."""
-    found = confirmed(todo, docs)
+    found = confirmed(todo, docs, words)
     links = stored(found if links is None else found.unionByName(links), "confirmed")
     return links, stored(connected_components(links), "components")
 
 
-def _settle(pairs: DataFrame, docs: DataFrame, links: DataFrame | None, components: DataFrame | None, few: int):
+def _settle(pairs: DataFrame, docs: DataFrame, links: DataFrame | None, components: DataFrame | None, few: int, words: int):
     """Confirm all pairs (a, b, bits) that join different components; where they are more than few, the likeliest of each b and
     component of a first, as those inside a component need no test: it is the components that are asked for."""
     pairs = stored(pairs, "pairs")
@@ -180,7 +181,7 @@ def _settle(pairs: DataFrame, docs: DataFrame, links: DataFrame | None, componen
         if first:
             tested = todo.unionByName(todo.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links, components = _linked(todo, docs, links)
+        links, components = _linked(todo, docs, links, words)
     return links, components
 
 
@@ -197,7 +198,7 @@ def _open(members: DataFrame, components: DataFrame | None) -> DataFrame:
     return stored(placed.join(several, "bucket", "left_semi"), "open")
 
 
-def _by_hubs(members: DataFrame, docs: DataFrame, links: DataFrame | None, components: DataFrame | None, salt: int):
+def _by_hubs(members: DataFrame, docs: DataFrame, links: DataFrame | None, components: DataFrame | None, salt: int, words: int):
     """Meet each class of an open bucket with HUBS members of its bucket, drawn at random; of those
     in other components those with the most similar sketches are confirmed."""
     drawn = [F.min_by(F.struct("x", "c"), F.struct(F.xxhash64(F.lit(salt + i), F.col("x.rep")), F.col("x.rep"))).alias(f"h{i}") for i in range(HUBS)]
@@ -205,18 +206,18 @@ def _by_hubs(members: DataFrame, docs: DataFrame, links: DataFrame | None, compo
     met = members.join(hubs, "bucket").select("x", "c", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("h")).select("x", "c", F.col("h.x").alias("y"), F.col("h.c").alias("cy"))
     met = met.where((F.col("c") != F.col("cy")) & _may_link("x", "y")).select(F.col("x.rep").alias("b"), F.col("y.rep").alias("a"), differing_bits("x", "y").alias("bits"))
     todo = _likeliest(met, HUB_TESTS)
-    return (links, components) if todo.isEmpty() else _linked(todo, docs, links)
+    return (links, components) if todo.isEmpty() else _linked(todo, docs, links, words)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every row of docs (doc_id, text).
 
-    Documents link where 100 * intersection >= 80 * union of their sets. Null, empty and wordless texts have
+    Documents link where 100 * intersection >= 80 * union of their sets of shingles of so many words. Null, empty and wordless texts have
     no shingles and link with nothing. Rows with a null id link with nothing: component_id null, kept False.
     Rows that repeat an id are one document. Copies count as one class and are never expanded to pairs;
     an empty table gives an empty result.
     """
-    signed = stored(signatures(docs), "signatures")
+    signed = stored(signatures(docs, words), "signatures")
     whole = signed.where("n > 0 and doc_id is not null")
     classes = stored(whole.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands")), "classes")
     members = classes.select(F.explode("bands").alias("bucket"), F.struct("rep", "n", "s1", "s2").alias("x"))
@@ -227,10 +228,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = tested.where(_may_link("x", "hub")).select(F.col("hub.rep").alias("a"), F.col("x.rep").alias("b"), differing_bits("x", "hub").alias("bits"))
     todo, links, components = _likeliest(pairs, HUB_TESTS), None, None
     if not todo.isEmpty():
-        links, components = _linked(todo, docs, None)
+        links, components = _linked(todo, docs, None, words)
     members = _open(members, components)
     if not members.isEmpty():
-        links, components = _by_hubs(members, docs, links, components, 0)
+        links, components = _by_hubs(members, docs, links, components, 0, words)
         members = _open(members, components)
     if not members.isEmpty():
         # what is left: classes outside their bucket's most frequent component, against all of other components
@@ -240,7 +241,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         away = placed.where("c <> home").select("bucket", F.col("x").alias("y"), F.col("c").alias("cy"))
         rest = placed.join(away, "bucket").where((F.col("c") != F.col("cy")) & _may_link("x", "y"))
         rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), differing_bits("x", "y").alias("bits")).distinct()
-        links, components = _settle(rest, docs, links, components, classes.count())
+        links, components = _settle(rest, docs, links, components, classes.count(), words)
     return _labelled(signed, classes, components)
 
 
@@ -251,9 +252,9 @@ def _labelled(signed: DataFrame, classes: DataFrame, components: DataFrame | Non
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The rows of docs, with their columns, that are kept; of rows that repeat an id, one. Rows with a null id stay."""
-    found = stored(near_duplicates(docs), "duplicates")
+    found = stored(near_duplicates(docs, words), "duplicates")
     dropped = found.where("not kept and doc_id is not null").select("doc_id").distinct()
     out = docs.join(if_small(dropped), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
     ids = found.where("kept").groupBy("doc_id").count()

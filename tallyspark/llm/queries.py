@@ -56,7 +56,7 @@ def op9_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
 def op6_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
