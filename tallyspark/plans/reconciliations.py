@@ -13,7 +13,10 @@ MENTIONED = f"(len(list_filter(string_split({NAME.format('provider_name')}, ' ')
 PAIRS = f"""(SELECT r.company_id, r.id AS receipt_id, b.id AS bank_id, r.expense_date, abs(abs(total_amount) - abs(amount)) AS gap, cast(abs(date_diff('day', transaction_date, expense_date)) AS int) AS days, {MENTIONED} AS mentioned,
   CASE WHEN abs(abs(total_amount) - abs(amount)) <= 0.01 THEN 1 ELSE 2 END AS tier FROM receipt AS r JOIN bank AS b ON b.company_id = r.company_id AND (abs(abs(total_amount) - abs(amount)) <= 0.01 OR abs(date_diff('day', transaction_date, expense_date)) <= 3)
   WHERE NOT is_reconciled AND expense_date BETWEEN date '1998-03-01' AND date '1998-04-01' AND transaction_date BETWEEN date '1998-03-01' AND date '1998-04-01')"""
+#: The same without date bounds.
+ALL_PAIRS = PAIRS.replace(" AND expense_date BETWEEN date '1998-03-01' AND date '1998-04-01' AND transaction_date BETWEEN date '1998-03-01' AND date '1998-04-01'", "")
 BEST = f"(SELECT *, row_number() OVER (PARTITION BY receipt_id ORDER BY tier, gap, days, NOT mentioned, bank_id) AS n FROM {PAIRS} AS p)"
+ALL_BEST = BEST.replace(PAIRS, ALL_PAIRS)
 
 
 def _eligible(t: Tables, link: bool = False):
@@ -21,9 +24,14 @@ def _eligible(t: Tables, link: bool = False):
 
 
 def _pairs(t: Tables):
+    """Of one month."""
     return matching.candidates(*_eligible(t))
 
 
+def _all_pairs(t: Tables):
+    return matching.candidates(*matching.eligible(t.receipt, t.bank))
+
+
 @query("J03_M05_eligible_receipts", "SELECT id FROM receipt AS r WHERE expense_date BETWEEN date '1998-03-01' AND date '1998-04-01' AND NOT EXISTS (SELECT 1 FROM reconciliation AS m WHERE m.receipt_id = r.id)")
 def m05(t: Tables):
     return _eligible(t, True)[0].select("id")
@@ -34,6 +42,11 @@ def j04(t: Tables):
     return _pairs(t).select("receipt_id", "bank_id", F.col("gap").cast("decimal(13,2)").alias("gap"), "days", "mentioned", "tier")
 
 
+@query("J04_candidates_all", f"SELECT receipt_id, bank_id, cast(gap AS decimal(13,2)) AS gap, days, mentioned, tier FROM {ALL_PAIRS} AS p")
+def j04_all(t: Tables):
+    return _all_pairs(t).select("receipt_id", "bank_id", F.col("gap").cast("decimal(13,2)").alias("gap"), "days", "mentioned", "tier")
+
+
 @query("M01_pair_distances", "SELECT m.id, cast(abs(abs(total_amount) - abs(amount)) AS decimal(13,2)) AS gap, cast(abs(date_diff('day', transaction_date, expense_date)) AS int) AS days FROM reconciliation AS m JOIN receipt AS r ON r.id = m.receipt_id JOIN bank AS b ON b.id = m.bank_id")
 def m01(t: Tables):
     r, b = t.receipt.select(F.col("id").alias("receipt_id"), "total_amount", "expense_date"), t.bank.select(F.col("id").alias("bank_id"), "amount", "transaction_date")
@@ -46,13 +59,28 @@ def m03(t: Tables):
     return matching.best_candidates(_pairs(t)).withColumn("gap", F.col("gap").cast("decimal(13,2)"))
 
 
+@query("M03_best_candidates_all", f"SELECT receipt_id, bank_id, cast(gap AS decimal(13,2)) AS gap, days, mentioned, CASE WHEN days <= 3 THEN 'PERFECT' ELSE 'MANUAL' END AS match_status FROM {ALL_BEST} AS x WHERE n = 1 AND tier = 1")
+def m03_all(t: Tables):
+    return matching.best_candidates(_all_pairs(t)).withColumn("gap", F.col("gap").cast("decimal(13,2)"))
+
+
 @query("M04_nearest_by_date", f"SELECT receipt_id, bank_id, cast(gap AS decimal(13,2)) AS gap, days FROM {BEST} AS x WHERE n = 1 AND tier = 2")
 def m04(t: Tables):
     return matching.nearest_by_date(_pairs(t)).withColumn("gap", F.col("gap").cast("decimal(13,2)"))
 
 
+@query("M04_nearest_by_date_all", f"SELECT receipt_id, bank_id, cast(gap AS decimal(13,2)) AS gap, days FROM {ALL_BEST} AS x WHERE n = 1 AND tier = 2")
+def m04_all(t: Tables):
+    return matching.nearest_by_date(_all_pairs(t)).withColumn("gap", F.col("gap").cast("decimal(13,2)"))
+
+
 @query("M02_match")
 def m02(t: Tables):
+    return matching.match(_all_pairs(t))
+
+
+@query("M02_match_month")
+def m02_month(t: Tables):
     return matching.match(_pairs(t))
 
 
@@ -66,6 +94,11 @@ def m07(t: Tables):
     return _pairs(t).select("receipt_id", "bank_id", matching.criterion_text(F.col("gap").cast("decimal(13,2)"), F.col("days"), F.col("mentioned")).alias("criterion"))
 
 
+@query("M07_criterion_all", f"SELECT receipt_id, bank_id, CASE WHEN gap = 0 THEN 'monto exacto' ELSE 'monto con $' || cast(cast(gap AS decimal(13,2)) AS varchar) || ' de diferencia' END || ', ' || CASE days WHEN 0 THEN 'misma fecha' WHEN 1 THEN 'con 1 dia de diferencia de fecha' ELSE 'con ' || cast(days AS varchar) || ' dias de diferencia de fecha' END || CASE WHEN mentioned THEN ' y el nombre del proveedor aparece en la descripcion' ELSE '' END AS criterion FROM {ALL_PAIRS} AS p")
+def m07_all(t: Tables):
+    return _all_pairs(t).select("receipt_id", "bank_id", matching.criterion_text(F.col("gap").cast("decimal(13,2)"), F.col("days"), F.col("mentioned")).alias("criterion"))
+
+
 @query("M08_applied_flags", "SELECT b.id, is_reconciled OR m.id IS NOT NULL AS is_reconciled FROM bank AS b LEFT JOIN reconciliation AS m ON m.bank_id = b.id")
 def m08(t: Tables):
     return matching.applied(t.bank, t.reconciliation).select("id", "is_reconciled")
