@@ -59,7 +59,7 @@ def v12(t: Tables):
 
 @query("V14_lines_from_boxes")
 def v14(t: Tables):
-    words = t.conversations.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("page_id"), F.posexplode(F.slice(F.split("text", " "), 1, 60)).alias("i", "text"))
+    words = t.conversations.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("page_id"), F.posexplode(F.split("text", " ")).alias("i", "text"))
     line = F.floor(F.col("i") / 7)
     boxes = words.select("page_id", (F.col("i") % 7 * 10.0).alias("x0"), (F.col("i") % 7 * 10.0 + 9).alias("x1"), (line * 12.0 + F.col("i") % 3).alias("y0"), (line * 12.0 + 10 + F.col("i") % 2).alias("y1"), "text")
     return receipt_text.lines_from_boxes(boxes)
