@@ -309,8 +309,7 @@ def a30(t: Tables):
 
 @query("A31_findings")
 def a31(t: Tables):
-    trend = dashboard.monthly_trend(t.receipt.where("k % 23 < 2 or month(expense_date) = 7"), AS_OF)
-    return findings.texts(findings.findings(trend, change_to_date=12.0))
+    return findings.texts(findings.findings(dashboard.monthly_trend(t.receipt, AS_OF), change_to_date=12.0))
 
 
 @query("W04_outliers", f"""SELECT month, round(cast(amount AS double), 2) AS amount FROM (SELECT *, row_number() OVER (ORDER BY abs(d) DESC, month) AS r FROM (SELECT month, amount, (cast(amount AS double) - md) / md AS d FROM ({TREND}) AS t, (SELECT round(median(cast(amount AS double)), 2) AS md FROM ({TREND}) AS u WHERE month < date '1998-03-01') AS v WHERE month < date '1998-03-01') AS w WHERE abs(d) > 0.5) AS z WHERE r <= 2""")
