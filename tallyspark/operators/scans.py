@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NOISE = r"(^|/)(\.|~\$|Thumbs\.db$|desktop\.ini$)|\.(tmp|part|crdownload)$"
@@ -81,6 +81,11 @@ def event_log(details: DataFrame, actor: str, on) -> DataFrame:
     return details.select("path", "action", F.lit(actor).alias("actor"), F.lit(on).alias("logged_on"))
 
 
+def event_history(events: DataFrame) -> DataFrame:
+    """Every event (path, happened_on, action, seq), numbered within its file from 1 by time and action, ties by seq."""
+    return events.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("happened_on", "action", "seq")))
+
+
 def reset_counts(tables: dict[str, DataFrame], human: dict[str, str]) -> DataFrame:
     """What a reset would delete: rows of each table, and how many of them hold human work (a condition by table)."""
     out = None

@@ -208,7 +208,8 @@ def r02(t: Tables):
 
 @query("T04_event_history", "SELECT path, action FROM scan_detail WHERE status = 'PROCESADO' ORDER BY action, path LIMIT 60")
 def t04(t: Tables):
-    return queues.page(t.scan_detail.where("status = 'PROCESADO'"), [F.col("action"), F.col("path")], 60).select("path", "action")
+    times = t.scan_file.select(F.col("k").alias("seq"), "path", F.col("scanned_on").alias("happened_on"))
+    return scans.event_history(t.scan_detail.where("status = 'PROCESADO'").join(times, ["seq", "path"])).select("path", "n", "happened_on", "action")
 
 
 @query("J16_reconciled_receipts", "SELECT id FROM receipt AS r WHERE EXISTS (SELECT 1 FROM reconciliation AS m WHERE m.receipt_id = r.id AND m.match_status = 'MANUAL')")
