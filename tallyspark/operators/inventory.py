@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import description_key
+from ..sources.scratch import stored
 
 ITEM = "array<struct<description:string,quantity:string,unit_price:string,total:string>>"
 QUANTITY, MONEY, STOCK = "decimal(14,3)", "decimal(12,2)", "decimal(24,3)"
 LONGEST = 300
+#: Movements of one product that are replayed in one go.
+PART = 50_000
 
 
 def signed() -> Column:
@@ -137,16 +142,37 @@ def moved_purchases(actions: DataFrame, purchases: DataFrame) -> tuple[DataFrame
     return after, rows.where("not ok").select("purchase_id", "action", "state")
 
 
-def checked_movements(movements: DataFrame, ledger: DataFrame) -> DataFrame:
+def checked_movements(movements: DataFrame, ledger: DataFrame, part: int = PART) -> DataFrame:
     """Manual movements with `accepted`: receipts only as adjustments, and issues only as far as stock reaches.
 
-    Movements of one product are taken by date and id; a refused one doesn't count for those after it only
-    if it is no issue. An issue is refused where the stock with all earlier movements would not cover it.
+    Movements of one product are replayed by date and id from its stock in the ledger; only accepted ones change
+    it, a refused one writes nothing. A task holds at most `part` movements of a product; its stock goes from part to part.
     """
-    w = Window.partitionBy("product_id").orderBy("moved_on", "id").rowsBetween(Window.unboundedPreceding, 0)
-    allowed = F.col("kind").isin("AJUSTE", "SALIDA") & (F.col("quantity") > 0)
-    rows = movements.join(stock(ledger), "product_id", "left").withColumn("after", F.coalesce("stock", F.lit(0)) + F.sum(F.when(allowed, signed()).otherwise(0)).over(w))
-    return rows.withColumn("accepted", allowed & ((F.col("kind") != "SALIDA") | (F.col("after") >= 0))).drop("stock", "after")
+    names, w = movements.columns, Window.partitionBy("product_id").orderBy("moved_on", "id")
+    rows = movements.withColumn("__part", F.floor((F.row_number().over(w) - 1) / part).cast("int"))
+    rows = stored(rows, "movements")
+    first = rows.agg(F.max("__part")).first()[0]
+    state, done = stock(ledger).select("product_id", F.col("stock").alias("__stock")), None
+    fields = [*movements.schema.fields, T.StructField("__stock", T.DecimalType(24, 3)), T.StructField("__last", T.BooleanType()), T.StructField("accepted", T.BooleanType())]
+
+    def replay(product: pd.DataFrame) -> pd.DataFrame:
+        product = product.sort_values("__row")
+        have, accepted = product["__stock"].iloc[0], []
+        for kind, quantity in zip(product["kind"], product["quantity"], strict=True):
+            ok = quantity is not None and quantity > 0 and (kind == "AJUSTE" or (kind == "SALIDA" and quantity <= have))
+            if ok:
+                have += quantity if kind == "AJUSTE" else -quantity
+            accepted.append(bool(ok))
+        last = [False] * (len(product) - 1) + [True]
+        return product.assign(__stock=have, __last=last, accepted=accepted)[[f.name for f in fields]]
+
+    for k in range((first or 0) + 1):
+        own = rows.where(F.col("__part") == k).drop("__part").withColumn("__row", F.row_number().over(w)).join(state, "product_id", "left")
+        own = own.withColumn("__stock", F.coalesce("__stock", F.lit(0)).cast(STOCK))
+        checked = stored(own.groupBy("product_id").applyInPandas(replay, T.StructType(fields)), "checked")
+        state = checked.where("__last").select("product_id", "__stock")
+        done = checked if done is None else done.unionByName(checked)
+    return done.select(*names, "accepted")
 
 
 def assigned_lines(actions: DataFrame, lines: DataFrame, purchases: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:

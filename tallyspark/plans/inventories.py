@@ -133,7 +133,7 @@ def i05(t: Tables):
 @query("I06_checked_movements", f"""SELECT m.id, m.kind IN ('AJUSTE', 'SALIDA') AND m.quantity > 0 AND (m.kind <> 'SALIDA' OR coalesce(s.stock, 0) + sum(CASE WHEN m.kind = 'SALIDA' THEN -m.quantity WHEN m.kind = 'AJUSTE' THEN m.quantity ELSE 0 END) OVER (PARTITION BY m.product_id ORDER BY m.moved_on, m.id ROWS UNBOUNDED PRECEDING) >= 0) AS accepted
     FROM ledger AS m LEFT JOIN (SELECT product_id, sum({SIGNED}) AS stock FROM ledger WHERE moved_on < date '1996-01-01' GROUP BY 1) AS s ON s.product_id = m.product_id WHERE m.moved_on >= date '1999-01-01'""")
 def i06(t: Tables):
-    return inventory.checked_movements(t.ledger.where("moved_on >= date '1999-01-01'"), t.ledger.where("moved_on < date '1996-01-01'")).select("id", "accepted")
+    return inventory.checked_movements(t.ledger.where("moved_on >= date '1996-01-01'"), t.ledger.where("moved_on < date '1996-01-01'")).select("id", "accepted")
 
 
 @query("I09_assigned_lines", "SELECT l.id, CASE WHEN l.product_id IS NULL AND p.company_id = d.company_id AND p.state IN ('PROCESAR', 'EN_REVISION') THEN d.id ELSE l.product_id END AS product_id FROM purchase_line AS l LEFT JOIN purchase AS p ON p.id = l.purchase_id LEFT JOIN product AS d ON d.id = cast(1 + cast(l.purchase_id AS bigint) % 150 AS varchar)")
