@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.scratch import stored
+
 FAILURES, WINDOW_S, KEEP_S = 5, 60.0, 900
 OUT = "key string, ts double, success boolean, blocked boolean, blocks boolean"
 STATE = "failures array<double>, until double"
+#: Attempts of one key that are replayed in one go.
+PART = 50_000
 
 
 def replay(attempts, failures: list[float], until: float) -> tuple[list[tuple[float, bool, bool, bool]], list[float], float]:
@@ -42,15 +46,39 @@ def keyed(attempts: DataFrame) -> DataFrame:
     return attempts.select(F.concat_ws("|", F.lower(F.trim("email")), "ip").alias("key"), (F.unix_micros("ts") / 1e6).alias("ts"), "success", F.col("ts").alias("at"))
 
 
-def blocked_attempts(attempts: DataFrame) -> DataFrame:
-    """Every attempt with whether it met a block and whether it began one; a key's attempts are replayed in time order, in parts cut at long pauses."""
+def blocked_attempts(attempts: DataFrame, part: int = PART) -> DataFrame:
+    """Every attempt with whether it met a block and whether it began one; a key's attempts are replayed in time order.
+
+    They are cut at long pauses, and then into parts of at most `part` attempts that follow each other: a task
+    holds one part, and the rule's state goes from part to part.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("key", "session").orderBy("ts", "success")
+    rows = sessions(keyed(attempts)).select("key", "session", "ts", "success").withColumn("part", F.floor((F.row_number().over(w) - 1) / part).cast("int"))
+    rows = stored(rows, "attempts")
+    last, state, done = rows.agg(F.max("part")).first()[0], None, None
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ts", "success"])
-        out, *_ = replay(zip(rows["ts"], rows["success"], strict=True), [], 0.0)
-        return pd.DataFrame([(rows["key"].iloc[0], *x) for x in out], columns=["key", "ts", "success", "blocked", "blocks"])
-
-    return sessions(keyed(attempts)).groupBy("key", "session").applyInPandas(one, OUT)
+        first = rows.iloc[0]
+        failures, until = ([], 0.0) if first["failures"] is None else (list(first["failures"]), float(first["until"]))
+        out, failures, until = replay(zip(rows["ts"], rows["success"], strict=True), failures, until)
+        ends = [False] * (len(out) - 1) + [True]
+        return pd.DataFrame([(first["key"], *x, first["session"], end, failures if end else None, until) for x, end in zip(out, ends, strict=True)], columns=names)
+
+    kind = f"{OUT}, session long, last boolean, {STATE}"
+    names = [f.split()[0] for f in kind.split(", ")]
+    for k in range((last or 0) + 1):
+        own = rows.where(F.col("part") == k)
+        if state is None:
+            own = own.withColumns({"failures": F.lit(None).cast("array<double>"), "until": F.lit(None).cast("double")})
+        else:
+            own = own.join(state, ["key", "session"])
+        replayed = stored(own.groupBy("key", "session").applyInPandas(one, kind), "replayed")
+        state = replayed.where("last").select("key", "session", "failures", "until")
+        done = replayed if done is None else done.unionByName(replayed)
+    return done.select("key", "ts", "success", "blocked", "blocks")
 
 
 def sessions(rows: DataFrame) -> DataFrame:
