@@ -29,16 +29,35 @@ MALE_NAMES = ("John", "James", "Robert", "Michael", "William", "David", "Richard
 
 _LETTER, _BEFORE, _AFTER = r"\p{L}\p{N}", r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_WORD = r"\p{Lu}\p{Ll}+"
-_TITLES = "|".join((*FEMALE_TITLES, *MALE_TITLES))
-_NAMES = "|".join((*FEMALE_NAMES, *MALE_NAMES))
+#: A name's word may have inner capitals (McDonald), an apostrophe before one (O'Brien), or be all capitals.
+_WORD, _INITIALS = r"\p{Lu}(?:['’](?=\p{Lu}\p{L})|\p{L})+", r"(?:\p{Lu}\.(?: |(?=\p{Lu})))"
+
+
+def _either_case(words: tuple[str, ...]) -> str:
+    return "|".join(dict.fromkeys((*words, *map(str.upper, words))))
+
+
+_TITLES, _NAMES = _either_case((*FEMALE_TITLES, *MALE_TITLES)), _either_case((*FEMALE_NAMES, *MALE_NAMES))
+#: Lengths of accounts by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account(length: int, countries: str) -> str:
+    groups, left = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{left}}}" if left else "")
+
+
 EMAIL = rf"(?<![{_LETTER}_%+-])[{_LETTER}_%+-]{{1,128}}+(?:\.[{_LETTER}_%+-]{{1,128}}+){{0,20}}@(?:[{_LETTER}](?:[{_LETTER}-]{{0,62}}[{_LETTER}])?\.){{1,8}}\p{{L}}{{2,24}}"
 IP = rf"{_BEFORE}(?<!\d\.)(?:{_OCTET}\.){{3}}{_OCTET}{_AFTER}(?!\.\d)"
 PHONE = rf"(?:(?<![{_LETTER}+])\+1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}|(?<![{_LETTER}+])\+[2-9]\d{{0,2}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}|{_BEFORE}\(\d{{3}}\) ?\d{{3}}-\d{{4}}|{_BEFORE}(?<!\d[-.])\d{{3}}([-.])\d{{3}}\1\d{{4}}){_AFTER}(?![-.]\d)"
 SSN = rf"{_BEFORE}(?<!\d-)(?!000|666|9)\d{{3}}-(?!00)\d{{2}}-(?!0000)\d{{4}}{_AFTER}(?!-\d)"
 CARD = rf"{_BEFORE}(?:\d{{13,19}}|\d{{4}}([ -])\d{{4}}\2\d{{4}}\2\d{{4}}|\d{{4}}([ -])\d{{6}}\3\d{{5}}){_AFTER}"
-IBAN = rf"{_BEFORE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_AFTER}"
-NAME = rf"{_BEFORE}(?:(?:{_TITLES})\.? {_WORD}(?:[ -]{_WORD}){{0,2}}|(?:{_NAMES})(?: {_WORD}){{1,2}}){_AFTER}"
+# a country's own length goes first, so a word behind the account stays outside; any other length as before
+IBAN = rf"{_BEFORE}(?:{'|'.join(_account(n, c) for n, c in _IBAN_LENGTHS.items())}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?){_AFTER}"
+NAME = rf"{_BEFORE}(?:(?:{_TITLES})\.? {_INITIALS}{{0,3}}{_WORD}(?:(?:-| {_INITIALS}{{0,3}}){_WORD}){{0,2}}|(?:{_NAMES}) {_INITIALS}{{0,3}}{_WORD}(?: {_WORD})?){_AFTER}"
 # All but e-mail addresses begin with one of these; a look at one character passes over nearly every place of a text.
 _HEAD = r"(?=[0-9+(A-ZÀ-ÞА-ЯΑ-Ωг])"
 _NUMBERS = f"(?=[0-9+(])(?:{'|'.join((IP, PHONE, SSN, CARD))})"
@@ -103,20 +122,21 @@ def _script(s: Column) -> Column:
 
 
 _TITLE_HEAD = rf"^(?:{_TITLES})\.? "
+_NAME_PART = r"\p{L}+(?:['’]\p{L}+)*"
 
 
 def _name_parts(s: Column) -> Column:
     """The words of a name, without its form of address, in order."""
-    return F.regexp_extract_all(F.regexp_replace(s, _TITLE_HEAD, ""), F.lit(r"(\p{L}+)"))
+    return F.regexp_extract_all(F.regexp_replace(s, _TITLE_HEAD, ""), F.lit(f"({_NAME_PART})"))
 
 
 def _name_units(s: Column) -> Column:
     words = _name_parts(s)
-    female = s.rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})\b|^(?:{'|'.join(FEMALE_NAMES)}) ")
+    female = s.rlike(rf"^(?:{_either_case(FEMALE_TITLES)})\b|^(?:{_either_case(FEMALE_NAMES)}) ")
     gender = F.when(female, "f").otherwise("m")
     # one word after a form of address is a surname; of more, the first is a given name
     first_given = (F.size(words) > 1) | ~s.rlike(_TITLE_HEAD)
-    return F.transform(words, lambda w, i: F.struct(F.concat(F.when(first_given & (i == 0), F.concat(F.lit("given-"), gender)).otherwise("surname"), F.lit("-"), _script(w)).alias("kind"), F.lower(w).alias("canon")))
+    return F.transform(words, lambda w, i: F.struct(F.concat(F.when(first_given & (i == 0), F.concat(F.lit("given-"), gender)).otherwise("surname"), F.lit("-"), _script(w)).alias("kind"), F.lower(F.translate(w, "’", "'")).alias("canon")))
 
 
 def units_of(s: Column, kind: Column) -> Column:
@@ -250,7 +270,8 @@ def _filled(s: Column, body: Column) -> Column:
 def _cased(s: Column, body: Column) -> Column:
     upper = (s == F.upper(s)) & (s != F.lower(s)) & (F.length(s) > 1)
     titled = F.concat(F.upper(F.substring(body, 1, 1)), F.substring(body, F.lit(2), F.length(body)))
-    return F.when(upper, F.upper(body)).when(F.substring(s, 1, 1) == F.lower(F.substring(s, 1, 1)), body).otherwise(titled)
+    initial = F.upper(F.substring(body, 1, 1))
+    return F.when((F.length(s) == 1) & (s == F.upper(s)), initial).when(upper, F.upper(body)).when(F.substring(s, 1, 1) == F.lower(F.substring(s, 1, 1)), body).otherwise(titled)
 
 
 def _unit_key(u: Column) -> Column:
@@ -261,7 +282,7 @@ def _rendered(x: Column, bodies: Column) -> Column:
     """A segment's new text; bodies: unit key -> surrogate."""
     body = bodies[_unit_key(F.element_at(x["units"], 1))]
     title = F.regexp_extract(x["s"], _TITLE_HEAD, 0)
-    words, gaps = _name_parts(x["s"]), F.split(F.regexp_replace(x["s"], _TITLE_HEAD, ""), r"\p{L}+")
+    words, gaps = _name_parts(x["s"]), F.split(F.regexp_replace(x["s"], _TITLE_HEAD, ""), _NAME_PART)
     named = F.array_join(F.transform(words, lambda w, i: F.concat(_cased(w, bodies[_unit_key(x["units"][i])]), gaps[i + 1])), "")
     whole = F.when(x["kind"].isin("phone", "card", "ssn", "iban"), _filled(x["s"], body)).when(x["kind"] == "name", F.concat(title, named))
     upper = (x["s"] == F.upper(x["s"])) & (x["s"] != F.lower(x["s"]))
