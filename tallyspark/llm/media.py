@@ -28,10 +28,16 @@ ITEM = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("
 
 
 class _Reader(HTMLParser):
-    """Collects text runs and media references in reading order. A figcaption captions the references of its figure, else their alt text does."""
+    """Collects text runs and media references in reading order. A figcaption captions the references of its figure, else their alt text does.
 
-    HIDDEN = {"script", "style", "noscript", "template", "head"}
+    End tags that HTML lets authors leave out are not needed: a head ends where something stands that no head holds,
+    a caption with its figure or the next caption, a figure with its section. A caption without references is text.
+    """
+
+    HIDDEN = {"script", "style", "noscript", "template"}
+    OF_HEAD = HIDDEN | {"title", "meta", "link", "base"}
     MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "source"}
+    ENDS_FIGURES = {"article", "section", "main", "body", "html", "aside", "td"}
     BREAKS = {"p", "div", "br", "li", "ul", "ol", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "figure", "nav", "header", "footer", "blockquote", "pre", "body", "title"}
 
     def __init__(self):
@@ -39,48 +45,97 @@ class _Reader(HTMLParser):
         self.items: list[dict] = []
         self.run: list[str] = []
         self.hidden = 0
-        self.figure: list[int] | None = None
+        self.head = self.title = False
+        self.figures: list[tuple[list[int], list[str]]] = []  # of each open figure its references' places in items, and its captions
         self.caption: list[str] | None = None
 
+    def parse_marked_section(self, i, report=1):
+        """Like the comment that browsers take it for; the parser's own reading stops at unknown ones."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
+    def add_text(self, text: str):
+        if text := " ".join(text.split()):
+            self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
+
     def flush(self):
-        text = " ".join("".join(self.run).split())
+        self.add_text("".join(self.run))
         self.run.clear()
-        if text:
-            self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
+
+    def end_caption(self):
+        if self.caption is not None:
+            text, self.caption = " ".join("".join(self.caption).split()), None
+            if self.figures:
+                self.figures[-1][1].append(text)
+            else:
+                self.add_text(text)
+
+    def end_figure(self):
+        self.end_caption()
+        self.flush()
+        places, captions = self.figures.pop()
+        text = " ".join(filter(None, captions))
+        for k in places if captions else ():
+            self.items[k]["caption"] = text
+        if not places:
+            self.add_text(text)
 
     def handle_starttag(self, tag, attrs):
+        if tag == "head":
+            self.head = True
+        elif self.head and tag not in self.OF_HEAD and not self.hidden:
+            self.head = False
+        if tag == "body":
+            self.hidden = 0
         if tag in self.HIDDEN:
             self.hidden += 1
-        if tag in self.BREAKS:
+        self.title = tag == "title" and self.head
+        if tag in self.BREAKS and self.caption is None:
             self.flush()
         if tag == "figure":
-            self.figure = []
+            self.end_caption()
+            self.flush()
+            self.figures.append(([], []))
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
         elif tag in self.MEDIA and not self.hidden:
             found = dict(attrs)
             if found.get("src"):
                 self.flush()
-                if self.figure is not None:
-                    self.figure.append(len(self.items))
+                if self.figures:
+                    self.figures[-1][0].append(len(self.items))
                 self.items.append({"kind": self.MEDIA[tag], "text": None, "ref": found["src"], "caption": found.get("alt")})
+        elif tag in self.BREAKS and self.caption:
+            self.caption.append(" ")
 
     def handle_endtag(self, tag):
+        if tag == "head":
+            self.head = False
+        elif tag == "title":
+            self.title = False
         if tag in self.HIDDEN and self.hidden:
             self.hidden -= 1
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for k in self.figure or ():
-                self.items[k]["caption"] = text
-            self.caption = None
-        elif tag in self.BREAKS:
+        if tag == "figcaption":
+            self.end_caption()
+        elif tag in self.BREAKS and self.caption is None:
             self.flush()
-        if tag == "figure":
-            self.figure = None
+        if tag == "figure" and self.figures:
+            self.end_figure()
+        elif tag in self.ENDS_FIGURES:
+            self.end_all()
+
+    def end_all(self):
+        while self.figures:
+            self.end_figure()
+        self.end_caption()
+        self.flush()
 
     def handle_data(self, data):
-        if not self.hidden:
+        if self.head and not self.title and not self.hidden and data.strip():
+            self.head = False
+        if not self.hidden and not self.head:
             (self.run if self.caption is None else self.caption).append(data)
 
 
@@ -91,7 +146,7 @@ def parse_html(html: str | None) -> list[dict] | None:
     reader = _Reader()
     reader.feed(html)
     reader.close()
-    reader.flush()
+    reader.end_all()
     return [{"position": i} | x for i, x in enumerate(reader.items)]
 
 
@@ -224,10 +279,11 @@ def described(media: DataFrame) -> DataFrame:
 
 
 def text_pages(docs: DataFrame) -> DataFrame:
-    """For each document a page (doc_id, html) that shows the document's text as a figure, captioned with the id."""
+    """For each document a page (doc_id, html) that shows the document's text as a figure, captioned with the id, between two lines of text."""
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return docs.select("doc_id", F.concat(F.lit('<article><figure><img src="media:sha256-'), digest, F.lit('" alt="document"><figcaption>'), name, F.lit("</figcaption></figure></article>")).alias("html"))
+    head, figure = F.concat(F.lit("<article><h1>Document "), name, F.lit("</h1>")), F.concat(F.lit('<figure><img src="media:sha256-'), digest, F.lit('" alt="document"><figcaption>'), name, F.lit("</figcaption></figure>"))
+    return docs.select("doc_id", F.concat(head, figure, F.lit("<p>End of document "), name, F.lit("</p></article>")).alias("html"))
 
 
 def text_payloads(docs: DataFrame) -> DataFrame:

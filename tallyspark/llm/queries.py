@@ -42,7 +42,13 @@ def op7_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sequences = media.interleaved(media.text_pages(docs))
     features = media.described(media.media_table(media.text_payloads(docs)))
-    return media.resolve(sequences, features, "doc_id").where("kind = 'image'").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media.resolve(sequences, features, "doc_id").where("kind = 'image'").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences of the pages table, an item a row."""
+    sequences = media.interleaved(table(spark, sf_dir, "pages"))
+    return sequences.select("page_id", F.explode("items").alias("item")).select("page_id", "item.*")
 
 
 def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +72,7 @@ def op6_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece, "op2_surrogates": op2_surrogates, "op3_url_reputation": op3_url_reputation, "op4_soft_mixing": op4_soft_mixing, "op5_katz": op5_katz,
     "op6_rotation_codes": op6_rotation_codes, "op7_interleaved_media": op7_interleaved_media, "op8_hash_tree": op8_hash_tree, "op9_quality_pu": op9_quality_pu, "op10_minmax": op10_minmax,
+    "interleaved_pages": interleaved_pages,
 }
 
 #: Components of links (a, b, both ways) among nodes: each node with the smallest id that it reaches.
