@@ -37,6 +37,8 @@ BYTES_PER_BUCKET, LEAST_BUCKETS = 8 << 20, 64
 #: Counts above this are trusted and not discounted.
 TRUSTED = 5
 FOLDS = 10
+#: So many distinct words have pairs that a 64-bit key tells apart.
+MOST_WORDS = 3_037_000_000
 #: Rows of packed arrays. SEQUENCE: some documents' words as numbers inside their block; ORDER: the block's words in the order of its requests.
 SEQUENCE, ORDER, WORDS, PAIRS, CONTEXTS, MODEL = range(6)
 ROW = T.StructType(
@@ -339,7 +341,7 @@ def _counted(requests: DataFrame, words: Words) -> DataFrame:
         bucket = rows.column("bucket")[0].as_py()
         out, at = [], 0
         for block, x in zip(rows.column("block").to_pylist(), asked, strict=True):
-            out.append((block, bucket, PAIRS, pack(total[where[at : at + len(x)]].astype(np.int32)), None))
+            out.append((block, bucket, PAIRS, pack(total[where[at : at + len(x)]]), None))
             at += len(x)
         seen = total > 0
         keys, total = keys[seen], total[seen]
@@ -403,6 +405,8 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
     table = stored(_with_ids(table, words), "words")
     ids = stored(_answers(blocks.where(f"kind = {WORDS}"), table, [("id", np.int64, -1)], True), "ids")
     sequences = blocks.where(f"kind in ({SEQUENCE}, {ORDER})")
+    if words.size > MOST_WORDS:
+        raise OverflowError(f"{words.size} distinct words; keys of pairs hold {MOST_WORDS}")
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def asked(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -426,7 +430,7 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
         keys, _, buckets, contexts = _asked(documents, words, plan.buckets, plan.per_bucket)
         totals = np.zeros(len(keys), np.int64)
         if len(keys):
-            totals[np.concatenate([p for _, p in dealt(keys, buckets)])] = np.concatenate([unpack(r["keys"], np.int32) for r in _by_kind(answers, PAIRS)])
+            totals[np.concatenate([p for _, p in dealt(keys, buckets)])] = np.concatenate([unpack(r["keys"], np.int64) for r in _by_kind(answers, PAIRS)])
         below, alpha = np.ones(len(contexts) + 1), np.ones(len(contexts) + 1)  # the last: contexts not seen
         if len(contexts):
             got = [unpack(r["keys"], np.float64) for r in _by_kind(answers, CONTEXTS)]

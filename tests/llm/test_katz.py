@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tallyspark.llm import katz
@@ -94,3 +95,14 @@ def test_discounts():
 def test_model_is_better_than_its_base_on_held_out_texts(spark, sf_dir):
     rows = katz.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_totals_beyond_32_bits(spark):
+    """A pair that three blocks count 2 000 000 000 times each."""
+    words = katz.Words.of([(6_000_000_001, 1), (5, 2)], 3)
+    keys, much = np.array([0, 4], np.int64), 2_000_000_000
+    rows = [(b, 0, katz.PAIRS, katz.pack_sorted(keys), katz.pack(np.array([much, 1], np.int32))) for b in range(3)]
+    counted = katz._counted(spark.createDataFrame(rows, katz.ROW), words).collect()
+    assert [katz.unpack(r["keys"], np.int64).tolist() for r in counted if r["kind"] == katz.PAIRS] == [[3 * much, 3]] * 3
+    assert [katz.unpack(r["counts"], np.int64).tolist() for r in counted if r["kind"] == katz.MODEL] == [[3 * much, 3]]
+    assert {r["h"]: r["rest"] for r in counted if r["kind"] == katz.CONTEXTS} == {0: 3 * much, 1: 0}
