@@ -46,6 +46,14 @@ def drop_stored(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(col: Column | str) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(col, UPPER, LOWER)

@@ -44,7 +44,8 @@ def corpus(seed):
     vocabulary = [f"w{i}" for i in range(3000)]
     rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 120)))) for i in range(60)]
     base = rng.choices(vocabulary, k=150)
-    rows += [(1000 + i, mutated(rng, base, rng.randint(0, 9))) for i in range(80)]
+    # a large group of copies of one text, many of which are alike but link with none
+    rows += [(1000 + i, mutated(rng, base, rng.randint(0, 14))) for i in range(150)]
     rows += [(2000 + i, rows[0][1].upper()) for i in range(30)]
     return rows + [(3000, None), (3001, ""), (3002, " \n\t"), (3003, "One two"), (3004, "one  TWO"), (3005, "É a"), (3006, "é a")]
 
@@ -52,7 +53,7 @@ def corpus(seed):
 @pytest.mark.parametrize("seed", [1])
 def test_equals_brute_force(spark, seed):
     rows = corpus(seed)
-    got = {r.doc_id: r for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
     want = brute(rows)
     assert len(got) == len(want)
     for i, (n, component) in want.items():
@@ -81,3 +82,47 @@ def test_minima_and_maxima_estimate_without_bias():
         a, b = np.sort(x[:200]), np.sort(x[50:])  # 150 of 300 in common
         errors.append((m.signature(a) == m.signature(b)).mean() - 0.5)
     assert abs(np.mean(errors)) < 0.03
+
+
+def test_links_by_departures_are_all_links(spark):
+    """Against all pairs, for sets around one consensus and for such as have none."""
+    rng = random.Random(9)
+    sets = []
+    for home in (1, 2):
+        core = rng.sample(range(10**6), 60)
+        for _ in range(60):
+            own = set(core) if home == 1 else set(rng.sample(core, 40))
+            for _ in range(rng.randint(0, 12)):
+                own.discard(rng.choice(core))
+                own.add(rng.choice(core) + rng.choice([10**7, 10**8 + rng.randrange(10**6)]))
+            sets.append((home, len(sets), sorted(own)))
+    groups = spark.createDataFrame([(h, n, n) for h, n, _ in sets], "home long, node long, c long")
+    table = spark.createDataFrame([(n, len(s), s) for _, n, s in sets], "node long, n long, h array<long>")
+    clusters = m._Clusters()
+    more = m.difference_links(groups, table, clusters)
+    if more is not None and not more.isEmpty():
+        clusters.add(more)
+    got = {r.node: r.c for r in clusters.table.collect()}
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for h, a, x in sets:
+        for k, b, y in sets[:a]:
+            both = len(set(x) & set(y))
+            if h == k and 100 * both >= 80 * (len(x) + len(y) - both):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert {n: got.get(n, n) for _, n, _ in sets} == {n: find(n) for _, n, _ in sets}
+
+
+def test_repeated_ids_lose_no_text(spark):
+    rows = [(5, "a b c d e"), (5, "v w x y z"), (6, "v w x y z"), (7, "a b c d e"), (7, "a b c d e"), (8, "k l m n o"), (8, "k l m n o"), (9, None), (9, " ")]
+    df = spark.createDataFrame([(i, t, k, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, id long, T int")
+    kept = m.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(5, "a b c d e"), (5, "v w x y z"), (8, "k l m n o"), (9, ""), (9, " ")]
+    found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in m.near_duplicates(df).collect())
+    assert found == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (7, 1, 5, False), (8, 1, 8, True), (8, 1, 8, True), (9, 0, 9, True), (9, 0, 9, True)]
