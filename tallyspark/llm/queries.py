@@ -17,8 +17,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret of the surrogates: the session's own, else one for the synthetic tables, which hold nobody's data."""
+    return spark.conf.get("spark.tallyspark.surrogateKey", "key of the synthetic tables")
+
+
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
+    return pii.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark), count="n_replaced")
 
 
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,33 @@ def test_distinct_and_never_an_entity(spark):
 
 
 def test_empty_and_clashing(spark):
-    df = spark.createDataFrame([(1, "m@x.org", "u", "p"), (1, "m@x.org", "u", None)], "doc_id int, text string, k string, parts string")
-    out = pii.with_surrogates(df)
+    df = spark.createDataFrame([(1, "m@x.org", "u", "p", True, 7, "q"), (1, "m@x.org", "u", None, False, 7, "q")], "doc_id int, text string, k string, parts string, has boolean, N int, new string")
+    out = pii.with_surrogates(df, "key")
     assert out.columns == df.columns and len({r.text for r in out.collect()}) == 1 and out.count() == 2
-    assert pii.with_surrogates(df.limit(0)).count() == 0
+    assert sorted((r.k, r.parts or "", r.has, r.N, r.new) for r in out.collect()) == [("u", "", False, 7, "q"), ("u", "p", True, 7, "q")]
+    counted = pii.with_surrogates(df, "key", count="has")
+    assert sorted(counted.columns) == sorted(df.columns) and [r.has for r in counted.collect()] == [1, 1]
+    assert pii.with_surrogates(df.limit(0), "key").count() == 0
+
+
+def test_distinct_across_kinds(spark):
+    rows = [(kind, f"{name}{i}") for kind in ("given-f-latin", "given-m-latin", "given-n-latin", "surname-latin") for i, name in enumerate("abcdefgh")]
+    got = pii.resolve(spark.createDataFrame(rows, "kind string, canon string"), "k").collect()
+    assert len({r.body for r in got}) == len(got) == 32
+
+
+NAMED = [
+    ("Dr. Emily Watson spoke", r"Dr\. [A-Z][a-z]+a [A-Z][a-z]+ spoke", "Watson Emily"), ("Prof. Li Wei spoke", r"Prof\. [A-Z][a-z]+i [A-Z][a-z]+ spoke", "Wei"), ("DR MARY SMITH", r"DR [A-Z]+A [A-Z]+", "MARY SMITH"),
+    ("Prof. Dr. Hans Weber", r"Prof\. Dr\. [A-Z][a-z]+n [A-Z][a-z]+", "Hans Weber"), ("Mrs. de la Cruz left", r"Mrs\. de la [A-Z][a-z]+ left", "Cruz"), ("Fatima Al-Sayed", r"[A-Z][a-z]+a [A-Z][a-z]+-[A-Z][a-z]+", "Fatima Sayed"),
+    ("Dear Ruth Okafor, hello Okafor", r"Dear [A-Z][a-z]+ ([A-Z][a-z]+), hello \1", "Okafor"), ("Dear Sir or Madam", "Dear Sir or Madam", "-"), ("Robert Smith and Smith, a SMITH", r"[A-Z][a-z]+n ([A-Z][a-z]+) and \1, a [A-Z]+", "Smith SMITH"),
+    ("Petra Müller, petra müller", r"([A-Z][a-z]+a) ([A-Z][a-z]+), [a-z]+ [a-z]+", "petra müller"), ("John Baker, a baker", r"[A-Z][a-z]+n [A-Z][a-z]+, a baker", "Baker"), ("call 415 555 2671.", r"call [2-9]\d\d [2-9]\d\d \d{4}\.", "2671"),
+    ("Tel. 030 1234567", r"Tel\. 0\d\d \d{7}", "1234567"), ("at 2001:db8::1 now", r"at [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f] now", "2001"), ("at 12:30:45 a::b::", "at 12:30:45 a::b::", "-"), ("fe80:1:2:3:4:5:6:7", r"[0-9a-f]{4}(:[0-9a-f]){7}", "fe80"),
+]
+
+
+def test_names_by_context(spark):
+    got = run(spark, [c[0] for c in NAMED])
+    for i, (text, pattern, gone) in enumerate(NAMED):
+        assert re.fullmatch(pattern, got[i][0]) and not any(w in got[i][0] for w in gone.split()), (text, got[i])
+    first, rest = got[9][0].split(", ")
+    assert first.lower() == rest
