@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, stored
+from .common import drop_stored, mix64, stored
 from .components import connected_components
 
 SIMILAR = 0.95
@@ -40,7 +40,7 @@ class Plan:
 
     @staticmethod
     def of(vectors: int, similar: float = SIMILAR, recall: float = RECALL) -> "Plan":
-        bits = min(max(math.ceil(math.log2(max(vectors, 2))), 8), 24)
+        bits = max(math.ceil(math.log2(max(vectors, 2))), 8)
         differ = math.acos(similar) / math.pi
         bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
         return Plan(bits, bands, math.ceil(SKETCH * differ + DEVIATIONS * math.sqrt(SKETCH * differ * (1 - differ))))
@@ -163,7 +163,7 @@ def near_duplicates(vectors: DataFrame, column: str = "embedding", similar: floa
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do those of
     different lengths with each other. Equal vectors are one class: they count as links of each other and
-    are never expanded to pairs. Rows that repeat both id and vector count once; rows with a null id link
+    are never expanded to pairs. Rows that repeat an id with other vectors are vectors of their own. Rows that repeat both id and vector count once; rows with a null id link
     with nothing and have a null component. No pair below the threshold links; a pair at it is found with
     the chance given, and surer the more similar it is. An empty table gives an empty result.
     """
@@ -172,7 +172,9 @@ def near_duplicates(vectors: DataFrame, column: str = "embedding", similar: floa
     whole = coded.where("k1 is not null and vec_id is not null")
     sketch = [f"s{i}" for i in range(SKETCH // 64)]
     firsts = [F.min_by(F.struct("unit", "code", "factors", "bands", *sketch), "vec_id").alias("x")]
-    classes = stored(whole.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("size"), *firsts).select("k1", "k2", "rep", "size", "x.*"), "classes")
+    # rep is a class's own number, least the smallest id among its vectors: an id may name several vectors
+    grouped = whole.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("size"), *firsts)
+    classes = stored(grouped.select("k1", "k2", F.monotonically_increasing_id().alias("rep"), "least", "size", "x.*"), "classes")
     members = classes.select(F.explode("bands").alias("bucket"), "rep", *sketch)
     x, y = members.alias("x"), members.alias("y")
     differing = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in sketch), F.lit(0))
@@ -187,8 +189,11 @@ def near_duplicates(vectors: DataFrame, column: str = "embedding", similar: floa
     sizes = classes.select("rep", "size")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     reached = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("others"))
-    found = classes.select("k1", "k2", "rep", "size").join(reached, "rep", "left").join(components, "rep", "left")
-    found = stored(found.select("k1", "k2", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "found")
+    found = classes.select("k1", "k2", "rep", "least", "size").join(reached, "rep", "left").join(components, "rep", "left").withColumn("root", F.coalesce("component", "rep"))
+    found = found.join(found.groupBy("root").agg(F.min("least").alias("smallest")), "root")
+    found = stored(found.select("k1", "k2", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("links"), F.col("smallest").alias("component")), "found")
+    drop_stored(classes)
+    drop_stored(links)
     out = coded.select("vec_id", "k1", "k2").join(found, ["k1", "k2"], "left")
     real = F.col("vec_id").isNotNull()
     component = F.when(real, F.coalesce("component", "vec_id"))

@@ -12,6 +12,7 @@ multipliers W (A y - T) of the steps so far, so no vector of rates is ever gathe
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored, unit_hash
+from .common import drop_stored, fresh, stored, unit_hash
 from .sentencepiece_codec import small_batches
 from .text_features import WORD_BUCKETS, WordBuckets, gathered_words, hashed_words, sampled, text_bytes
 
@@ -124,12 +125,13 @@ class Fit:
         return F.aggregate(history, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step, lambda state: state["r"])
 
 
-def fit_rates(memberships: DataFrame, shares: dict[str, float], budget: float = 1.0, most_steps: int = 24, tolerance: float = 1e-3, keep: float | None = None, most: float | None = None, ceilings: tuple[str, ...] = ()) -> Fit:
+def fit_rates(memberships: DataFrame, shares: dict[str, float], budget: float = 1.0, most_steps: int = 100, patience: int = 16, tolerance: float = 1e-3, keep: float | None = None, most: float | None = None, ceilings: tuple[str, ...] = ()) -> Fit:
     """Fit rates to memberships (n_tokens, p).
 
     shares: the share of all expected tokens that each domain is to have, summing to 1; budget: expected
     tokens as a multiple of those there are. Ends when each domain's total is within tolerance of its
-    target, relative to the budget, or after most_steps; keep projects onto rates of at least 1 for documents
+    target, relative to the budget, which misses[-1] tells; also when patience steps brought the largest miss no nearer,
+    as where the bounds on rates put a target out of reach, or after most_steps, and then warns; keep projects onto rates of at least 1 for documents
     of the first domain instead of 0, so targets below what they hold are not reached; most projects onto rates
     up to it. With ceilings, the shares of those domains are only upper bounds: the other domains keep what they
     hold, and a ceiling's domain is brought to its share beside them or stays at what it holds if that is less.
@@ -160,6 +162,10 @@ def fit_rates(memberships: DataFrame, shares: dict[str, float], budget: float =
         fitted.misses.append(float(np.abs(now - target).max()))
         if fitted.misses[-1] <= tolerance * budget:
             break
+        if len(fitted.misses) > patience and min(fitted.misses[-patience:]) > 0.99 * min(fitted.misses[:-patience]):
+            break
+        if len(fitted.misses) > 1 and fitted.misses[-1] > fitted.misses[-2]:
+            t = 1.0  # the momentum overshot
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         momentum = float((t - 1) / after)
         fitted.steps.append(((metric @ (at - target)).tolist(), momentum))
@@ -167,6 +173,10 @@ def fit_rates(memberships: DataFrame, shares: dict[str, float], budget: float =
         sums = memberships.withColumn("__r", rate).agg(*[F.sum(F.col("__r") * n * q).alias(f"t{i}") for i, q in enumerate(p)]).first()
         before, now, t = now, np.array([sums[f"t{i}"] for i in range(k)]) / total, after
         at = now + momentum * (now - before)
+    else:
+        fitted.misses.append(float(np.abs(now - target).max()))
+    if fitted.misses[-1] > tolerance * budget:
+        warnings.warn(f"the rates miss a target by {fitted.misses[-1]:.4f} of all tokens after {len(fitted.steps)} steps", stacklevel=2)
     return fitted
 
 
@@ -188,9 +198,10 @@ def resample(docs: DataFrame, labels: DataFrame, shares: dict[str, float], budge
     rows = stored(with_posteriors(docs.select("doc_id", "text"), model).select("membership.n_tokens", "membership.p"), "memberships")
     fitted = fit_rates(rows, shares, budget, keep=keep, most=most, ceilings=ceilings)
     drop_stored(rows)
-    marked = with_posteriors(docs, model, "__membership")
-    rate = fitted.rate(F.col("__membership.n_tokens"), F.col("__membership.p"))
+    membership, copies_of, copy = (fresh(docs, c) for c in ("membership", "copies", "copy"))
+    marked = with_posteriors(docs, model, membership)
+    rate = fitted.rate(F.col(f"{membership}.n_tokens"), F.col(f"{membership}.p"))
     draw = unit_hash(F.lit(seed), F.col("doc_id"), F.crc32(text_bytes()))
     copies = (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int")
-    marked = marked.withColumn("__copies", copies).where("__copies > 0")
-    return marked.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[f"`{c}`" for c in names])
+    marked = marked.withColumn(copies_of, copies).where(F.col(copies_of) > 0)
+    return marked.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies_of)))).select(*[f"`{c}`" for c in names])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, fresh
 from .sentencepiece_codec import small_batches
 from .text_features import SHAPE_NAMES, gathered_shapes, sampled, shape_features, text_bytes
 
@@ -123,7 +123,7 @@ def score_documents(docs: DataFrame, model: Model, score: str = "score") -> Data
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of docs. Null ids are held_out False and are scored like others."""
+    """doc_id, held_out, score and predicted of every row of docs. A null id counts as empty text for the hash, so it is held_out, and is scored like others."""
     scored = score_documents(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", (crc_bucket("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -131,5 +131,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with their columns, that score at least threshold."""
     names = docs.columns
-    scored = score_documents(docs, train(docs, labels), "__quality")
-    return scored.where(F.col("__quality") >= threshold).select(*[f"`{c}`" for c in names])
+    quality = fresh(docs, "quality")
+    scored = score_documents(docs, train(docs, labels), quality)
+    return scored.where(F.col(quality) >= threshold).select(*[f"`{c}`" for c in names])

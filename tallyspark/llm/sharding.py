@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import fresh, unit_hash
 
 ROWS_PER_BUCKET = 8192
 
@@ -93,18 +93,21 @@ def number_slots(df: DataFrame, key: str, ties: list[str], shard: str = "shard",
     """Gapless positions 0.. inside each shard, without gathering a shard in one task.
 
     Rows of a shard are dealt into buckets by a hash of the key and numbered there; the counts of
-    earlier buckets are added. The number of buckets follows the number of rows. Rows with equal key
+    earlier buckets are added. Other columns stay, whatever their names; one named like the slot is replaced. The number of buckets follows the number of rows. Rows with equal key
     and ties are interchangeable.
     """
     n = df.count()
     buckets = max(1, -(-n // rows_per_bucket))
     draw = unit_hash(F.lit(77), F.col(key), *[F.col(t) for t in ties])
-    df = df.withColumn("__b", F.floor(draw * buckets).cast("int"))
-    before = df.groupBy(shard, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = F.sum("__n").over(Window.partitionBy(shard).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    before = before.select(shard, "__b", F.coalesce(earlier, F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(shard, "__b").orderBy(draw, key, *ties))
-    return df.withColumn("__r", inside).join(before, [shard, "__b"]).withColumn(slot, (F.col("__before") + F.col("__r") - 1).cast("long")).drop("__b", "__r", "__before")
+    names = [c for c in df.columns if c != slot]
+    bucket, inside, earlier = (fresh(df, c) for c in ("bucket", "inside", "earlier"))
+    df = df.withColumn(bucket, F.floor(draw * buckets).cast("int"))
+    sizes = df.groupBy(shard, bucket).agg(F.count(F.lit(1)).alias(inside))
+    sums = F.sum(inside).over(Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select(shard, bucket, F.coalesce(sums, F.lit(0)).alias(earlier))
+    place = F.row_number().over(Window.partitionBy(shard, bucket).orderBy(draw, key, *ties))
+    numbered = df.withColumn(inside, place).join(before, [shard, bucket])
+    return numbered.select(*[F.col(f"`{c}`") for c in names], (F.col(earlier) + F.col(inside) - 1).cast("long").alias(slot))
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
