@@ -40,7 +40,11 @@ def parse_amount(s: Column, decimal_mark: str = ",", to: str = "decimal(18,4)")
 
 def receipt_number(s: Column) -> Column:
     """of both marks the right-most is the decimal one; one kind of mark alone is decimal if one or two digits follow."""
-    bare = F.regexp_replace(s, r"[^0-9.,]", "")
+    return marked_number(F.regexp_replace(s, r"[^0-9.,]", ""))
+
+
+def marked_number(bare: Column) -> Column:
+    """F02 for texts of nothing but digits, points and commas."""
     comma, dot = F.length(F.substring_index(bare, ",", -1)), F.length(F.substring_index(bare, ".", -1))
     both = bare.contains(",") & bare.contains(".")
     english = F.replace(bare, F.lit(","), F.lit(""))
