@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where all is one process (tests), a folder of our own if that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _own_folder(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tallyspark-")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written under spark.checkpoint.dir (a folder of our own where that is unset, as in tests) and read back:
-    cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df written into the shared folder and read back: cuts lineage, and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Delete a table made by stored() that no later result reads."""
+    spark = df.sparkSession
+    root = shared_folder(spark).removeprefix("file:").lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.removeprefix("file:").lstrip("/").startswith(root):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
