@@ -74,14 +74,25 @@ def m04_all(t: Tables):
     return matching.nearest_by_date(_all_pairs(t)).withColumn("gap", F.col("gap").cast("decimal(13,2)"))
 
 
-@query("M02_match")
+#: The serial rule, receipt after receipt of a company: each takes the first of its wishes that none before it took.
+SERIAL = """SELECT p.receipt_id, p.bank_id, CASE WHEN tier = 2 THEN 'DISCREPANCY' WHEN days <= 3 THEN 'PERFECT' ELSE 'MANUAL' END AS match_status, cast(gap AS decimal(13,2)) AS gap, days, mentioned, CRITERION AS criterion
+FROM (WITH RECURSIVE pair AS MATERIALIZED (SELECT * FROM PAIRS AS q),
+    wish AS MATERIALIZED (SELECT company_id, receipt_id, row_number() OVER (PARTITION BY company_id ORDER BY expense_date, receipt_id) AS k, wishes FROM (SELECT company_id, receipt_id, expense_date, list(bank_id ORDER BY tier, gap, days, NOT mentioned, bank_id) AS wishes FROM pair GROUP BY ALL) AS g),
+    turn AS (SELECT company_id, cast(0 AS bigint) AS k, cast([] AS varchar[]) AS taken, cast(NULL AS varchar) AS receipt_id, cast(NULL AS varchar) AS bank_id FROM (SELECT DISTINCT company_id FROM wish) AS c
+      UNION ALL SELECT company_id, k, CASE WHEN bank_id IS NULL THEN taken ELSE list_append(taken, bank_id) END, receipt_id, bank_id
+      FROM (SELECT w.company_id, w.k, t.taken, w.receipt_id, list_filter(w.wishes, lambda b: NOT list_contains(t.taken, b))[1] AS bank_id FROM turn AS t JOIN wish AS w ON w.company_id = t.company_id AND w.k = t.k + 1) AS n)
+  SELECT pair.* FROM turn JOIN pair ON pair.receipt_id = turn.receipt_id AND pair.bank_id = turn.bank_id) AS p"""
+CRITERION = "CASE WHEN gap = 0 THEN 'monto exacto' ELSE 'monto con $' || cast(cast(gap AS decimal(13,2)) AS varchar) || ' de diferencia' END || ', ' || CASE days WHEN 0 THEN 'misma fecha' WHEN 1 THEN 'con 1 dia de diferencia de fecha' ELSE 'con ' || cast(days AS varchar) || ' dias de diferencia de fecha' END || CASE WHEN mentioned THEN ' y el nombre del proveedor aparece en la descripcion' ELSE '' END"
+
+
+@query("M02_match", SERIAL.replace("CRITERION", CRITERION).replace("PAIRS", ALL_PAIRS))
 def m02(t: Tables):
-    return matching.match(_all_pairs(t))
+    return matching.match(_all_pairs(t)).withColumn("gap", F.col("gap").cast("decimal(13,2)"))
 
 
-@query("M02_match_month")
+@query("M02_match_month", SERIAL.replace("CRITERION", CRITERION).replace("PAIRS", PAIRS))
 def m02_month(t: Tables):
-    return matching.match(_pairs(t))
+    return matching.match(_pairs(t)).withColumn("gap", F.col("gap").cast("decimal(13,2)"))
 
 
 @query("M06_provider_mentioned", f"SELECT b.id, {MENTIONED} AS mentioned FROM bank AS b JOIN receipt AS r ON r.k = b.k")
