@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, stats
 from ..operators import accuracy, close, dashboard, findings, queues
-from ..sources.views import Tables
-from .registry import AS_OF, END, START, query
+from ..sources.views import Tables, prefix
+from .registry import AS_OF, END, ORACLE_SQL, START, query
 
 MARCH = "expense_date >= date '1998-03-01' AND expense_date < date '1998-04-01'"
 KEY = "CASE WHEN coalesce(trim(category), '') = '' THEN 'SIN_CLASIFICAR' ELSE strip_accents(upper(trim(category))) END"
@@ -297,9 +297,24 @@ def a28(t: Tables):
     return close.states(t.receipt, t.reconciliation, t.close, START, END, date(1998, 4, 2))
 
 
-@query("A29_close_report")
+def _section_sql(name: str, company: str) -> str:
+    """A section's SQL for one company's month."""
+    return ORACLE_SQL[name].removeprefix(prefix()).replace(MARCH, company).replace(WINTER, company)
+
+
+#: The report's sections, their SQL and their columns.
+SECTIONS = {
+    "reconciliation": (_section_sql("A23_close_reconciliation", f"{MARCH} AND r.company_id = '7'"), "receipts perfect manual discrepancy discrepancy_amount paid_in_other_period paid_in_other_period_amount unreconciled"),
+    "reading": (_section_sql("A24_close_reading", f"{MARCH} AND company_id = '7'"), "by_system verified open"),
+    "verification": (_section_sql("A25_close_verification", f"{MARCH} AND company_id = '7'"), "sample reviewed pending reviewers last_review"),
+    "pending": (_section_sql("A26_close_pending", f"{MARCH} AND company_id = '7'"), "uncategorised uncategorised_amount undated undated_amount unreconciled discrepancies discrepancies_amount unreconciled_amount has_pending reasons"),
+}
+
+
+@query("A29_close_report", f"SELECT '7' AS company_id, {', '.join(f'{s}.{c} AS {s}_{c}' for s, (_, names) in SECTIONS.items() for c in names.split())} FROM {', '.join(f'({sql}) AS {s}' for s, (sql, _) in SECTIONS.items())} WHERE EXISTS (SELECT 1 FROM receipt WHERE company_id = '7')")
 def a29(t: Tables):
-    return close.report(t.receipt, t.reconciliation, t.bank, t.receipt, "7", START, END)
+    report = close.report(t.receipt, t.reconciliation, t.bank, t.receipt, "7", START, END)
+    return report.select("company_id", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s, (_, names) in SECTIONS.items() for c in names.split()])
 
 
 @query("A30_statistics", f"SELECT count(*) AS months, round(median(x), 2) AS median, round(min(x), 2) AS low, round(max(x), 2) AS high, round(avg(x), 2) AS mean, CASE WHEN count(*) >= 3 AND avg(x) > 0 THEN round(stddev_samp(x) / avg(x), 2) END AS dispersion FROM (SELECT cast(amount AS double) AS x FROM ({TREND}) AS t WHERE amount >= 0) AS y")
@@ -307,7 +322,21 @@ def a30(t: Tables):
     return findings.statistics(dashboard.monthly_trend(t.receipt, AS_OF))
 
 
-@query("A31_findings")
+MONEY_SQL, OFF_SQL = "'$' || format('{:,.0f}', amount)", "format('{:,.0f}', abs(deviation) * 100) || '%' || CASE WHEN deviation > 0 THEN ' por encima' ELSE ' por debajo' END || ' de lo habitual'"
+
+
+@query("A31_findings", f"""SELECT position, kind, month, amount, deviation, CASE kind WHEN 'insufficient_data' THEN 'Hacen falta 4 meses cerrados y hay ' || cast(cast(amount AS int) AS varchar) WHEN 'level' THEN 'alrededor de ' || {MONEY_SQL} || ' al mes'
+    WHEN 'dispersion' THEN 'varia ' || format('{{:,.0f}}', amount * 100) || '% entre meses' ELSE {MONEY_SQL} || ', ' || {OFF_SQL} END AS text FROM (
+  WITH t AS (SELECT month, cast(amount AS double) AS x, month = max(month) OVER () AS now FROM ({TREND}) AS q),
+    s AS (SELECT count(*) AS n, round(median(x), 2) AS md, CASE WHEN count(*) >= 3 AND avg(x) > 0 THEN round(stddev_samp(x) / avg(x), 2) END AS cv FROM t WHERE NOT now AND x >= 0),
+    d AS (SELECT month, x, now, n, CASE WHEN md <> 0 THEN (x - md) / md ELSE 0 END AS dev FROM t, s WHERE n >= 4),
+    o AS (SELECT *, row_number() OVER (ORDER BY abs(dev) DESC, month) AS r FROM d WHERE NOT now AND abs(dev) > 0.5)
+  SELECT cast(0 AS int) AS position, 'insufficient_data' AS kind, cast(NULL AS date) AS month, round(cast(n AS double), 2) AS amount, cast(NULL AS double) AS deviation FROM s WHERE n < 4
+  UNION ALL SELECT 1, 'level', NULL, md, NULL FROM s WHERE n >= 4
+  UNION ALL SELECT cast(1 + r AS int), 'outlier', month, round(x, 2), round(dev, 6) FROM o WHERE r <= 2
+  UNION ALL SELECT 4, CASE WHEN abs(dev) > 0.5 THEN 'month_out_of_range' ELSE 'month_in_range' END, month, round(x, 2), round(dev, 6) FROM d WHERE now
+  UNION ALL SELECT 5, 'unusual_base', month, round(x, 2), round(dev, 6) FROM d WHERE NOT now AND month = (SELECT max(month) FROM d WHERE NOT now) AND abs(dev) > 0.25 AND dev < 0
+  UNION ALL SELECT 6, 'dispersion', NULL, cv, NULL FROM s WHERE n >= 4 AND cv >= 0.35) AS f""")
 def a31(t: Tables):
     return findings.texts(findings.findings(dashboard.monthly_trend(t.receipt, AS_OF), change_to_date=12.0))
 

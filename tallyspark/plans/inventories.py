@@ -130,8 +130,12 @@ def i05(t: Tables):
     return inventory.moved_purchases(actions, t.purchase)[0].select("id", "state")
 
 
-@query("I06_checked_movements", f"""SELECT m.id, m.kind IN ('AJUSTE', 'SALIDA') AND m.quantity > 0 AND (m.kind <> 'SALIDA' OR coalesce(s.stock, 0) + sum(CASE WHEN m.kind = 'SALIDA' THEN -m.quantity WHEN m.kind = 'AJUSTE' THEN m.quantity ELSE 0 END) OVER (PARTITION BY m.product_id ORDER BY m.moved_on, m.id ROWS UNBOUNDED PRECEDING) >= 0) AS accepted
-    FROM ledger AS m LEFT JOIN (SELECT product_id, sum({SIGNED}) AS stock FROM ledger WHERE moved_on < date '1996-01-01' GROUP BY 1) AS s ON s.product_id = m.product_id WHERE m.moved_on >= date '1999-01-01'""")
+@query("I06_checked_movements", f"""SELECT id, accepted FROM (WITH RECURSIVE m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY moved_on, id) AS k FROM ledger WHERE moved_on >= date '1996-01-01'),
+    s AS (SELECT product_id, sum({SIGNED}) AS stock FROM ledger WHERE moved_on < date '1996-01-01' GROUP BY 1),
+    turn AS (SELECT p.product_id, cast(0 AS bigint) AS k, cast(coalesce(stock, 0) AS decimal(24,3)) AS have, cast(NULL AS varchar) AS id, false AS accepted FROM (SELECT DISTINCT product_id FROM m) AS p LEFT JOIN s ON s.product_id = p.product_id
+      UNION ALL SELECT product_id, k, cast(CASE WHEN NOT ok THEN have WHEN kind = 'AJUSTE' THEN have + quantity ELSE have - quantity END AS decimal(24,3)), id, ok
+      FROM (SELECT m.product_id, m.k, t.have, m.id, m.kind, m.quantity, coalesce(m.quantity > 0 AND (m.kind = 'AJUSTE' OR (m.kind = 'SALIDA' AND m.quantity <= t.have)), false) AS ok FROM turn AS t JOIN m ON m.product_id = t.product_id AND m.k = t.k + 1) AS n)
+  SELECT id, accepted FROM turn WHERE k > 0) AS r""")
 def i06(t: Tables):
     return inventory.checked_movements(t.ledger.where("moved_on >= date '1996-01-01'"), t.ledger.where("moved_on < date '1996-01-01'")).select("id", "accepted")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import integrity, queues, scans, transitions
 from ..sources.views import Tables
 from ..streaming import limiter
+from .reconciliations import FAILURES
 from .registry import AS_OF, query
 
 
@@ -145,7 +146,12 @@ def _seq(rows, **columns):
     return rows.select(F.col("k").alias("seq"), "id", *[F.expr(c).alias(n) for n, c in columns.items()])
 
 
-@query("V20_reviewed")
+@query("V20_reviewed", f"""SELECT id, CASE WHEN NOT ok THEN extraction_status WHEN action = 'approve' THEN 'APROBADO' WHEN action = 'reject' THEN 'RECHAZADO' ELSE 'REQUIERE_REVISION' END AS extraction_status, CASE WHEN ok OR action IS NULL THEN provider_name ELSE was END AS provider_name,
+    CASE WHEN ok OR action IS NULL THEN date_provisional ELSE was_provisional END AS date_provisional, CASE WHEN ok AND (moved OR extraction_status <> CASE action WHEN 'approve' THEN 'APROBADO' WHEN 'reject' THEN 'RECHAZADO' ELSE 'REQUIERE_REVISION' END) THEN 'user1' END AS reviewed_by
+  FROM (SELECT *, action IS NOT NULL AND extraction_status IN ('REQUIERE_REVISION', 'PENDIENTE') AND NOT (action = 'approve' AND len({FAILURES}) > 0) AS ok
+    FROM (SELECT id, extraction_status, total_amount, tax_amount, subtotal, excise_amount, provider_tax_id, action, provider_name AS was, date_provisional AS was_provisional, CASE WHEN action IS NOT NULL AND k % 31 = 0 THEN 'Known' ELSE provider_name END AS provider_name,
+        CASE WHEN action IS NOT NULL AND k % 17 = 0 THEN date '1998-03-01' ELSE expense_date END AS expense_date, date_provisional AND NOT (action IS NOT NULL AND k % 17 = 0) AS date_provisional, action IS NOT NULL AND (k % 31 = 0 OR (k % 17 = 0 AND expense_date <> date '1998-03-01')) AS moved
+      FROM (SELECT *, CASE WHEN k % 3 = 1 THEN CASE k % 9 WHEN 1 THEN 'approve' WHEN 4 THEN 'reject' ELSE 'request_info' END END AS action FROM receipt) AS a) AS f) AS g""")
 def v20(t: Tables):
     actions = _seq(t.receipt.where("k % 3 = 1"), action="case k % 9 when 1 then 'approve' when 4 then 'reject' else 'request_info' end", actor="'user1'", total_amount="cast(null as decimal(12,2))", provider_name="case when k % 31 = 0 then 'Known' end", expense_date="case when k % 17 = 0 then date '1998-03-01' end")
     return transitions.review(t.receipt, actions, AS_OF)[0].select("id", "extraction_status", "provider_name", "date_provisional", "reviewed_by")
@@ -206,7 +212,7 @@ def r02(t: Tables):
     return limiter.bursts(_attempts(t))
 
 
-@query("T04_event_history", "SELECT path, action FROM scan_detail WHERE status = 'PROCESADO' ORDER BY action, path LIMIT 60")
+@query("T04_event_history", "SELECT d.path, row_number() OVER (PARTITION BY d.path ORDER BY scanned_on, action, seq) AS n, scanned_on AS happened_on, action FROM scan_detail AS d JOIN scan_file AS f ON f.k = d.seq AND f.path = d.path WHERE d.status = 'PROCESADO'")
 def t04(t: Tables):
     times = t.scan_file.select(F.col("k").alias("seq"), "path", F.col("scanned_on").alias("happened_on"))
     return scans.event_history(t.scan_detail.where("status = 'PROCESADO'").join(times, ["seq", "path"])).select("path", "n", "happened_on", "action")
