@@ -143,21 +143,34 @@ def text_quality(s: Column) -> Column:
     return F.when(F.coalesce(s, F.lit("")) == "", 0).otherwise(F.least(points, F.lit(5)))
 
 
-# Words that mark a provider's name as something else, and small words that don't.
-ADDRESS_WORDS = ("CALLE", "COLONIA", "COL", "AVENIDA", "AV", "CP", "CODIGO", "POSTAL", "CARRETERA", "BLVD", "TEL", "TELEFONO")
-HEADER_WORDS = ("TICKET", "FACTURA", "RECIBO", "NOTA", "VENTA", "FOLIO", "FECHA", "HORA", "CAJA", "TOTAL", "CLIENTE")
-ARTICLES = ("EL", "LA", "LOS", "LAS", "DE", "DEL", "Y")
+# Answers that name nobody, words of headings and of addresses, articles that may open a name, words of one letter, legal forms with points.
+NOBODY = ("UNKNOWN", "ERROR_PARSING", "AI_DISABLED")
+HEADER_WORDS = (
+    "TOTAL", "TOTALES", "SUBTOTAL", "BASE", "IVA", "IEPS", "ISR", "IMPUESTO", "IMPUESTOS", "IMPORTE", "MONTO", "CANTIDAD", "CANT", "ARTICULO", "ARTICULOS", "DESCRIPCION", "PRODUCTO", "PRODUCTOS", "FECHA", "HORA", "FOLIO",
+    "FACTURA", "COMPROBANTE", "RECIBO", "RFC", "CURP", "CAMBIO", "EFECTIVO", "TARJETA", "DEBITO", "CREDITO", "TRANSFERENCIA", "CUENTA", "VENDEDOR", "CAJERO", "CAJERA", "TICKET", "VENTA", "CONSUMIDOR",
+)
+ADDRESS_WORDS = ("CALLE", "AVENIDA", "AVE", "NTE", "COLONIA", "CP", "TEL", "TELEFONO", "DIRECCION", "DOMICILIO")
+ARTICLES = ("LA", "EL", "LOS", "LAS", "DE", "DEL", "UN", "UNA")
+ONE_LETTER_WORDS = ("Y", "O", "E", "U")
+POINTED_FORMS = ("S.A. DE C.V.", "S.A.B. DE C.V.", "S. DE R.L.", "S.R.L.", "S. EN C.", "S.C.", "A.C.")
+
+
+def _pointed_form() -> str:
+    """A pattern of the legal forms, with blanks wherever there is a point."""
+    spelt = (r"\s*".join(r"\." if c == "." else r"\s+" if c == " " else c for c in form.removesuffix(".")) for form in POINTED_FORMS)
+    return rf"(?i)\b(?:{'|'.join(spelt)})\.?"
 
 
 def implausible_name(s: Column) -> Column:
     """A provider's name that looks like an address, a heading or scanning noise."""
-    words = F.filter(F.split(comparable(s), " "), lambda w: w != "")
-    first, rest = F.try_element_at(words, F.lit(1)), F.slice(words, 2, 1000)
+    told = F.trim(F.coalesce(s, F.lit("")))
+    words = F.filter(F.split(comparable(F.regexp_replace(told, _pointed_form(), " ")), " "), lambda w: w != "")
+    first, rest = F.try_element_at(words, F.lit(1)), F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
     solid = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*ARTICLES))
     return (
-        (F.size(words) == 0) | (F.trim(F.coalesce(s, F.lit(""))) == UNKNOWN_PROVIDER) | (F.length(F.array_join(words, "")) < 4)
+        (F.size(words) == 0) | (told == UNKNOWN_PROVIDER) | F.upper(told).isin(*NOBODY) | (F.length(F.array_join(words, "")) < 4)
         | F.exists(words, lambda w: w.isin(*ADDRESS_WORDS)) | F.exists(rest, lambda w: w.rlike(r"^\d+$"))
-        | ((F.length(first) <= 2) & ~first.isin(*ARTICLES) & ~first.rlike(r"^\d+$")) | F.exists(rest, lambda w: (F.length(w) == 1) & (w != "Y"))
+        | ((F.length(first) <= 2) & ~first.isin(*ARTICLES) & ~first.rlike(r"^\d+$")) | F.exists(rest, lambda w: (F.length(w) == 1) & ~w.isin(*ONE_LETTER_WORDS))
         | F.forall(words, lambda w: F.length(w) <= 3) | ((F.size(solid) > 0) & F.forall(solid, lambda w: w.isin(*HEADER_WORDS)))
     )
 

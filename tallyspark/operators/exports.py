@@ -65,5 +65,5 @@ def selected(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """A folder of CSV files with headers; text that a spreadsheet would run is already guarded."""
-    rows.write.option("header", True).mode("overwrite").csv(path)
+    """A folder of CSV files with headers, quotes doubled inside quotes, blanks as they are; text that a spreadsheet would run is already guarded."""
+    rows.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

@@ -101,6 +101,19 @@ def completeness() -> Column:
     )
 
 
+#: Characters from which a PDF's own text is worth reading.
+LEAST_PDF_TEXT = 40
+
+
+def reader(file_type: Column, text: Column, useful: Column) -> Column:
+    """Whose reading of a file counts: rules or ocr where theirs is useful, else the model; pages (as pictures) for a PDF
+    without enough text of its own; unsupported for other files. text: the file's own; useful: what the first reading is."""
+    first = lambda name: F.when(F.coalesce(useful, F.lit(False)), name).otherwise("model")
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    pdf = F.when(F.length(bare) < LEAST_PDF_TEXT, "pages").otherwise(first("rules"))
+    return F.when(file_type == "image", first("ocr")).when(file_type.isin("text", "xml"), first("rules")).when(file_type == "pdf", pdf).otherwise("unsupported")
+
+
 def best_reading(readings: DataFrame, key: str = "id", attempt: str = "attempt") -> DataFrame:
     """Of several readings of a document the most complete; of equal ones the earliest."""
     rest = [c for c in readings.columns if c != key]

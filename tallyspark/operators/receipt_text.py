@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, marked_number, receipt_number
-from ..functions.text import UNKNOWN_PROVIDER
+from ..functions.text import UNKNOWN_PROVIDER, text_quality
 
 # Words of receipts.
 TAX_ID_WORDS = ("rfc", "nit", r"tax\s*id")
@@ -22,6 +22,7 @@ EXPIRY_STEMS = ("vence", "vencimiento", "expira", "caduca", "caducidad", "valide
 RECEIPT_WORDS = ("folio", "nota", "ticket", "comprobante", "caja", "operacion", "transaccion", "corte")
 HEADING_WORDS = ("factura electr[oó]nica", "cfdi", "comprobante", "recibo")
 HEAD_LINES = 15
+GOOD_SCORE = 70
 
 START, END = r"(?<!\w)", r"(?!\w)"
 
@@ -184,6 +185,16 @@ def parsed_receipts(texts: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumns({"tax_amount": tax, "provider_tax_id": tax_id}).drop("__lines", "__found", "__read", "__tax", "__total", "__due", "__tax_id")
 
 
+def reading_scores(texts: DataFrame, text: str = "text") -> DataFrame:
+    """parsed_receipts with score (20 for a total, 10 for a tax id, 40 where subtotal and tax make the total, and the text's
+    points) and good: from GOOD_SCORE on no other reading can be better."""
+    rows = parsed_receipts(texts, text)
+    whole = F.col("total_amount")
+    agrees = F.coalesce((whole > 0) & (F.col("subtotal") + F.col("tax_amount") == whole), F.lit(False))
+    score = F.when(whole > 0, 20).otherwise(0) + F.when(F.col("provider_tax_id").isNotNull(), 10).otherwise(0) + F.when(agrees, 40).otherwise(0) + text_quality(F.col(text))
+    return rows.withColumn("score", score.cast("int")).withColumn("good", F.col("score") >= GOOD_SCORE)
+
+
 def repaired_json(answer: Column) -> Column:
     """A model's answer as a struct: code fences off, the outermost braces, else field by field; null words as nulls."""
     bare = F.regexp_replace(answer, r"(?s)```(?:json)?", "")

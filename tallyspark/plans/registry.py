@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import dashboards, inventories, ledgers, reconciliations, scalars, texts  # noqa: E402, F401
+from . import dashboards, files, inventories, ledgers, reconciliations, scalars, texts  # noqa: E402, F401

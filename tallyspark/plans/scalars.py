@@ -22,9 +22,9 @@ def f02(t: Tables):
     return t.receipt.select("id", money.receipt_number(raw).alias("amount"))
 
 
-@query("F03_comparable", "SELECT doc_id, trim(regexp_replace(upper(replace(strip_accents(substr(text, 1, 200)), 'ß', 'ss')), '[^A-Z0-9]+', ' ', 'g')) AS s FROM documents WHERE lang IN ('en', 'es', 'fr')")
+@query("F03_comparable", "SELECT doc_id, trim(regexp_replace(upper(replace(strip_accents(coalesce(text, '')), 'ß', 'ss')), '[^A-Z0-9]+', ' ', 'g')) AS s FROM documents")
 def f03(t: Tables):
-    return t.documents.where("lang in ('en', 'es', 'fr')").select("doc_id", text.comparable(F.substring("text", 1, 200)).alias("s"))
+    return t.documents.select("doc_id", text.comparable(F.col("text")).alias("s"))
 
 
 @query("F04_category_keys", "SELECT id, CASE WHEN coalesce(trim(category), '') = '' THEN 'SIN_CLASIFICAR' ELSE strip_accents(upper(trim(category))) END AS key FROM receipt")

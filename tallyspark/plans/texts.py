@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import receipt_text
+from ..operators import gate, receipt_text
 from ..sources.views import Tables
 from .registry import query
 
@@ -28,14 +28,28 @@ def v08(t: Tables):
     return t.documents.select("doc_id", text.capped_text(F.col("text")).alias("s"))
 
 
-@query("V09_implausible_names", "SELECT k, k % 7 <> 0 AS implausible FROM receipt")
+#: Names as a scanner gives them, and whether they are implausible.
+NAMES = (
+    ("Supermercado del Norte", False), ("CALLE 5", True), ("", True), ("TICKET DE VENTA", True), ("ab cd", True), ("Unknown Provider", True), ("TIENDA 55", True), ("CANT. TOTAL", True), ("Y ARTICULO TOT", True), ("gt Edson Nte hunera 1235", True),
+    ("PRUNE MIEN FIC 104 Py LEN As", True), ("7 Eleven", False), ("La Comer", False), ("Total Fitness", False), ("Ticketmaster", False), ("OXXO SA DE CV", False), ("OXXO S.A. DE C.V.", False), ("AAA AI", True), ("UN POLE Tag mA ee ki m", True),
+    ("Taqueria La Esquina", False), ("PAPELERIA Y SUMINISTROS CENTRAL SA DE CV", False), ("ai_disabled", True), ("3M", True), ("Domicilio Conocido", True), ("IVA IMPORTE", True), ("El Puerto", False), ("A ~ NERCASTAR", True),
+)
+
+
+def _name(k: str) -> str:
+    return f"CASE {k} % {len(NAMES)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(NAMES)) + " END"
+
+
+@query("V09_implausible_names", f"SELECT k, k % {len(NAMES)} IN ({', '.join(str(i) for i, (_, bad) in enumerate(NAMES) if bad)}) AS implausible FROM receipt")
 def v09(t: Tables):
-    raw = F.expr("CASE k % 7 WHEN 0 THEN 'Supermercado del Norte' WHEN 1 THEN 'CALLE 5' WHEN 2 THEN '' WHEN 3 THEN 'TICKET DE VENTA' WHEN 4 THEN 'ab cd' WHEN 5 THEN 'Unknown Provider' ELSE 'TIENDA 55' END")
-    return t.receipt.select("k", text.implausible_name(raw).alias("implausible"))
+    return t.receipt.select("k", text.implausible_name(F.expr(_name("k"))).alias("implausible"))
+
+
+#: V13's points of the text {0}.
+QUALITY = "cast(CASE WHEN coalesce({0}, '') = '' THEN 0 ELSE least(CASE WHEN len(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}} .,;:-]')) / greatest(length({0}), 1) > 0.75 THEN 2 WHEN len(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}} .,;:-]')) / greatest(length({0}), 1) > 0.6 THEN 1 ELSE 0 END + cast(length({0}) > 200 AS int) + cast(length({0}) > 600 AS int) + least(" + " + ".join(f"cast(contains(lower({{0}}), '{w}') AS int)" for w in ("total", "subtotal", "iva", "importe", "rfc", "fecha", "caja", "cajero")) + ", 2), 5) END AS int)"
 
 
-@query("V13_text_quality", """SELECT doc_id, cast(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE least(CASE WHEN share > 0.75 THEN 2 WHEN share > 0.6 THEN 1 ELSE 0 END + cast(length(text) > 200 AS int) + cast(length(text) > 600 AS int) + least(hits, 2), 5) END AS int) AS points
-    FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[\\p{L}\\p{N} .,;:-]')) / greatest(length(text), 1) AS share, cast(contains(lower(text), 'total') AS int) + cast(contains(lower(text), 'subtotal') AS int) + cast(contains(lower(text), 'iva') AS int) + cast(contains(lower(text), 'importe') AS int) + cast(contains(lower(text), 'rfc') AS int) + cast(contains(lower(text), 'fecha') AS int) + cast(contains(lower(text), 'caja') AS int) + cast(contains(lower(text), 'cajero') AS int) AS hits FROM documents) AS x""")
+@query("V13_text_quality", f"SELECT doc_id, {QUALITY.format('text')} AS points FROM documents")
 def v13(t: Tables):
     return t.documents.select("doc_id", text.text_quality(F.col("text")).alias("points"))
 
@@ -51,6 +65,19 @@ def v07(t: Tables):
     return receipt_text.parsed_receipts(rows).select("id", "provider_name", "provider_tax_id", "subtotal", "tax_amount", "total_amount", "expense_date")
 
 
+@query("V13_reading_scores", f"SELECT id, cast(CASE k % 2 WHEN 0 THEN 70 ELSE 30 END + {QUALITY.format('paper')} AS int) AS score, k % 2 = 0 AS good FROM (SELECT *, CASE k % 2 WHEN 0 THEN {PAPER.replace('{day}', "strftime(expense_date, '%d/%m/%Y')")} ELSE 'RFC ABC010101XY1 TOTAL 5.00' END AS paper FROM receipt WHERE tax_amount > 0) AS r")
+def v13_scores(t: Tables):
+    paper = F.expr(f"CASE k % 2 WHEN 0 THEN {PAPER.replace('{day}', "date_format(expense_date, 'dd/MM/yyyy')")} ELSE 'RFC ABC010101XY1 TOTAL 5.00' END")
+    rows = t.receipt.where("tax_amount > 0").repartition("id").select("id", paper.alias("text"))
+    return receipt_text.reading_scores(rows).select("id", "score", "good")
+
+
+@query("V11_readers", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'ocr' ELSE 'model' END WHEN 1 THEN CASE WHEN length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13))) < 40 THEN 'pages' WHEN doc_id % 2 = 0 THEN 'rules' ELSE 'model' END WHEN 4 THEN 'unsupported' ELSE CASE WHEN doc_id % 2 = 0 THEN 'rules' ELSE 'model' END END AS reader FROM documents""")
+def v11(t: Tables):
+    kind = F.expr("CASE doc_id % 5 WHEN 0 THEN 'image' WHEN 1 THEN 'pdf' WHEN 2 THEN 'text' WHEN 3 THEN 'xml' ELSE 'zip' END")
+    return t.documents.select("doc_id", gate.reader(kind, F.col("text"), F.col("doc_id") % 2 == 0).alias("reader"))
+
+
 @query("V12_repaired_json", "SELECT id, provider_name, CASE WHEN k % 3 = 1 THEN NULL ELSE total_amount END AS total_amount FROM receipt")
 def v12(t: Tables):
     answer = F.expr("CASE k % 3 WHEN 0 THEN '```json\n{\"provider_name\": \"' || provider_name || '\", \"total_amount\": \"' || cast(total_amount AS string) || '\"}\n```' WHEN 1 THEN 'Here: {\"provider_name\": \"' || provider_name || '\", \"total_amount\": null}' ELSE '{\"provider_name\": \"' || provider_name || '\", \"total_amount\": ' || cast(total_amount AS string) || ', \"cut' END")

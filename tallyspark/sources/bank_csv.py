@@ -82,7 +82,7 @@ def read_statement(spark: SparkSession, path: str, named: dict[str, str] | None
     if separator is None:
         first = spark.read.option("encoding", java).text(path).limit(1).collect()
         separator = detect_separator(first[0][0].lstrip("﻿")) if first else ","
-    raw = spark.read.csv(path, header=True, sep=separator, encoding=java, inferSchema=False, mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    raw = spark.read.csv(path, header=True, sep=separator, encoding=java, inferSchema=False, mode="FAILFAST", multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     if not raw.columns:
         raise UnreadableStatement("an empty file")
     raw = raw.withColumnsRenamed({c: c.lstrip("﻿") for c in raw.columns})
