@@ -22,6 +22,12 @@ def surrogate_key(spark: SparkSession) -> str:
     return spark.conf.get("spark.tallyspark.surrogateKey", "key of the synthetic tables")
 
 
+def decoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts back from the ids of op 1."""
+    encoded = op1_sentencepiece(spark, sf_dir).select("doc_id", "ids")
+    return sentencepiece_codec.decode_documents(encoded, SENTENCEPIECE_MODEL).select("doc_id", "text")
+
+
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark), count="n_replaced")
 
@@ -77,7 +83,7 @@ def op6_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece, "op2_surrogates": op2_surrogates, "op3_url_reputation": op3_url_reputation, "op4_soft_mixing": op4_soft_mixing, "op5_katz": op5_katz,
     "op6_rotation_codes": op6_rotation_codes, "op7_interleaved_media": op7_interleaved_media, "op8_hash_tree": op8_hash_tree, "op9_quality_pu": op9_quality_pu, "op10_minmax": op10_minmax,
-    "interleaved_pages": interleaved_pages,
+    "decoded_documents": decoded_documents, "interleaved_pages": interleaved_pages,
 }
 
 #: Components of links (a, b, both ways) among nodes: each node with the smallest id that it reaches.
@@ -116,4 +122,4 @@ links AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair), nodes AS (SELE
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents AS d JOIN component AS c ON c.node = d.doc_id LEFT JOIN size AS s ON s.doc_id = d.doc_id"""
 
 #: Fitted models, token search, keyed hashes of Spark's own and compressed media have no SQL form; they are tested by brute force.
-ORACLE_SQL: dict[str, str] = {"op3_url_reputation": _OP3, "op6_rotation_codes": _OP6, "op10_minmax": _OP10}
+ORACLE_SQL: dict[str, str] = {"decoded_documents": "SELECT doc_id, text FROM documents", "op3_url_reputation": _OP3, "op6_rotation_codes": _OP6, "op10_minmax": _OP10}
