@@ -90,10 +90,12 @@ QUERIES = {
 _COMPONENTS = """reach(node, root) AS (SELECT node, node FROM nodes UNION SELECT l.b, r.root FROM reach AS r JOIN links AS l ON l.a = r.node),
 component AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)"""
 
+TWO_LABELS = ", ".join(f"'{s}'" for s in url_filter.TWO_LABEL_SUFFIXES)
 _OP3 = """WITH page AS (SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
     CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path, try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS bigint) AS doc_id FROM pages),
   marked AS (SELECT doc_id, max(cast(quality = 0 OR toxic = 1 AS int)) AS bad FROM labels GROUP BY 1),
-  host AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM page AS p LEFT JOIN marked AS m ON m.doc_id = p.doc_id GROUP BY host),
+  counted AS (SELECT host, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS parts, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM page AS p LEFT JOIN marked AS m ON m.doc_id = p.doc_id GROUP BY host),
+  host AS (SELECT host, n, k, array_to_string(parts[CASE WHEN two THEN -3 ELSE -2 END:], '.') AS domain, array_to_string(parts[CASE WHEN two THEN -2 ELSE -1 END:], '.') AS suffix FROM (SELECT *, array_to_string(parts[-2:], '.') IN ({TWO_LABELS}) AS two FROM counted) AS c),
   overall AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS m FROM host),
   domain AS (SELECT domain, min(suffix) AS suffix, sum(n) AS n, sum(k) AS k FROM host GROUP BY 1), suffix AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domain GROUP BY 1),
   t1 AS (SELECT count(*) AS g, sum(n) AS n, sum(n * power(cast(k AS double) / n - m, 2) / (m * (1 - m))) AS s FROM suffix, overall WHERE n > 0),
@@ -107,7 +109,7 @@ _OP3 = """WITH page AS (SELECT page_id, CASE WHEN contains(url, '://') THEN tran
   lower AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bad_lower FROM (SELECT host, m * v + k AS a, (1 - m) * v + n - k AS b FROM h3, s3) AS x)
 SELECT page_id, host, path, rule, coalesce(CASE rule WHEN 'net/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'org/fr/' THEN 'allow' END, CASE WHEN bad_lower > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM (
   SELECT page_id, p.host, path, bad_lower, CASE WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/' WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
-    WHEN (p.host = 'org' OR p.host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' WHEN (p.host = 'net' OR p.host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM page AS p LEFT JOIN lower AS l ON l.host = p.host) AS y"""
+    WHEN (p.host = 'org' OR p.host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' WHEN (p.host = 'net' OR p.host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM page AS p LEFT JOIN lower AS l ON l.host = p.host) AS y""".replace("{TWO_LABELS}", TWO_LABELS)
 
 _OP6 = f"""WITH RECURSIVE vec AS (SELECT vec_id, cast(embedding AS double[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pair AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vec AS a JOIN vec AS b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),

@@ -47,6 +47,11 @@ def url_path(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
+def bare_host(host: Column) -> Column:
+    """The host without user information before an @ and without a port, as it is grouped."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
 def host_suffix(host: Column, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
     """The public suffix of a host by a short list: its last two labels if listed, else its last label."""
     two = F.substring_index(host, ".", -2)
@@ -71,7 +76,7 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column
 def host_counts(outcomes: DataFrame) -> DataFrame:
     """outcomes (host, bad boolean or null): by host its labelled pages n and bad ones k, with domain and suffix."""
     counted = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k"))
-    return counted.withColumns({"domain": registered_domain(F.col("host")), "suffix": host_suffix(F.col("host"))})
+    return counted.withColumns({"domain": registered_domain(bare_host(F.col("host"))), "suffix": host_suffix(bare_host(F.col("host")))})
 
 
 def _strength(groups: DataFrame) -> float:
