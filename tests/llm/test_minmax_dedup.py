@@ -126,3 +126,22 @@ def test_repeated_ids_lose_no_text(spark):
     assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(5, "a b c d e"), (5, "v w x y z"), (8, "k l m n o"), (9, ""), (9, " ")]
     found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in m.near_duplicates(df).collect())
     assert found == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (7, 1, 5, False), (8, 1, 8, True), (8, 1, 8, True), (9, 0, 9, True), (9, 0, 9, True)]
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Planted pairs with similarities from 0.80 to 0.85: at least nine of ten are found; none below 0.80 is."""
+    rng = random.Random(8)
+    rows, wanted, below = [], set(), set()
+    for i in range(150):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(rng.randint(112, 140))]
+        copy = list(base)
+        for j in range(3 if i % 5 else 4):
+            copy[8 + 20 * j] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        a, b = ({tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in (base, copy))
+        similarity = len(a & b) / len(a | b)
+        (wanted if 0.80 <= similarity < 0.85 else below if similarity < 0.80 else set()).add(2 * i)
+    assert len(wanted) > 80 and len(below) > 10
+    got = {r.doc_id: r.component_id for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    found = {i for i in wanted | below if got[i] == got[i + 1]}
+    assert len(found & wanted) >= 0.9 * len(wanted) and not found & below
