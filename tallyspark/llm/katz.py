@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, if_small, mix64, stored
+from .common import crc_bucket, drop_stored, if_small, mix64, stored
 from .sentencepiece_codec import small_batches
 from .text_features import text_bytes
 
@@ -402,8 +402,10 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
     table = stored(_word_table(blocks), "counts")
     # one row for each count that occurs: at most the square root of twice the training tokens
     words = Words.of([(r["c"], r["n"]) for r in table.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()], sums["n"] or 0)
-    table = stored(_with_ids(table, words), "words")
+    counts, table = table, stored(_with_ids(table, words), "words")
+    drop_stored(counts)
     ids = stored(_answers(blocks.where(f"kind = {WORDS}"), table, [("id", np.int64, -1)], True), "ids")
+    drop_stored(table)
     sequences = blocks.where(f"kind in ({SEQUENCE}, {ORDER})")
     if words.size > MOST_WORDS:
         raise OverflowError(f"{words.size} distinct words; keys of pairs hold {MOST_WORDS}")
