@@ -4,8 +4,8 @@ The best segmentation of a text into pieces is searched from left to right. Only
 longest piece's length of the reading point can still start a piece that ends beyond it; those are the
 surviving states. Whenever their backpointers meet in one boundary, everything before it is final: its
 ids are committed and forgotten. Vocabularies in which no piece spans the start of a word (or a
-character that no piece holds) converge there for certain, so the search starts anew behind each such place, and what it committed between two of them
-is remembered in a bounded table and not searched again.
+character that no piece holds) converge there for certain, so such segments are searched alone and
+their ids kept in a bounded table.
 
 The public vocabulary holds merge ranks instead of unigram probabilities. ZIPF turns a rank into a
 log probability (p ~ 1 / (rank + 1)); scores are whole numbers of 1/1024 nats, so sums are exact for
@@ -135,12 +135,40 @@ class Encoder:
                         p = start
                     out.extend(reversed(ids))
                     self.longest_window = max(self.longest_window, i + 1 - done)
-                    back = {k: x for k, x in back.items() if k > meet} if len(best) > 1 else {}
+                    back = {k: x for k, x in back.items() if k > meet}
                     done = meet
         return out
 
+    def short(self, s: str) -> list[int]:
+        """The same for a segment that lies within one window, where nothing can be committed early."""
+        get, unknown = self.v.table.get, self.v.unknown
+        n = len(s)
+        best, start, ids = [-(1 << 60)] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0
+        for i in range(n):
+            at = best[i]
+            for end in range(i + 1, n + 1):
+                hit = get(s[i:end], 0)
+                if hit:
+                    score = at + hit[1]
+                    if score > best[end]:
+                        best[end], start[end], ids[end] = score, i, hit[0]
+                elif hit == 0:
+                    break
+            if at + unknown > best[i + 1] and not get(s[i]):
+                best[i + 1], start[i + 1], ids[i + 1] = at + unknown, i, -1
+        out: list[int] = []
+        while n:
+            if ids[n] >= 0:
+                out.append(ids[n])
+            else:
+                out.extend(reversed(self._unknown(s[start[n]])))
+            n = start[n]
+        out.reverse()
+        return out
+
     def segment(self, s: str) -> bytes:
-        ids = array("i", self.stream(s)).tobytes()
+        ids = array("i", self.short(s) if len(s) <= self.v.longest else self.stream(s)).tobytes()
         if len(s) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_ENTRIES:
                 self.cache.clear()
