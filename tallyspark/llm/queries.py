@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, katz, media, minmax_dedup, mixing, pii, quality, sentencepiece_codec, sharding, url_filter
+from . import embedding_dedup, katz, media, minmax_dedup, mixing, pii, quality, sentencepiece_codec, sharding, spelling_variants, token_alignment, url_filter, warc
 from .common import table
 
 
 #: Where the public tokenizers' files are; pass another path to the operators themselves.
-SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+SENTENCEPIECE_MODEL, BYTE_MODEL = "/opt/tokenizers/piece_bpe_32k.model", "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +80,22 @@ def op6_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_counts(table(spark, sf_dir, "documents"), BYTE_MODEL, SENTENCEPIECE_MODEL)
+
+
+def op12_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(spark, table(spark, sf_dir, "pages"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece, "op2_surrogates": op2_surrogates, "op3_url_reputation": op3_url_reputation, "op4_soft_mixing": op4_soft_mixing, "op5_katz": op5_katz,
     "op6_rotation_codes": op6_rotation_codes, "op7_interleaved_media": op7_interleaved_media, "op8_hash_tree": op8_hash_tree, "op9_quality_pu": op9_quality_pu, "op10_minmax": op10_minmax,
+    "op11_token_alignment": op11_token_alignment, "op12_revisits": op12_revisits, "op13_spelling_variants": op13_spelling_variants,
     "decoded_documents": decoded_documents, "interleaved_pages": interleaved_pages,
 }
 
@@ -123,5 +136,9 @@ pair AS (SELECT a, b FROM common JOIN size AS x ON x.doc_id = a JOIN size AS y O
 links AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair), nodes AS (SELECT doc_id AS node FROM documents), {_COMPONENTS}
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents AS d JOIN component AS c ON c.node = d.doc_id LEFT JOIN size AS s ON s.doc_id = d.doc_id"""
 
-#: Fitted models, token search, keyed hashes of Spark's own and compressed media have no SQL form; they are tested by brute force.
-ORACLE_SQL: dict[str, str] = {"decoded_documents": "SELECT doc_id, text FROM documents", "op3_url_reputation": _OP3, "op6_rotation_codes": _OP6, "op10_minmax": _OP10}
+_OP12 = """WITH page AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages), sized AS (SELECT page_id, octet_length(raw) AS payload_bytes, sha1(raw) AS payload_digest FROM page),
+largest AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM sized), told AS (SELECT *, payload_bytes >= 1000 AND page_id <> top AS again FROM largest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to FROM told"""
+
+#: Fitted models, tokenizers, token search, crc32, keyed hashes of Spark's own and compressed media have no SQL form; they are tested by brute force.
+ORACLE_SQL: dict[str, str] = {"decoded_documents": "SELECT doc_id, text FROM documents", "op3_url_reputation": _OP3, "op6_rotation_codes": _OP6, "op10_minmax": _OP10, "op12_revisits": _OP12}
