@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 from .common import drop_stored, stored
 
 SPACE = "▁"
-CACHE_PARTS, CACHE_CHARS = 500_000, 64
+CACHE_PARTS, CACHE_CHARS = 300_000, 64
 #: About the most bytes of the texts of a block (a longer text is a block of its own).
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_500_000
 #: Most rows of the pair table that are broadcast.
 HOT_PAIRS = 400_000
 #: A text may be cut before a blank or line break between such characters, and before such a mark after a letter or digit, if no token goes across.
