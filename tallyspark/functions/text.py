@@ -40,11 +40,19 @@ def comparable(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(strip_accents(F.coalesce(s, F.lit("")))), "[^A-Z0-9]+", " "))
 
 
+def long_words(provider: Column) -> Column:
+    """The provider's words of three letters or more, in comparable form."""
+    return F.filter(F.split(comparable(provider), " "), lambda w: F.length(w) >= 3)
+
+
+def mentions_words(words: Column, text: Column) -> Column:
+    """All words (of long_words) occur in the comparable text; false without words."""
+    return (F.size(words) > 0) & F.forall(words, lambda w: text.contains(w))
+
+
 def mentions(provider: Column, description: Column) -> Column:
     """All words of three letters or more of the provider occur in the description; false without such words."""
-    words = F.filter(F.split(comparable(provider), " "), lambda w: F.length(w) >= 3)
-    text = comparable(description)
-    return (F.size(words) > 0) & F.forall(words, lambda w: text.contains(w))
+    return mentions_words(long_words(provider), comparable(description))
 
 
 def category_key(s: Column) -> Column:
