@@ -139,12 +139,20 @@ class _Reader(HTMLParser):
             (self.run if self.caption is None else self.caption).append(data)
 
 
+def closed(html: str) -> str:
+    """html with tags and comments that never end as text: else a parser looks for their ends from each of them again."""
+    comment = html.rfind("-->") + 3 if "-->" in html else 0
+    html = html[:comment] + html[comment:].replace("<!--", "&lt;!--")
+    tag = html.rfind(">") + 1
+    return html[:tag] + html[tag:].replace("<", "&lt;")
+
+
 def parse_html(html: str | None) -> list[dict] | None:
     """The items of a page in reading order, positions from 0; null stays null, broken HTML gives what can be read."""
     if html is None:
         return None
     reader = _Reader()
-    reader.feed(html)
+    reader.feed(closed(html))
     reader.close()
     reader.end_all()
     return [{"position": i} | x for i, x in enumerate(reader.items)]

@@ -193,7 +193,7 @@ def repeated_names(names: Column) -> Column:
     """A pattern of the names that a text gives, as it may repeat them: two in a row in any case, one with a capital; null without names."""
     words = F.array_sort(F.filter(F.array_distinct(F.transform(names, lambda u: u["canon"])), lambda w: F.length(w) > 1), lambda a, b: F.length(b) - F.length(a))
     one = F.replace(F.array_join(words, "|"), F.lit("'"), F.lit("['’]"))
-    pattern = F.regexp_replace(F.lit(rf"{_BEFORE}(?:(?i:#)(?:[ -](?i:#))+|(?=\p{{Lu}})(?i:#)){_AFTER}"), F.lit("#"), one)
+    pattern = F.regexp_replace(F.lit(rf"{_BEFORE}(?:(?iu:#)(?:[ -](?iu:#))+|(?=\p{{Lu}})(?iu:#)){_AFTER}"), F.lit("#"), one)
     return F.when(one != "", pattern)
 
 
