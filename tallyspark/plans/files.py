@@ -10,8 +10,8 @@ from ..operators import exports, integrity, scans
 from ..sources import bank_csv
 from ..sources.scratch import shared_folder
 from ..sources.views import Tables
-from .reconciliations import EXPORT
 from .registry import query
+from .shared_sql import EXPORT
 
 
 def _folder(t: Tables, name: str) -> str:
@@ -38,12 +38,12 @@ def s02(t: Tables):
     return bank_csv.read_statement(t.spark, _statement(t), encoding="latin-1")
 
 
-@query("S07_appended_statements", f"SELECT company_id, transaction_date, amount, {DESCRIPTION} AS description, reference, false AS is_reconciled FROM bank WHERE company_id IN ('7', '8')")
+@query("S07_appended_statements", f"SELECT company_id, transaction_date, amount, {DESCRIPTION} AS description, reference, false AS is_reconciled FROM bank")
 def s07(t: Tables):
     path = _folder(t, "movements")
-    for company in ("7", "8"):
+    for (company,) in t.bank.select("company_id").distinct().collect():  # a statement of each company
         bank_csv.append_statement(bank_csv.read_statement(t.spark, _statement(t, f"company_id = '{company}'"), encoding="latin-1"), company, path)
-    return t.spark.read.parquet(path)
+    return bank_csv.movements(t.spark, path)
 
 
 @query("S08_listing")

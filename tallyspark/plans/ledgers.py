@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import integrity, queues, scans, transitions
 from ..sources.views import Tables
 from ..streaming import limiter
-from .reconciliations import FAILURES
 from .registry import AS_OF, query
+from .shared_sql import FAILURES
 
 
 @query("A33_scan_stats", """SELECT count(*) AS files, cast(sum(attempts) AS bigint) AS attempts, count(*) FILTER (WHERE status = 'ERROR') AS errors, count(*) FILTER (WHERE status = 'PROCESADO') AS processed, count(*) FILTER (WHERE status = 'DUPLICADO') AS duplicates, count(*) FILTER (WHERE status IN ('PENDIENTE', 'ERROR')) AS open,

@@ -17,10 +17,10 @@ def s09(t: Tables):
     return t.pages.select("page_id", text.magic_type(F.expr(RAW).cast("binary")).alias("kind"))
 
 
-@query("S10_plain_text", "SELECT page_id, page_id % 4 <> 1 AS plain FROM pages WHERE length(html) > 0")
+@query("S10_plain_text", "SELECT page_id, page_id % 4 <> 1 AND coalesce(html, '') <> '' AS plain FROM pages")
 def s10(t: Tables):
-    content = F.concat(F.when(F.col("page_id") % 4 == 1, F.unhex(F.lit("00"))).otherwise(F.lit("").cast("binary")), F.col("html").cast("binary"))
-    return t.pages.where("length(html) > 0").select("page_id", text.is_plain_text(content).alias("plain"))
+    content = F.concat(F.when(F.col("page_id") % 4 == 1, F.unhex(F.lit("00"))).otherwise(F.lit("").cast("binary")), F.coalesce("html", F.lit("")).cast("binary"))
+    return t.pages.select("page_id", text.is_plain_text(content).alias("plain"))
 
 
 @query("V08_capped_text", "SELECT doc_id, CASE WHEN length(text) > 20000 THEN substr(text, 1, 12000) || chr(10) || '[...]' || chr(10) || substr(text, length(text) - 7999) ELSE text END AS s FROM documents")
@@ -57,18 +57,18 @@ def v13(t: Tables):
 PAPER = "'COMERCIAL ' || provider_name || chr(10) || 'RFC: ABC010101XY1' || chr(10) || 'FECHA: ' || {day} || chr(10) || 'SUBTOTAL: $' || cast(total_amount - tax_amount AS string) || chr(10) || 'IVA (16%): $' || cast(tax_amount AS string) || chr(10) || CASE k % 3 WHEN 0 THEN 'TOTAL: $' || cast(total_amount AS string) WHEN 1 THEN 'TOTAL' || chr(10) || cast(total_amount AS string) ELSE 'Total a pagar MXN ' || cast(total_amount AS string) END || chr(10) || 'Usted ahorra en total: $1.00' || chr(10) || 'Vence 01/01/2099'"
 
 
-@query("V07_parsed_receipts", "SELECT id, 'COMERCIAL ' || provider_name AS provider_name, 'ABC010101XY1' AS provider_tax_id, cast(total_amount - tax_amount AS decimal(12,2)) AS subtotal, tax_amount, total_amount, expense_date FROM receipt WHERE tax_amount > 0")
+@query("V07_parsed_receipts", "SELECT id, 'COMERCIAL ' || provider_name AS provider_name, 'ABC010101XY1' AS provider_tax_id, cast(total_amount - tax_amount AS decimal(12,2)) AS subtotal, tax_amount, total_amount, expense_date FROM receipt")
 def v07(t: Tables):
     paper = F.expr(PAPER.replace("{day}", "date_format(expense_date, 'dd/MM/yyyy')"))
     # a line is searched by a dozen patterns: rows of one small file are dealt to all cores first
-    rows = t.receipt.where("tax_amount > 0").repartition("id").select("id", paper.alias("text"))
+    rows = t.receipt.repartition("id").select("id", paper.alias("text"))
     return receipt_text.parsed_receipts(rows).select("id", "provider_name", "provider_tax_id", "subtotal", "tax_amount", "total_amount", "expense_date")
 
 
-@query("V13_reading_scores", f"SELECT id, cast(CASE k % 2 WHEN 0 THEN 70 ELSE 30 END + {QUALITY.format('paper')} AS int) AS score, k % 2 = 0 AS good FROM (SELECT *, CASE k % 2 WHEN 0 THEN {PAPER.replace('{day}', "strftime(expense_date, '%d/%m/%Y')")} ELSE 'RFC ABC010101XY1 TOTAL 5.00' END AS paper FROM receipt WHERE tax_amount > 0) AS r")
+@query("V13_reading_scores", f"SELECT id, cast(CASE k % 2 WHEN 0 THEN 70 ELSE 30 END + {QUALITY.format('paper')} AS int) AS score, k % 2 = 0 AS good FROM (SELECT *, CASE k % 2 WHEN 0 THEN {PAPER.replace('{day}', "strftime(expense_date, '%d/%m/%Y')")} ELSE 'RFC ABC010101XY1 TOTAL 5.00' END AS paper FROM receipt) AS r")
 def v13_scores(t: Tables):
     paper = F.expr(f"CASE k % 2 WHEN 0 THEN {PAPER.replace('{day}', "date_format(expense_date, 'dd/MM/yyyy')")} ELSE 'RFC ABC010101XY1 TOTAL 5.00' END")
-    rows = t.receipt.where("tax_amount > 0").repartition("id").select("id", paper.alias("text"))
+    rows = t.receipt.repartition("id").select("id", paper.alias("text"))
     return receipt_text.reading_scores(rows).select("id", "score", "good")
 
 

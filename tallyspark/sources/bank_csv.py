@@ -97,6 +97,31 @@ def read_statement(spark: SparkSession, path: str, named: dict[str, str] | None
     return rows
 
 
-def append_statement(rows: DataFrame, company: str, path: str) -> None:
-    """Append a read statement to the table of movements."""
-    rows.withColumns({"company_id": F.lit(company), "is_reconciled": F.lit(False)}).write.mode("append").parquet(path)
+def _finished(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders that fit the pattern and hold a whole batch: Spark marks them when a write has been committed."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = mark.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(mark)
+    return sorted(x.getPath().getParent().toString() for x in found or ())
+
+
+def append_statement(rows: DataFrame, company: str, path: str) -> str:
+    """Append a read statement to the table of movements, once; gives the batch's name.
+
+    A batch is named by the company and the rows' content, whatever their order, and is a folder of its own. The same
+    statement again finds its batch and writes nothing; a batch that a killed writer left without its mark
+    doesn't count, and the next attempt writes it anew. Equal rows within one statement are movements of their own.
+    """
+    table = rows.withColumns({"company_id": F.lit(company), "is_reconciled": F.lit(False)})
+    mark = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), *rows.columns).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    name = table.agg(F.sha2(F.concat_ws("|", F.lit(company), F.count(F.lit(1)).cast("string"), mark(1), mark(2)), 256)).first()[0][:32]
+    folder = f"{path}/batch={name}"
+    if not _finished(rows.sparkSession, folder):
+        table.write.mode("overwrite").parquet(folder)
+    return name
+
+
+def movements(spark: SparkSession, path: str) -> DataFrame:
+    """The table that append_statement has written: the rows of all finished batches."""
+    folders = _finished(spark, f"{path}/batch=*")
+    schema = "transaction_date date, amount decimal(12,2), description string, reference string, company_id string, is_reconciled boolean"
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
