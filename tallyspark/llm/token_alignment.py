@@ -258,13 +258,6 @@ def align(blocks: DataFrame) -> DataFrame:
     return blocks.select(F.inline(texts))
 
 
-def runs(values: Column) -> Column:
-    """The distinct values of a sorted array and how often each stands there: arrays (value, times)."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda i: (i == 0) | (F.get(values, i) != F.get(values, i - 1)))
-    counted = let(starts, lambda s: F.struct(F.transform(s, lambda i: F.get(values, i)).alias("value"), F.transform(s, lambda i, k: F.coalesce(F.get(s, k + 1), F.size(values)) - i).alias("times")))
-    return F.when(F.size(values) > 0, counted).otherwise(F.struct(values.alias("value"), F.array().cast("array<int>").alias("times")))
-
-
 def pair_bits(a_size: int, b_size: int) -> tuple[int, str]:
     """How many bits b's ids take, and the type in which both ids fit."""
     bits = max(1, (b_size - 1).bit_length())
@@ -272,7 +265,7 @@ def pair_bits(a_size: int, b_size: int) -> tuple[int, str]:
 
 
 def digests(blocks: DataFrame, bits: int, kind: str) -> DataFrame:
-    """For each text of blocks a row: key, n_a, n_b, n_groups, n_links (long), groups_sha256, and linked: the distinct pairs of linked ids, each as one number, and their times.
+    """For each text of blocks a row: key, n_a, n_b, n_groups, n_links (long), groups_sha256, and linked: the pair of ids of each link as one number, sorted.
 
     The groups are digested as `a1,a2|b1;a3|b2,b3`; a text without tokens has zeros and an empty digest.
     """
@@ -285,15 +278,16 @@ def digests(blocks: DataFrame, bits: int, kind: str) -> DataFrame:
         words = F.array_join(F.transform(x["parts"], lambda i: F.get(made, i)["text"]), ";")
         pairs = F.sort_array(F.flatten(F.transform(x["parts"], lambda i: F.get(made, i)["pairs"])))
         sha = F.when(F.size(x["parts"]) > 0, F.sha2(words.cast("binary"), 256)).otherwise("")
-        return let(pairs, lambda p: F.struct(x["key"].alias("key"), x["n_a"].alias("n_a"), x["n_b"].alias("n_b"), F.size(p).cast("long").alias("n_links"), sha.alias("groups_sha256"), runs(p).alias("linked")))
+        return F.struct(x["key"].alias("key"), x["n_a"].alias("n_a"), x["n_b"].alias("n_b"), sha.alias("groups_sha256"), pairs.alias("linked"))
 
     texts = let(F.transform(blocks["parts"], one), lambda made: F.transform(blocks["texts"], lambda x: of_text(made, x)))
-    return blocks.select(F.inline(texts)).withColumn("n_groups", F.col("n_a") + F.col("n_b") - F.col("n_links"))
+    rows = blocks.select(F.inline(texts)).withColumn("n_links", F.size("linked").cast("long"))
+    return rows.withColumn("n_groups", F.col("n_a") + F.col("n_b") - F.col("n_links"))
 
 
 def id_pairs(linked: DataFrame, bits: int) -> DataFrame:
     """pair, n (documents that hold it) and best (no pair of the same id of A has more) of the column linked, written to the shared folder."""
-    counted = stored(linked.select(F.explode("linked.value").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    counted = stored(linked.select(F.explode(F.array_distinct("linked")).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "pairs")
     most = counted.groupBy(F.shiftright("pair", bits).alias("a")).agg(F.max("n").alias("most"))  # a row for each id of A: bounded by its vocabulary
     flagged = counted.join(F.broadcast(most), F.shiftright(counted["pair"], bits) == most["a"])
     done = stored(flagged.select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "pairs-best")
@@ -317,9 +311,11 @@ def link_counts(linked: DataFrame, pairs: DataFrame, key: str, most: int = HOT_P
     """key, n_best and count_sum for each row of linked (key, linked) that has links."""
     step = frequent_from(pairs, most)
     hot, cold = F.broadcast(pairs.where(F.col("n") > step)), pairs.where(F.col("n") <= step)
-    rows = linked.select(key, F.inline(F.arrays_zip(F.col("linked.value").alias("pair"), F.col("linked.times").alias("times")))).toDF(key, "pair", "times")
-    sums = [F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum")]
-    both = rows.join(hot, "pair").groupBy(key).agg(*sums).unionByName(rows.join(hot, "pair", "left_anti").join(cold, "pair").groupBy(key).agg(*sums))
+    rows = linked.select(key, F.explode("linked").alias("pair"))
+    warm = rows.join(hot, "pair").groupBy(key).agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    rare = rows.join(hot, "pair", "left_anti").groupBy(key, "pair").agg(F.count(F.lit(1)).alias("times"))  # one text may repeat a rare pair without end
+    met = rare.join(cold, "pair").groupBy(key).agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum"))
+    both = warm.unionByName(met)
     return both.groupBy(key).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
