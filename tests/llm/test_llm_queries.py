@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tallyspark.llm.queries import ORACLE_SQL, QUERIES
@@ -35,5 +36,5 @@ def test_query(spark, sf_dir, name):
         want = con.sql(ORACLE_SQL[name]).df()
         key, columns = want.columns[0], list(want.columns)
         assert sorted(got.columns) == sorted(columns)
-        rows = lambda df: [tuple(None if v is None or v != v else v for v in r) for r in df.sort_values(key)[columns].itertuples(index=False, name=None)]
+        rows = lambda df: [tuple(None if pd.isna(v) else v for v in r) for r in df.sort_values(key)[columns].itertuples(index=False, name=None)]
         assert rows(got) == rows(want)
