@@ -1,136 +1,268 @@
-"""Fields of receipt texts (V07, V07a-V07e, V12, V14).
+"""Fields of receipt texts (V07, V07a-V07e, V12, V13, V14, V24).
 
-Each line of a receipt is read once: what its labels name goes into a struct, and the fields are picked among the
-structs of a receipt's lines. Only the merging of recognised boxes into lines is sequential; it runs on one page at a time.
+A line is cut into tokens once: words, figures (digits with the marks that join them) and single marks. What kind of figure
+a token is follows from its joining marks: none or points and commas make an amount, two slashes or dashes a date, colons a
+time. Labels look at their neighbours among a line's tokens and put forward candidates; each field is picked among the
+candidates of all lines, so that the reasons of a reading (V24) are the same rows that made it. Only the merging of recognised
+boxes into lines is sequential; it runs on one page at a time.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, marked_number, receipt_number
-from ..functions.text import UNKNOWN_PROVIDER, text_quality
-
-# Words of receipts.
-TAX_ID_WORDS = ("rfc", "nit", r"tax\s*id")
-FIELD_WORDS = (*TAX_ID_WORDS, "fecha", "hora", "folio", "serie", r"no\.?", "factura", "subtotal", "total", "iva", "impuesto", "importe", "monto", "art[ií]culos?", "concepto", "cantidad", "descripci[oó]n", "tel[eé]fono", r"tel\.?", "direcci[oó]n", "domicilio", "referencia", r"metodo\s*de\s*pago")
-ISSUER_WORDS = ("emisor", "proveedor", r"raz[oó]n\s*social", "nombre", r"nombre\s*comercial")
-SAVING_WORDS = ("ahorroste", "ahorraste", "ahorro", "ahorra", "ahorcen", "ahorren", "descuento", "rebaja", r"precio\s+final", r"ya\s+descontado", r"con\s+descuento")
+from ..functions.text import UNKNOWN_PROVIDER, strip_accents, text_quality
+
+# Words of receipts, lower case and without accents.
+TOTAL, SUB, SUBTOTAL, DUE, DATE = "total", "sub", "subtotal", "importe", "fecha"
+TAXES = ("iva", "tax", "impuesto")
+TAX_ID_LABELS = ("rfc", "nit", "tax id")
+DATE_KINDS = ("expedicion", "emision")
+FIELD_LABELS = (
+    "rfc", "nit", "tax id", "fecha", "hora", "folio", "serie", "no", "factura", "subtotal", "total", "iva", "impuesto", "importe", "monto", "articulo", "articulos", "concepto", "cantidad",
+    "descripcion", "telefono", "tel", "direccion", "domicilio", "referencia", "metodo de pago",
+)
+ISSUER_LABELS = ("emisor", "proveedor", "razon social", "nombre", "nombre comercial")
+SAVINGS = ("ahorroste", "ahorraste", "ahorro", "ahorra", "ahorcen", "ahorren", "descuento", "rebaja", "precio final", "ya descontado")
 EXPIRY_STEMS = ("vence", "vencimiento", "expira", "caduca", "caducidad", "validez", "vigencia", "limite")
 RECEIPT_WORDS = ("folio", "nota", "ticket", "comprobante", "caja", "operacion", "transaccion", "corte")
-HEADING_WORDS = ("factura electr[oó]nica", "cfdi", "comprobante", "recibo")
+HEADINGS = ("factura electronica", "cfdi", "comprobante", "recibo")
 HEAD_LINES = 15
 GOOD_SCORE = 70
 
-START, END = r"(?<!\w)", r"(?!\w)"
+TOKEN = r"\p{L}+|[.,]?\d+(?:[.,:/-]+\d+)*|\S"
+#: Marks that may stand between a label and its amount.
+LIGHT = (":", "$", "€")
+#: Rules of dates.
+YEAR_FIRST, LABELLED, ISO, BESIDE = "labelled, year first", "labelled", "iso", "beside a time or mark"
+LABELS = (TOTAL, SUBTOTAL, DUE, DATE, *TAXES)
+CANDIDATE = "array<struct<field string, rule string, line int, raw string>>"
 
 
-def _any(words: tuple[str, ...]) -> str:
-    return f"(?:{'|'.join(words)})"
+def lines_of(text: Column) -> Column:
+    """The lines with something in them: s without the blanks around it, and low, the same in lower case and without accents."""
+    bare = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.transform(F.filter(bare, lambda x: x != ""), lambda x: F.struct(x.alias("s"), strip_accents(F.lower(x)).alias("low")))
 
 
-#: An amount behind its label: blanks, a colon or a currency's sign may stand between.
-AMOUNT = r"[\s:]*(?:[$€]\s*)?([.,]?\d[\d.,]*)"
-SUBTOTAL = rf"{START}sub[\s-]?total{AMOUNT}"
-TAX = rf"{START}(?:iva|tax|impuesto){END}(?:\s*\([^()%]{{1,12}}%\))?{AMOUNT}"
-TOTAL = rf"{START}total{AMOUNT}"
-TOTAL_ALONE = rf"(?<!\S)total{END}\D*$"
-TOTAL_AND_LATER = rf"(?<!\S)total{END}.*?(?<![\d.,])(\d+(?:[.,]+\d+)+)(?![\d.,])"
-TOTAL_OR_DUE = rf"(?<!\S)(?:total|importe){AMOUNT}"
-AMOUNT_ALONE = r"^[$€\s]*(\d[\d.,]*)$"
-TAX_ID = rf"{_any(TAX_ID_WORDS)}\s*:?\s*{START}([\p{{L}}&]{{3,4}})[\s-]{{0,3}}(\d{{6}})[\s-]{{0,3}}(\w{{3}}){END}"
-DATE_LABEL = r"fecha\s*(?:(?:expedicion|emision)\s*)?[\s:]*"
-YEAR_FIRST, YEAR_LAST = r"(\d{4}[/-]\d\d?[/-]\d\d?)(?!\d)", r"(?<!\d)(\d\d?[/-]\d\d?[/-](?:\d{4}|\d\d))(?!\d)"
-YEAR_FIRST_BARE = rf"{START}(\d{{4}}-\d\d-\d\d)(?!\d)"
-TIME_OR_MARK = rf"{START}[012]\d:[0-5]\d{END}|{START}{_any(RECEIPT_WORDS)}{END}|#\d|{START}no\.?:?\s*\d"
-SAVING, EXPIRY = f"{START}{_any(SAVING_WORDS)}{END}", f"{START}{_any(EXPIRY_STEMS)}"
+def _tokens(lines: Column) -> Column:
+    """Each line with its tokens but for the light marks."""
+    cut = lambda x: F.filter(F.regexp_extract_all(x["low"], F.lit(TOKEN), F.lit(0)), lambda k: ~k.isin(*LIGHT))
+    return F.transform(lines, lambda x: F.struct(x["s"], x["low"], cut(x).alias("tokens")))
 
 
-def lines_of(text: Column) -> Column:
-    """The lines with something in them, without the blanks around it, and each in lower case too."""
-    bare = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    return F.transform(F.filter(bare, lambda x: x != ""), lambda x: F.struct(x.alias("s"), F.lower(x).alias("low")))
+def _first(values: Column) -> Column:
+    return F.try_element_at(values, F.lit(1))
 
 
-def _group(s: Column, pattern: str, i: int = 1) -> Column:
-    """A group of the first match; null without one."""
-    found = F.regexp_extract(s, pattern, i)
-    return F.when(found != "", found)
+def _joints(token: Column) -> Column:
+    """What joins the digits of a figure; null where the token is none."""
+    return F.when(token.rlike(r"\d"), F.translate(token, "0123456789", ""))
 
 
-def _first(values: Column) -> Column:
-    return F.try_element_at(F.array_compact(values), F.lit(1))
+def _amount(token: Column) -> Column:
+    """The amount a figure begins with; null where the token is none."""
+    return F.when(token.rlike(r"\d"), F.regexp_extract(token, r"^[.,]?\d+(?:[.,]+\d+)*", 0))
+
+
+def _has_mark(raw: Column) -> Column:
+    return raw.contains(".") | raw.contains(",")
+
+
+def _is_marked(token: Column) -> Column:
+    """A figure that is an amount with points or commas between its digits."""
+    joints = _joints(token)
+    return F.coalesce((joints != "") & (F.translate(joints, ".,", "") == "") & token.substr(1, 1).between("0", "9"), F.lit(False))
+
+
+def _is_date(token: Column) -> Column:
+    joints = _joints(token)
+    return F.coalesce((F.length(joints) == 2) & (F.translate(joints, "/-", "") == ""), F.lit(False))
+
+
+def _is_time(token: Column) -> Column:
+    hour, minute = F.get(F.split(token, ":"), F.lit(0)), F.get(F.split(token, ":"), F.lit(1))
+    return F.coalesce(_joints(token).isin(":", "::") & (F.length(hour) == 2) & (hour < "30") & (F.length(minute) == 2) & (minute < "60"), F.lit(False))
+
+
+def _date(year: Column, month: Column, day: Column) -> Column:
+    fits = (F.length(month) <= 2) & (F.length(day) <= 2)
+    return F.when(fits, F.try_to_date(F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")), "yyyy-MM-dd"))
+
+
+def _parts(token: Column) -> tuple[Column, Column, Column]:
+    return tuple(F.get(F.split(token, "[/-]"), F.lit(i)) for i in range(3))
+
+
+def _year_first(token: Column) -> Column:
+    """A date whose first part is a year of four digits."""
+    year, month, day = _parts(token)
+    return F.when(F.length(year) == 4, _date(year, month, day))
+
+
+def _day_first(token: Column) -> Column:
+    """Day, month, year; years of two digits up to 68 are in this century."""
+    day, month, year = _parts(token)
+    century = F.when(F.length(year) == 4, "").when(F.length(year) == 2, F.when(year <= "68", "20").otherwise("19"))
+    return _date(F.concat(century, year), month, day)
+
+
+def _words(tokens: Column) -> Column:
+    """The words of a line with a blank before and behind each, so that a phrase is found by its own blanks."""
+    return F.concat(F.lit(" "), F.array_join(F.filter(tokens, lambda k: k.rlike(r"^\p{L}")), " "), F.lit(" "))
+
+
+def _says(words: Column, phrases: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (words.contains(f" {p} ") for p in phrases))
+
+
+def _labels(tokens: Column) -> Column:
+    """Every label of a line: its word, its place, whether it names a part, and the token behind it.
+
+    A rate in brackets may stand between a tax and its amount, the kind of a date between its label and the date.
+    """
 
+    def one(word: Column, i: Column) -> Column:
+        at = lambda k: F.get(tokens, i + k)
+        dashed = (at(-1) == "-") & (at(-2) == SUB)
+        part = (word == SUBTOTAL) | ((word == TOTAL) & F.coalesce((at(-1) == SUB) | dashed, F.lit(False)))
+        rate = word.isin(*TAXES) & (at(1) == "(") & (at(3) == "%") & (at(4) == ")")
+        kind = (word == DATE) & at(1).isin(*DATE_KINDS)
+        behind = F.when(rate, at(5)).when(kind, at(2)).otherwise(at(1))
+        return F.struct(word.alias("word"), i.alias("i"), part.alias("part"), F.coalesce(at(-1) == "-", F.lit(False)).alias("dashed"), behind.alias("behind"))
 
-def _last(values: Column) -> Column:
-    return F.try_element_at(F.array_compact(values), F.lit(-1))
+    return F.filter(F.transform(tokens, one), lambda x: x["word"].isin(*LABELS))
 
 
-def _each(lines: Column, name: str) -> Column:
-    return F.transform(lines, lambda x: x[name])
+def _read(lines: Column) -> Column:
+    """Each line with its words and labels."""
+    return F.transform(lines, lambda x: F.struct(x["s"], x["low"], x["tokens"], _words(x["tokens"]).alias("words"), _labels(x["tokens"]).alias("labels")))
+
+
+def _tax_id(low: Column) -> Column:
+    """An id of three or four letters, six digits and three more signs behind its label, in up to three pieces."""
+    pieces = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}&]+"), F.lit(0))
+
+    def behind(piece: Column, i: Column) -> Column:
+        start = F.when(piece.isin("rfc", "nit"), i + 2).when((piece == "tax") & (F.get(pieces, i + 1) == "id"), i + 3)
+        tries = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.array_join(F.slice(pieces, start, n), ""))
+        return F.when(start.isNotNull(), _first(F.filter(tries, lambda x: x.rlike(r"^[\p{L}&]{3,4}\d{6}[\p{L}\d]{3}$"))))
+
+    return F.upper(_first(F.array_compact(F.transform(pieces, behind))))
+
+
+def _some(value: Column) -> Column:
+    """An array of the value, empty where it is null: what is made of its element reads the value once."""
+    return F.filter(F.array(value), lambda v: v.isNotNull())
 
 
 def _is_provider(s: Column) -> Column:
-    """Neither a field, a heading nor an amount, and with a capitalised look."""
-    low = F.lower(s)
-    amounts = s.rlike(r"^[\s$€\d.,]+$") | F.substring_index(s, " ", -1).rlike(r"^[$€\d.,]+$")
-    look = s.rlike("[A-Z]{3}") | (F.regexp_count(s, F.lit(r"(?<![\p{L}'-])\p{Lu}[\p{L}'-]{2}")) >= 2)
-    return (F.length(s) >= 4) & ~s.contains(":") & ~low.rlike(rf"^{_any(FIELD_WORDS)}{END}") & ~low.rlike(_any(HEADING_WORDS)) & ~amounts & look
-
-
-def _provider(line: Column) -> Column:
-    issuer = F.when(line["s"].contains(":"), _group(line["s"], rf"(?i)^{_any(ISSUER_WORDS)}\s*:\s*(.+)$"))
-    return F.when(issuer.isNotNull() & _is_provider(issuer), F.trim(issuer)).when(_is_provider(line["s"]), line["s"])
-
-
-def _part(s: Column, pattern: str) -> Column:
-    """The group of the first match; empty without one."""
-    return F.regexp_extract(s, pattern, 1)
-
-
-def _found(lines: Column):
-    """What a line says: the texts of its amounts and dates by label, and whether it speaks of savings."""
-
-    def one(line: Column, i: Column) -> Column:
-        low, slashed = line["low"], line["s"].rlike(r"\d[/-]\d")
-        number = low.rlike(r"\d")
-        total = F.when(low.contains("total"), F.struct(
-            F.when(number, _part(low, TOTAL)).alias("direct"), F.when(number, _part(low, TOTAL_AND_LATER)).alias("later"),
-            F.when(low.rlike(TOTAL_ALONE), _part(F.try_element_at(lines, i + 2)["s"], AMOUNT_ALONE)).alias("below"),
-            F.regexp_replace(low, r"[\s_-]", "").contains("subtotal").alias("part"),
-        ))
-        labelled = slashed & low.contains("fecha")
-        return F.struct(
-            F.when(number, _part(low, SUBTOTAL)).alias("subtotal"), F.when(number & low.rlike("iva|tax|impuesto"), _part(low, TAX)).alias("tax"), total.alias("total"),
-            F.when(number & low.rlike("total|importe"), _part(low, TOTAL_OR_DUE)).alias("due"), low.rlike(SAVING).alias("saving"),
-            F.when(number & low.rlike(_any(TAX_ID_WORDS)), F.regexp_extract(low, TAX_ID, 0)).alias("tax_id"),
-            F.when(labelled, _part(low, DATE_LABEL + YEAR_FIRST)).alias("year_first"), F.when(labelled, _part(low, DATE_LABEL + YEAR_LAST)).alias("year_last"),
-            F.when(slashed, _part(low, YEAR_FIRST_BARE)).alias("bare"), F.when(slashed & low.rlike(TIME_OR_MARK) & ~low.rlike(EXPIRY), _part(low, YEAR_LAST)).alias("beside"),
+    """Neither a field, a heading nor an amount, and capitalised: three capitals in a row, or two words that begin with one."""
+    low = strip_accents(F.lower(s))
+    begins = lambda words: reduce(lambda a, b: a | b, (words.startswith(f"{w} ") for w in FIELD_LABELS))
+    field = low.rlike(r"^\p{L}") & F.exists(F.array(F.concat(F.regexp_replace(low, r"[^\p{L}\p{N}_]+", " "), F.lit(" "))), begins)
+    heading = F.exists(F.array(low), lambda k: reduce(lambda a, b: a | b, (k.contains(w) for w in HEADINGS)))
+    money = F.translate(F.substring_index(s, " ", -1), "$€0123456789.,", "") == ""
+    names = F.filter(F.regexp_extract_all(s, F.lit(r"[\p{L}'-]+"), F.lit(0)), lambda w: (F.length(w) > 2) & (F.lower(w.substr(1, 1)) != w.substr(1, 1)))
+    return (F.length(s) >= 4) & ~s.contains(":") & ~money & (s.rlike("[A-Z]{3}") | (F.size(names) >= 2)) & ~heading & ~field
+
+
+def _candidate(field: str, rule: str, line: Column, raw: Column) -> Column:
+    """What a line puts forward for a field: an array, empty where raw is null."""
+    return F.transform(_some(raw), lambda r: F.struct(F.lit(field).alias("field"), F.lit(rule).alias("rule"), line.alias("line"), r.alias("raw")))
+
+
+def _amounts_of(lines: Column, x: Column, i: Column) -> Column:
+    """What a line puts forward for subtotal, tax, total and amount due."""
+    labels, tokens, saving = x["labels"], x["tokens"], _says(x["words"], SAVINGS)
+    beside = lambda chosen: F.filter(F.transform(F.filter(labels, chosen), lambda y: _amount(y["behind"])), lambda r: marked_number(r).isNotNull())
+    totals = F.filter(labels, lambda y: y["word"] == TOTAL)
+    rest = F.slice(tokens, _first(totals)["i"] + 2, F.size(tokens) + 1)
+    next_line = F.try_element_at(lines, i + 2)["tokens"]
+    below = F.when((F.size(next_line) == 1) & ~F.exists(rest, lambda k: k.rlike(r"\d")), F.filter(next_line, lambda k: k.rlike(r"^\d[\d.,]*$")))
+    options = F.array(
+        F.struct(F.lit("beside").alias("rule"), _first(beside(lambda y: y["word"] == TOTAL)).alias("raw")),
+        F.struct(F.lit("later").alias("rule"), _first(F.filter(rest, _is_marked)).alias("raw")), F.struct(F.lit("below").alias("rule"), _first(below).alias("raw")),
+    )
+    whole = ~saving & (F.size(totals) > 0) & ~F.replace(x["words"], F.lit(" "), F.lit("")).contains(SUBTOTAL)
+    best = F.slice(F.filter(options, lambda o: o["raw"].isNotNull()), 1, 1)
+    total = F.transform(best, lambda o: F.struct(F.lit("total").alias("field"), o["rule"].alias("rule"), i.alias("line"), o["raw"].alias("raw")))
+    sub, tax, due = beside(lambda y: y["part"]), beside(lambda y: y["word"].isin(*TAXES)), beside(lambda y: y["word"].isin(TOTAL, DUE) & ~y["dashed"])
+    return F.concat(
+        _candidate("subtotal", "beside", i, _first(sub)), _candidate("tax", "beside", i, F.when(~saving, _first(tax))),
+        F.when(whole, total).otherwise(_nothing()), _candidate("due", "beside", i, F.when(~saving, _first(due))),
+    )
+
+
+def _dates_of(x: Column, i: Column) -> Column:
+    """V07e: what a line puts forward as the date."""
+    tokens, words = x["tokens"], x["words"]
+    dates = F.filter(tokens, _is_date)
+    labelled = F.transform(F.filter(x["labels"], lambda y: (y["word"] == DATE) & _is_date(y["behind"])), lambda y: y["behind"])
+    first = lambda found, read: _first(F.filter(found, lambda k: read(k).isNotNull()))
+    iso = F.filter(dates, lambda k: (F.length(k) == 10) & (F.instr(k, "-") == 5) & (_joints(k) == "--"))
+    figure = lambda k: F.get(tokens, k).rlike(r"^\d")
+    numbered = F.transform(tokens, lambda k, j: F.when(k == "#", figure(j + 1)).when(k == "no", figure(j + 1) | ((F.get(tokens, j + 1) == ".") & figure(j + 2))))
+    marked = _says(words, RECEIPT_WORDS) | F.exists(tokens, _is_time) | F.exists(numbered, lambda k: F.coalesce(k, F.lit(False)))
+    expires = reduce(lambda a, b: a | b, (words.contains(f" {w}") for w in EXPIRY_STEMS))
+    return F.concat(
+        _candidate("date", YEAR_FIRST, i, first(labelled, _year_first)), _candidate("date", LABELLED, i, first(labelled, _day_first)),
+        _candidate("date", ISO, i, first(iso, _year_first)), _candidate("date", BESIDE, i, F.when(marked & ~expires, first(dates, _day_first))),
+    )
+
+
+def _nothing() -> Column:
+    return F.array().cast(CANDIDATE)
+
+
+def candidates(lines: Column) -> Column:
+    """All that the lines put forward, in their order (field, rule, line, raw); a line without labels, dates or a name adds nothing."""
+
+    def named(x: Column, i: Column) -> Column:
+        label = F.trim(F.regexp_replace(F.substring_index(x["low"], ":", 1), r"\s+", " "))
+        told = F.transform(F.filter(F.array(x["s"]), lambda s: s.contains(":") & label.isin(*ISSUER_LABELS)), lambda s: F.trim(F.regexp_replace(s, "^[^:]*:", "")))
+        bare = F.filter(F.array(x["s"]), _is_provider)
+        return F.concat(_candidate("provider", "issuer", i, _first(F.filter(told, _is_provider))), _candidate("provider", "look", i, _first(bare)))
+
+    def one(x: Column, i: Column) -> Column:
+        number = x["low"].rlike(r"\d")
+        return F.concat(
+            F.when(i < HEAD_LINES, named(x, i)).otherwise(_nothing()), _candidate("tax_id", "labelled", i, F.when(number & _says(x["words"], TAX_ID_LABELS), _tax_id(x["low"]))),
+            F.when((F.size(x["labels"]) > 0) & (number | x["words"].contains(TOTAL)), _amounts_of(lines, x, i)).otherwise(_nothing()),
+            F.when(x["low"].rlike(r"\d[/-]\d"), _dates_of(x, i)).otherwise(_nothing()),
         )
 
-    return F.transform(lines, one)
+    return F.flatten(F.transform(lines, one))
+
+
+def _valued(found: Column) -> Column:
+    """The candidates with what their texts are read as: amounts, or days; those that can't be read are left out."""
+    amount = lambda c: F.when(c["field"].isin("subtotal", "tax", "total", "due"), marked_number(c["raw"]))
+    day = lambda c: F.when(c["field"] == "date", F.when(c["rule"].isin(YEAR_FIRST, ISO), _year_first(c["raw"])).otherwise(_day_first(c["raw"])))
+    rows = F.transform(found, lambda c: F.struct(c["field"], c["rule"], c["line"], c["raw"], amount(c).alias("amount"), day(c).alias("day")))
+    return F.filter(rows, lambda c: c["field"].isin("provider", "tax_id") | c["amount"].isNotNull() | c["day"].isNotNull())
 
 
-def _strong(raw: Column, at: Column) -> Column:
-    """An amount with its rank: those with a mark go before bare digits."""
-    return F.when(marked_number(raw).isNotNull(), F.struct(F.when(raw.rlike("[.,]"), 2).otherwise(1).alias("strength"), at.alias("at"), marked_number(raw).alias("value")))
+def _of(found: Column, field: str, *rules: str) -> Column:
+    return F.filter(found, lambda c: (c["field"] == field) & (c["rule"].isin(*rules) if rules else F.lit(True)))
 
 
-def _read(line: Column, i: Column) -> Column:
-    """The amounts of a line's struct as numbers."""
-    t = line["total"]
-    raw = F.when(marked_number(t["direct"]).isNotNull(), t["direct"]).when(t["later"] != "", t["later"]).otherwise(t["below"])
-    total = F.when(~line["saving"] & t.isNotNull() & ~t["part"], _strong(raw, i))
-    return F.struct(marked_number(line["subtotal"]).alias("subtotal"), F.when(~line["saving"], marked_number(line["tax"])).alias("tax"), total.alias("total"), F.when(~line["saving"], _strong(line["due"], -i)).alias("due"))
+def _strongest(found: Column, last: bool) -> Column:
+    """Amounts with a point or comma go before bare digits; of equal ones the last line's or the first one's."""
+    ranked = F.transform(found, lambda c: F.struct(_has_mark(c["raw"]).alias("marked"), (c["line"] if last else -c["line"]).alias("at"), c.alias("c")))
+    return F.array_max(ranked)["c"]
 
 
 def _times(lines: Column, value: Column, with_savings: bool) -> Column:
     """How often an amount is printed."""
-    printed = lines if with_savings else F.filter(lines, lambda x: ~x["low"].rlike(SAVING))
-    numbers = F.flatten(F.transform(printed, lambda x: F.regexp_extract_all(x["s"], F.lit(r"\d(?:[\d.,]*\d)?"), F.lit(0))))
-    return F.size(F.filter(numbers, lambda n: F.coalesce(marked_number(n) == value, F.lit(False))))
+    printed = lines if with_savings else F.filter(lines, lambda x: ~_says(x["words"], SAVINGS))
+    figures = lambda x: F.filter(F.flatten(F.transform(x["tokens"], lambda k: F.split(k, "[/:-]+"))), lambda k: k.rlike(r"^[.,]?\d"))
+    return F.size(F.filter(F.flatten(F.transform(printed, figures)), lambda n: F.coalesce(marked_number(F.ltrim(n, F.lit(".,"))) == value, F.lit(False))))
 
 
 def corroborated(lines: Column, amount: Column, subtotal: Column, tax_seen: Column) -> Column:
@@ -139,22 +271,7 @@ def corroborated(lines: Column, amount: Column, subtotal: Column, tax_seen: Colu
     return F.when(doubt & (_times(lines, F.abs(amount - subtotal), True) == 0) & (_times(lines, subtotal, False) >= 2) & (_times(lines, amount, False) == 1), subtotal).otherwise(amount).cast(MONEY)
 
 
-def _date(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
-
-
-def _day(raw: Column) -> Column:
-    """Day, month, year; two-digit years up to 68 are in this century."""
-    day, month, year = (F.get(F.split(raw, "[/-]"), F.lit(i)) for i in range(3))
-    century = F.when(F.length(year) > 2, "").when(year <= "68", "20").otherwise("19")
-    return F.when(raw != "", _date(F.concat(century, year), month, day))
-
-
-def _iso(raw: Column) -> Column:
-    return F.when(raw != "", _date(*(F.get(F.split(raw, "[/-]"), F.lit(i)) for i in range(3))))
-
-
-def parsed_receipts(texts: DataFrame, text: str = "text") -> DataFrame:
+def parsed_receipts(texts: DataFrame, text: str = "text", trace: str | None = None) -> DataFrame:
     """Texts with provider_name, provider_tax_id, subtotal, tax_amount, total_amount and expense_date.
 
     V07b: of lines labelled total (no subtotals, no savings) the strongest amount, of equal ones the last; the amount may stand
@@ -162,27 +279,38 @@ def parsed_receipts(texts: DataFrame, text: str = "text") -> DataFrame:
     V07e: the last labelled date with the year first, else the first labelled or ISO date, else a day beside a time or a
     receipt's mark; expiry lines don't count there. V07d: the tax becomes 0 where total and subtotal are equal.
     Null texts have an unknown provider and a total of 0.
+    V24: with `trace`, a column of that name tells where each field is from: array of field, line, rule, raw and chosen, first the
+    candidates in the order of the lines, then (line null) rules that set a field afterwards.
     """
-    # each step is a column of its own that the next ones name more than once, so that no line is searched twice
-    rows = texts.withColumn("__lines", lines_of(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.withColumn("__found", _found(F.col("__lines")))
-    lines, found, read = F.col("__lines"), F.col("__found"), F.col("__read")
-    rows = rows.withColumn("__read", F.transform(found, _read))
+    # each step is a column of its own that the next ones name more than once, so that no line is cut twice
+    rows = texts.withColumn("__bare", lines_of(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.withColumn("__tokens", _tokens(F.col("__bare")))
+    rows = rows.withColumn("__lines", _read(F.col("__tokens")))
+    rows = rows.withColumn("__raw", candidates(F.col("__lines")))
+    rows = rows.withColumn("__found", _valued(F.col("__raw")))
+    found = F.col("__found")
+    dated = lambda *rules: _of(found, "date", *rules)
     rows = rows.withColumns({
-        "subtotal": _last(_each(read, "subtotal")), "__tax": _last(_each(read, "tax")),
-        "__total": F.array_max(F.array_compact(_each(read, "total")))["value"], "__due": F.array_max(F.array_compact(_each(read, "due")))["value"],
-        "provider_name": F.coalesce(_first(F.transform(F.slice(lines, 1, HEAD_LINES), _provider)), F.lit(UNKNOWN_PROVIDER)),
-        "__tax_id": _first(F.transform(found, lambda x: F.when(x["tax_id"] != "", x["tax_id"]))),
-        "expense_date": F.coalesce(
-            _last(F.transform(found, lambda x: _iso(x["year_first"]))), _first(F.transform(found, lambda x: F.coalesce(_day(x["year_last"]), _iso(x["bare"])))),
-            _first(F.transform(found, lambda x: _day(x["beside"]))),
-        ),
+        "__subtotal": F.try_element_at(_of(found, "subtotal"), F.lit(-1)), "__tax": F.try_element_at(_of(found, "tax"), F.lit(-1)),
+        "__total": _strongest(_of(found, "total"), last=True), "__due": _strongest(_of(found, "due"), last=False),
+        "__provider": _first(_of(found, "provider")), "__tax_id": _first(_of(found, "tax_id")),
+        "__date": F.coalesce(F.try_element_at(dated(YEAR_FIRST), F.lit(-1)), _first(dated(LABELLED, ISO)), _first(dated(BESIDE))),
     })
-    amount = F.coalesce(F.when(F.col("__total") != 0, F.col("__total")), F.col("__due"), F.lit(0)).cast(MONEY)
-    rows = rows.withColumn("total_amount", corroborated(lines, amount, F.coalesce("subtotal", F.lit(0)), F.col("__tax").isNotNull()))
-    tax = F.when((F.col("subtotal") > 0) & (F.col("total_amount") == F.col("subtotal")), F.lit(0)).otherwise(F.coalesce("__tax", F.lit(0))).cast(MONEY)
-    tax_id = F.when(F.col("__tax_id").isNotNull(), F.upper(F.concat(*[F.regexp_extract("__tax_id", TAX_ID, i) for i in (1, 2, 3)])))
-    return rows.withColumns({"tax_amount": tax, "provider_tax_id": tax_id}).drop("__lines", "__found", "__read", "__tax", "__total", "__due", "__tax_id")
+    rows = rows.withColumn("__whole", F.coalesce(F.when(F.col("__total")["amount"] != 0, F.col("__total")), F.col("__due")))
+    printed, subtotal, seen = F.coalesce(F.col("__whole")["amount"], F.lit(0)).cast(MONEY), F.col("__subtotal")["amount"], F.col("__tax").isNotNull()
+    rows = rows.withColumns({
+        "provider_name": F.coalesce(F.col("__provider")["raw"], F.lit(UNKNOWN_PROVIDER)), "provider_tax_id": F.col("__tax_id")["raw"], "subtotal": subtotal,
+        "total_amount": corroborated(F.col("__lines"), printed, F.coalesce(subtotal, F.lit(0)), seen), "expense_date": F.col("__date")["day"],
+    })
+    untaxed = F.coalesce((F.col("subtotal") > 0) & (F.col("total_amount") == F.col("subtotal")), F.lit(False))
+    rows = rows.withColumn("tax_amount", F.when(untaxed, F.lit(0)).otherwise(F.coalesce(F.col("__tax")["amount"], F.lit(0))).cast(MONEY))
+    picks = ("__provider", "__tax_id", "__subtotal", "__tax", "__whole", "__date")
+    if trace is not None:
+        chosen = lambda c: reduce(lambda a, b: a | b, (c.eqNullSafe(F.col(p)) for p in picks))
+        step = lambda field, rule, when: F.when(when, F.struct(F.lit(field).alias("field"), F.lit(None).cast("int").alias("line"), F.lit(rule).alias("rule"), F.lit(None).cast("string").alias("raw"), F.lit(True).alias("chosen")))
+        later = F.array_compact(F.array(step("total", "subtotal printed oftener", F.col("total_amount") != printed), step("tax", "total is the subtotal", untaxed & seen & (F.col("__tax")["amount"] != 0))))
+        rows = rows.withColumn(trace, F.concat(F.transform(found, lambda c: F.struct(c["field"], c["line"], c["rule"], c["raw"], chosen(c).alias("chosen"))), later))
+    return rows.drop("__bare", "__tokens", "__lines", "__raw", "__found", "__total", "__due", *picks)
 
 
 def reading_scores(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -195,19 +323,71 @@ def reading_scores(texts: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("score", score.cast("int")).withColumn("good", F.col("score") >= GOOD_SCORE)
 
 
+#: Pieces of JSON: closed strings, marks, bare words and numbers, and a string that never closes.
+JSON_TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^\s{}\[\],:"]+|".*'
+#: Fields of an answer, each with the names that it may have there.
+ANSWER_TEXTS = {"provider_name": (), "provider_tax_id": (), "invoice_number": (), "currency": (), "raw_text": ()}
+ANSWER_AMOUNTS = {"total_amount": ("total",), "tax_amount": (), "subtotal": (), "excise_amount": ("ieps_amount",)}
+ANSWER_DATES = {"expense_date": ("invoice_date",)}
+NULL_WORDS = ("null", "none", "n/a", "", "desconocido")
+LEVEL = "struct<depth int, key string, ready boolean, value string, pairs array<struct<key string, value string>>>"
+
+
+def json_pairs(answer: Column) -> Column:
+    """The names and values (both as JSON writes them) of the first object in a text, whole or cut, in order.
+
+    Strings are read with their escapes, so that marks inside them don't count; what is nested is left out with its names. A number
+    or word that nothing follows may have been cut itself and is left out; text before and after the object is ignored.
+    """
+    tokens = F.regexp_extract_all(F.substring(answer, F.instr(answer, "{"), F.length(answer)), F.lit(JSON_TOKEN), F.lit(0))
+    start = F.expr("struct(0 AS depth, cast(null AS string) AS key, false AS ready, cast(null AS string) AS value, array() AS pairs)").cast(LEVEL)
+
+    def step(at: Column, t: Column) -> Column:
+        quoted = (F.length(t) > 1) & t.startswith('"') & t.endswith('"')
+        top, opens, closes = at["depth"] == 1, t.isin("{", "["), t.isin("}", "]")
+        ends = top & (closes | (t == ","))
+        string = top & at["ready"] & quoted & at["value"].isNull()
+        bare = top & at["ready"] & ~quoted & ~t.startswith('"') & ~t.isin(",", ":", "{", "[", "}", "]") & at["value"].isNull()
+        name = top & ~at["ready"] & quoted
+        pair = F.when(string, F.struct(at["key"].alias("key"), t.alias("value"))).when(ends & at["value"].isNotNull(), F.struct(at["key"].alias("key"), at["value"].alias("value")))
+        # once the object has been closed, its depth is -1 and nothing counts any more
+        depth = F.when(at["depth"] < 0, -1).when(closes & top, -1).when(closes, at["depth"] - 1).when(opens, at["depth"] + 1).otherwise(at["depth"])
+        key = F.when(name, t).when(ends | string | opens, F.lit(None)).otherwise(at["key"])
+        ready = F.when(ends | string | opens | name, False).when(top & (t == ":") & at["key"].isNotNull(), True).otherwise(at["ready"])
+        value = F.when(bare, t).when(ends | opens, F.lit(None)).otherwise(at["value"])
+        pairs = F.when(pair.isNotNull(), F.concat(at["pairs"], F.array(pair))).otherwise(at["pairs"])
+        return F.struct(depth.cast("int").alias("depth"), key.cast("string").alias("key"), ready.alias("ready"), value.cast("string").alias("value"), pairs.alias("pairs")).cast(LEVEL)
+
+    return F.when(F.coalesce(F.instr(answer, "{") > 0, F.lit(False)), F.aggregate(tokens, start, step, lambda at: at["pairs"])).otherwise(F.array().cast("array<struct<key string, value string>>"))
+
+
+def _plain_json(value: Column) -> Column:
+    """A string of JSON without its quotes and escapes; other values as they are."""
+    lenient = {"allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true"}
+    return F.when(value.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "v string", lenient)["v"]).otherwise(value)
+
+
+def _iso(raw: Column) -> Column:
+    return F.when(raw != "", _date(*_parts(raw)))
+
+
 def repaired_json(answer: Column) -> Column:
-    """A model's answer as a struct: code fences off, the outermost braces, else field by field; null words as nulls."""
-    bare = F.regexp_replace(answer, r"(?s)```(?:json)?", "")
-    sliced = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    whole = F.from_json(sliced, "provider_name string, provider_tax_id string, total_amount string, tax_amount string, subtotal string, expense_date string", {"mode": "PERMISSIVE"})
-
-    def field(name: str) -> Column:
-        salvaged = F.coalesce(_group(bare, rf'"{name}"\s*:\s*"([^"]*)"'), _group(bare, rf'"{name}"\s*:\s*(-?[\d.,]*\d)'))
-        value = F.trim(F.coalesce(whole[name], salvaged))
-        return F.when(~F.lower(value).isin("null", "none", "n/a", "", "desconocido"), value)
-
-    amounts = [receipt_number(field(n)).alias(n) for n in ("total_amount", "tax_amount", "subtotal")]
-    return F.struct(field("provider_name").alias("provider_name"), field("provider_tax_id").alias("provider_tax_id"), *amounts, _iso(field("expense_date")).alias("expense_date"))
+    """A model's answer as a struct of ANSWER_TEXTS, ANSWER_AMOUNTS and ANSWER_DATES; null words are nulls, of a repeated name the last counts.
+
+    Fences, text around the object and a cut end don't matter (see json_pairs); only names of the object itself count.
+    """
+
+    def made(pairs: Column) -> Column:
+        def field(name: str, others: tuple[str, ...]) -> Column:
+            own = F.filter(pairs, lambda p: p["key"].isin(f'"{name}"', *(f'"{o}"' for o in others)))
+            plain = F.transform(F.slice(own, F.greatest(F.size(own), F.lit(1)), 1), lambda p: F.trim(_plain_json(p["value"])))
+            return F.try_element_at(F.filter(plain, lambda v: ~F.lower(v).isin(*NULL_WORDS)), F.lit(1))
+
+        texts = [field(n, o).alias(n) for n, o in ANSWER_TEXTS.items()]
+        amounts = [receipt_number(field(n, o)).alias(n) for n, o in ANSWER_AMOUNTS.items()]
+        return F.struct(*texts, *amounts, *[_iso(field(n, o)).alias(n) for n, o in ANSWER_DATES.items()])
+
+    return F.get(F.transform(F.array(json_pairs(answer)), made), F.lit(0))
 
 
 def lines_from_boxes(boxes: DataFrame) -> DataFrame:

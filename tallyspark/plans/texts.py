@@ -60,11 +60,25 @@ PAPER = "'COMERCIAL ' || provider_name || chr(10) || 'RFC: ABC010101XY1' || chr(
 @query("V07_parsed_receipts", "SELECT id, 'COMERCIAL ' || provider_name AS provider_name, 'ABC010101XY1' AS provider_tax_id, cast(total_amount - tax_amount AS decimal(12,2)) AS subtotal, tax_amount, total_amount, expense_date FROM receipt")
 def v07(t: Tables):
     paper = F.expr(PAPER.replace("{day}", "date_format(expense_date, 'dd/MM/yyyy')"))
-    # a line is searched by a dozen patterns: rows of one small file are dealt to all cores first
+    # rows of one small file are dealt to all cores first
     rows = t.receipt.repartition("id").select("id", paper.alias("text"))
     return receipt_text.parsed_receipts(rows).select("id", "provider_name", "provider_tax_id", "subtotal", "tax_amount", "total_amount", "expense_date")
 
 
+TRACE = f"""SELECT id, cast(n AS int) AS n, field, cast(line AS int) AS line, rule, raw, field <> 'due' AS chosen FROM (
+  SELECT id, 0 AS n, 'provider' AS field, 0 AS line, 'look' AS rule, 'COMERCIAL ' || provider_name AS raw FROM receipt UNION ALL SELECT id, 1, 'tax_id', 1, 'labelled', 'ABC010101XY1' FROM receipt
+  UNION ALL SELECT id, 2, 'date', 2, 'labelled', strftime(expense_date, '%d/%m/%Y') FROM receipt UNION ALL SELECT id, 3, 'subtotal', 3, 'beside', cast(total_amount - tax_amount AS varchar) FROM receipt
+  UNION ALL SELECT id, 4, 'tax', 4, 'beside', cast(tax_amount AS varchar) FROM receipt UNION ALL SELECT id, 5, 'total', 5, CASE k % 3 WHEN 0 THEN 'beside' WHEN 1 THEN 'below' ELSE 'later' END, cast(total_amount AS varchar) FROM receipt
+  UNION ALL SELECT id, 6, 'due', 5, 'beside', cast(total_amount AS varchar) FROM receipt WHERE k % 3 = 0) AS candidates"""
+
+
+@query("V24_reading_trace", TRACE)
+def v24(t: Tables):
+    paper = F.expr(PAPER.replace("{day}", "date_format(expense_date, 'dd/MM/yyyy')"))
+    rows = receipt_text.parsed_receipts(t.receipt.repartition("id").select("id", paper.alias("text")), trace="why")
+    return rows.select("id", F.posexplode("why").alias("n", "w")).select("id", "n", "w.field", "w.line", "w.rule", "w.raw", "w.chosen")
+
+
 @query("V13_reading_scores", f"SELECT id, cast(CASE k % 2 WHEN 0 THEN 70 ELSE 30 END + {QUALITY.format('paper')} AS int) AS score, k % 2 = 0 AS good FROM (SELECT *, CASE k % 2 WHEN 0 THEN {PAPER.replace('{day}', "strftime(expense_date, '%d/%m/%Y')")} ELSE 'RFC ABC010101XY1 TOTAL 5.00' END AS paper FROM receipt) AS r")
 def v13_scores(t: Tables):
     paper = F.expr(f"CASE k % 2 WHEN 0 THEN {PAPER.replace('{day}', "date_format(expense_date, 'dd/MM/yyyy')")} ELSE 'RFC ABC010101XY1 TOTAL 5.00' END")
@@ -78,11 +92,19 @@ def v11(t: Tables):
     return t.documents.select("doc_id", gate.reader(kind, F.col("text"), F.col("doc_id") % 2 == 0).alias("reader"))
 
 
-@query("V12_repaired_json", "SELECT id, provider_name, CASE WHEN k % 3 = 1 THEN NULL ELSE total_amount END AS total_amount FROM receipt")
+#: A model's answer: whole and fenced, with nulls, cut in a string, cut in a number, with a nested total.
+ANSWER = """CASE k % 5 WHEN 0 THEN '```json\n{"provider_name": "' || provider_name || '", "total_amount": "' || cast(total_amount AS string) || '", "currency": "MXN"}\n```'
+  WHEN 1 THEN 'Here: {"provider_name": "' || provider_name || '", "total_amount": null, "invoice_number": "F-' || cast(k AS string) || '"}'
+  WHEN 2 THEN '{"provider_name": "' || provider_name || '", "total_amount": ' || cast(total_amount AS string) || ', "cut'
+  WHEN 3 THEN '{"invoice_number": "F-' || cast(k AS string) || '", "provider_name": "The \\\\"' || provider_name || '\\\\" {", "total_amount": ' || cast(total_amount AS string)
+  ELSE '{"items": [{"total": 99, "currency": "USD"}], "provider_name": "' || provider_name || '", "total": ' || cast(total_amount AS string) || ', "ieps_amount": 1.50, "invoice_date": "' || cast(expense_date AS string) || '"' END"""
+
+
+@query("V12_repaired_json", """SELECT id, CASE WHEN k % 5 = 3 THEN 'The "' || provider_name || '" {' ELSE provider_name END AS provider_name, CASE WHEN k % 5 IN (1, 3) THEN NULL ELSE total_amount END AS total_amount,
+  CASE WHEN k % 5 = 0 THEN 'MXN' END AS currency, CASE WHEN k % 5 IN (1, 3) THEN 'F-' || cast(k AS varchar) END AS invoice_number, cast(CASE WHEN k % 5 = 4 THEN 1.5 END AS decimal(12,2)) AS excise_amount, CASE WHEN k % 5 = 4 THEN expense_date END AS expense_date FROM receipt""")
 def v12(t: Tables):
-    answer = F.expr("CASE k % 3 WHEN 0 THEN '```json\n{\"provider_name\": \"' || provider_name || '\", \"total_amount\": \"' || cast(total_amount AS string) || '\"}\n```' WHEN 1 THEN 'Here: {\"provider_name\": \"' || provider_name || '\", \"total_amount\": null}' ELSE '{\"provider_name\": \"' || provider_name || '\", \"total_amount\": ' || cast(total_amount AS string) || ', \"cut' END")
-    found = receipt_text.repaired_json(answer)
-    return t.receipt.select("id", found["provider_name"].alias("provider_name"), found["total_amount"].alias("total_amount"))
+    found = t.receipt.select("id", receipt_text.repaired_json(F.expr(ANSWER)).alias("found"))
+    return found.select("id", *(F.col(f"found.{n}").alias(n) for n in ("provider_name", "total_amount", "currency", "invoice_number", "excise_amount", "expense_date")))
 
 
 @query("V14_lines_from_boxes")
