@@ -280,7 +280,7 @@ def parsed_receipts(texts: DataFrame, text: str = "text", trace: str | None = No
     receipt's mark; expiry lines don't count there. V07d: the tax becomes 0 where total and subtotal are equal.
     Null texts have an unknown provider and a total of 0.
     V24: with `trace`, a column of that name tells where each field is from: array of field, line, rule, raw and chosen, first the
-    candidates in the order of the lines, then (line null) rules that set a field afterwards.
+    candidates in the order of the lines, then (line null) rules that set a field afterwards. Unfold it with posexplode_outer, or from a stored table.
     """
     # each step is a column of its own that the next ones name more than once, so that no line is cut twice
     rows = texts.withColumn("__bare", lines_of(F.coalesce(F.col(text), F.lit(""))))
@@ -306,10 +306,12 @@ def parsed_receipts(texts: DataFrame, text: str = "text", trace: str | None = No
     rows = rows.withColumn("tax_amount", F.when(untaxed, F.lit(0)).otherwise(F.coalesce(F.col("__tax")["amount"], F.lit(0))).cast(MONEY))
     picks = ("__provider", "__tax_id", "__subtotal", "__tax", "__whole", "__date")
     if trace is not None:
-        chosen = lambda c: reduce(lambda a, b: a | b, (c.eqNullSafe(F.col(p)) for p in picks))
+        # the picks are an element of an array, so that they aren't made anew for each candidate
+        told = lambda p: F.transform(found, lambda c: F.struct(c["field"], c["line"], c["rule"], c["raw"], F.coalesce(F.array_contains(p, c), F.lit(False)).alias("chosen")))
+        reasons = F.flatten(F.transform(F.array(F.array_compact(F.array(*[F.col(p) for p in picks]))), told))
         step = lambda field, rule, when: F.when(when, F.struct(F.lit(field).alias("field"), F.lit(None).cast("int").alias("line"), F.lit(rule).alias("rule"), F.lit(None).cast("string").alias("raw"), F.lit(True).alias("chosen")))
         later = F.array_compact(F.array(step("total", "subtotal printed oftener", F.col("total_amount") != printed), step("tax", "total is the subtotal", untaxed & seen & (F.col("__tax")["amount"] != 0))))
-        rows = rows.withColumn(trace, F.concat(F.transform(found, lambda c: F.struct(c["field"], c["line"], c["rule"], c["raw"], chosen(c).alias("chosen"))), later))
+        rows = rows.withColumn(trace, F.concat(reasons, later))
     return rows.drop("__bare", "__tokens", "__lines", "__raw", "__found", "__total", "__due", *picks)
 
 
@@ -339,24 +341,31 @@ def json_pairs(answer: Column) -> Column:
     Strings are read with their escapes, so that marks inside them don't count; what is nested is left out with its names. A number
     or word that nothing follows may have been cut itself and is left out; text before and after the object is ignored.
     """
-    tokens = F.regexp_extract_all(F.substring(answer, F.instr(answer, "{"), F.length(answer)), F.lit(JSON_TOKEN), F.lit(0))
+    cut = F.regexp_extract_all(F.substring(answer, F.instr(answer, "{"), F.length(answer)), F.lit(JSON_TOKEN), F.lit(0))
+    sort = lambda t: F.when(t.startswith('"'), F.when((F.length(t) > 1) & t.endswith('"'), "string").otherwise("open string")).when(t.isin("{", "["), "{").when(t.isin("}", "]"), "}").when(t.isin(",", ":"), t).otherwise("bare")
+    tokens = F.transform(cut, lambda t: F.struct(t.alias("t"), sort(t).alias("sort")))
     start = F.expr("struct(0 AS depth, cast(null AS string) AS key, false AS ready, cast(null AS string) AS value, array() AS pairs)").cast(LEVEL)
 
-    def step(at: Column, t: Column) -> Column:
-        quoted = (F.length(t) > 1) & t.startswith('"') & t.endswith('"')
-        top, opens, closes = at["depth"] == 1, t.isin("{", "["), t.isin("}", "]")
-        ends = top & (closes | (t == ","))
-        string = top & at["ready"] & quoted & at["value"].isNull()
-        bare = top & at["ready"] & ~quoted & ~t.startswith('"') & ~t.isin(",", ":", "{", "[", "}", "]") & at["value"].isNull()
-        name = top & ~at["ready"] & quoted
-        pair = F.when(string, F.struct(at["key"].alias("key"), t.alias("value"))).when(ends & at["value"].isNotNull(), F.struct(at["key"].alias("key"), at["value"].alias("value")))
+    def state(at: Column, depth=None, key=None, ready=None, value=None, pairs=None) -> Column:
+        new = {"depth": depth, "key": key, "ready": ready, "value": value, "pairs": pairs}
+        return F.struct(*[(at[n] if v is None else v).alias(n) for n, v in new.items()])
+
+    def step(at: Column, token: Column) -> Column:
+        t, sort, none, no, one = token["t"], token["sort"], F.lit(None).cast("string"), F.lit(False), F.lit(1)
+        with_pair = lambda value: F.concat(at["pairs"], F.array(F.struct(at["key"].alias("key"), value.alias("value"))))
+        kept = F.when(at["value"].isNotNull(), with_pair(at["value"])).otherwise(at["pairs"])
         # once the object has been closed, its depth is -1 and nothing counts any more
-        depth = F.when(at["depth"] < 0, -1).when(closes & top, -1).when(closes, at["depth"] - 1).when(opens, at["depth"] + 1).otherwise(at["depth"])
-        key = F.when(name, t).when(ends | string | opens, F.lit(None)).otherwise(at["key"])
-        ready = F.when(ends | string | opens | name, False).when(top & (t == ":") & at["key"].isNotNull(), True).otherwise(at["ready"])
-        value = F.when(bare, t).when(ends | opens, F.lit(None)).otherwise(at["value"])
-        pairs = F.when(pair.isNotNull(), F.concat(at["pairs"], F.array(pair))).otherwise(at["pairs"])
-        return F.struct(depth.cast("int").alias("depth"), key.cast("string").alias("key"), ready.alias("ready"), value.cast("string").alias("value"), pairs.alias("pairs")).cast(LEVEL)
+        return (
+            F.when(at["depth"] < 0, at)
+            .when(at["depth"] != 1, F.when(sort == "{", state(at, depth=at["depth"] + one)).when(sort == "}", state(at, depth=at["depth"] - one)).otherwise(at))
+            .when(sort == "string", F.when(~at["ready"], state(at, key=t)).when(at["value"].isNull(), state(at, key=none, ready=no, pairs=with_pair(t))).otherwise(at))
+            .when(sort == ":", F.when(at["key"].isNotNull(), state(at, ready=F.lit(True))).otherwise(at))
+            .when(sort == "bare", F.when(at["ready"] & at["value"].isNull(), state(at, value=t)).otherwise(at))
+            .when(sort == ",", state(at, key=none, ready=no, value=none, pairs=kept))
+            .when(sort == "{", state(at, depth=F.lit(2), key=none, ready=no, value=none))
+            .when(sort == "}", state(at, depth=F.lit(-1), key=none, ready=no, value=none, pairs=kept))
+            .otherwise(at)
+        )
 
     return F.when(F.coalesce(F.instr(answer, "{") > 0, F.lit(False)), F.aggregate(tokens, start, step, lambda at: at["pairs"])).otherwise(F.array().cast("array<struct<key string, value string>>"))
 
