@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,8 @@ SYNONYMS = {
 }
 DATE_FORMATS = ("dd/MM/yyyy", "yyyy-MM-dd", "dd-MM-yyyy", "MM/dd/yyyy", "dd.MM.yyyy")
 SNIFFED_ROWS = 50
+#: What the separator is found by.
+SNIFFED_LINES, SNIFFED_CHARS = 100, 4096
 
 
 class UnreadableStatement(ValueError):
@@ -34,11 +38,46 @@ class Form:
     date_format: str | None
 
 
-def detect_separator(header: str) -> str:
-    """The separator that a statement's first line holds most often; a comma if none."""
-    counts = {s: header.count(s) for s in SEPARATORS}
-    best = max(SEPARATORS, key=lambda s: counts[s])
-    return best if counts[best] else ","
+def _records(sample: str, separator: str) -> list[int]:
+    """How many fields each of the sample's records has; separators and line breaks in quotes don't count."""
+    return [len(r) for r in csv.reader(io.StringIO(sample, newline=""), delimiter=separator, skipinitialspace=True) if r]
+
+
+def detect_separator(sample: str) -> str:
+    """The separator by which a statement's first records have as many fields as its header.
+
+    Of SEPARATORS the one that most records agree on, then the one with most fields; if none cuts the header, any other mark of
+    the header by which all records (two at least) have as many fields as it; else a comma.
+    """
+    best, choice = (0.0, 0), ""
+    for separator in SEPARATORS:
+        fields = _records(sample, separator)
+        if fields and fields[0] > 1:
+            score = (fields.count(fields[0]) / len(fields), fields[0])
+            best, choice = max((best, choice), (score, separator), key=lambda x: x[0])
+    if choice:
+        return choice
+    header = sample.lstrip().split("\n", 1)[0]
+    for mark in dict.fromkeys(c for c in header if not (c.isalnum() or c.isspace() or c in "\"'_.-")):
+        fields = _records(sample, mark)
+        if len(fields) > 1 and fields[0] > 1 and set(fields) == {fields[0]}:
+            return mark
+    return ","
+
+
+def _sample(spark: SparkSession, path: str, encoding: str) -> str:
+    """A statement's first whole lines, SNIFFED_CHARS at most (the first line in any case)."""
+    lines, size = [], 0
+    for (line,) in spark.read.option("encoding", encoding).text(path).limit(SNIFFED_LINES).collect():
+        size += len(line) + 1
+        if lines and size > SNIFFED_CHARS:
+            break
+        lines.append(line)
+    sample = "\n".join(lines).lstrip("\ufeff")
+    # a quoted field that the sample's end cuts would make one record of all that follows its quote
+    while sample.count('"') % 2 and "\n" in sample:
+        sample = sample.rsplit("\n", 1)[0]
+    return sample
 
 
 def resolve_headers(header: list[str], named: dict[str, str] | None = None) -> dict[str, str]:
@@ -80,8 +119,7 @@ def read_statement(spark: SparkSession, path: str, named: dict[str, str] | None
         raise UnreadableStatement(f"encoding {encoding} is not one of {', '.join(ENCODINGS)}")
     java = _JAVA[encoding.lower()]
     if separator is None:
-        first = spark.read.option("encoding", java).text(path).limit(1).collect()
-        separator = detect_separator(first[0][0].lstrip("﻿")) if first else ","
+        separator = detect_separator(_sample(spark, path, java))
     raw = spark.read.csv(path, header=True, sep=separator, encoding=java, inferSchema=False, mode="FAILFAST", multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     if not raw.columns:
         raise UnreadableStatement("an empty file")
