@@ -5,10 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import description_key
-from ..sources.scratch import stored
+from .segments import moved_entries, replayed
 
 ITEM = "array<struct<description:string,quantity:string,unit_price:string,total:string>>"
 QUANTITY, MONEY, STOCK = "decimal(14,3)", "decimal(12,2)", "decimal(24,3)"
@@ -146,33 +145,39 @@ def checked_movements(movements: DataFrame, ledger: DataFrame, part: int = PART)
     """Manual movements with `accepted`: receipts only as adjustments, and issues only as far as stock reaches.
 
     Movements of one product are replayed by date and id from its stock in the ledger; only accepted ones change
-    it, a refused one writes nothing. A task holds at most `part` movements of a product; its stock goes from part to part.
+    it, a refused one writes nothing. A task holds at most `part` movements; parts of a product are replayed at once,
+    from the stock that there is if nothing before them is refused. The lowest stock above an issue, and the least that a
+    refused one lacks, say for which other stocks at its beginning a part's answers are the same.
     """
-    names, w = movements.columns, Window.partitionBy("product_id").orderBy("moved_on", "id")
-    rows = movements.withColumn("__part", F.floor((F.row_number().over(w) - 1) / part).cast("int"))
-    rows = stored(rows, "movements")
-    first = rows.agg(F.max("__part")).first()[0]
-    state, done = stock(ledger).select("product_id", F.col("stock").alias("__stock")), None
-    fields = [*movements.schema.fields, T.StructField("__stock", T.DecimalType(24, 3)), T.StructField("__last", T.BooleanType()), T.StructField("accepted", T.BooleanType())]
-
-    def replay(product: pd.DataFrame) -> pd.DataFrame:
-        product = product.sort_values("__row")
-        have, accepted = product["__stock"].iloc[0], []
-        for kind, quantity in zip(product["kind"], product["quantity"], strict=True):
-            ok = quantity is not None and quantity > 0 and (kind == "AJUSTE" or (kind == "SALIDA" and quantity <= have))
+
+    def run(rows: pd.DataFrame, state: list):
+        have, accepted, lower, higher = state[0], [], None, None
+        for kind, quantity in zip(rows["kind"], rows["quantity"], strict=True):
+            ok = quantity is not None and quantity > 0 and kind in ("AJUSTE", "SALIDA")
+            if ok and kind == "SALIDA":
+                spare = have - quantity
+                ok = spare >= 0
+                if ok:
+                    lower = spare if lower is None else min(lower, spare)
+                else:
+                    higher = -spare if higher is None else min(higher, -spare)
             if ok:
                 have += quantity if kind == "AJUSTE" else -quantity
             accepted.append(bool(ok))
-        last = [False] * (len(product) - 1) + [True]
-        return product.assign(__stock=have, __last=last, accepted=accepted)[[f.name for f in fields]]
-
-    for k in range((first or 0) + 1):
-        own = rows.where(F.col("__part") == k).drop("__part").withColumn("__row", F.row_number().over(w)).join(state, "product_id", "left")
-        own = own.withColumn("__stock", F.coalesce("__stock", F.lit(0)).cast(STOCK))
-        checked = stored(own.groupBy("product_id").applyInPandas(replay, T.StructType(fields)), "checked")
-        state = checked.where("__last").select("product_id", "__stock")
-        done = checked if done is None else done.unionByName(checked)
-    return done.select(*names, "accepted")
+        return {"accepted": accepted}, [have], [lower, higher]
+
+    def unrefused(cut: DataFrame) -> DataFrame:
+        change = F.when(F.col("quantity") > 0, F.when(F.col("kind") == "AJUSTE", F.col("quantity")).when(F.col("kind") == "SALIDA", -F.col("quantity")))
+        sums = cut.groupBy("product_id", "__part").agg(F.sum(change).alias("change"), F.first("__start").alias("start"))
+        before = F.sum("change").over(Window.partitionBy("product_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+        later = sums.withColumn("before", before).withColumn("n", F.row_number().over(Window.partitionBy("product_id").orderBy("__part"))).where("n > 1")
+        stock_then = F.greatest(F.col("start")[0] + F.coalesce("before", F.lit(0)), F.lit(0)).cast(STOCK)
+        return later.select("__part", F.array(stock_then).alias("__entry"))
+
+    opening = stock(ledger).select("product_id", F.col("stock").alias("__stock"))
+    rows = movements.join(opening, "product_id", "left").withColumn("__start", F.array(F.coalesce("__stock", F.lit(0)).cast(STOCK)))
+    rows = rows.select(*movements.columns, "__start")
+    return replayed(rows, "product_id", ["moved_on", "id"], run, "accepted boolean", f"array<{STOCK}>", part, moved_entries, unrefused)
 
 
 def assigned_lines(actions: DataFrame, lines: DataFrame, purchases: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -202,7 +202,13 @@ def _attempts(t: Tables):
     return t.events.select(F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("email"), F.lit("ip").alias("ip"), F.timestamp_micros(1_704_067_200_000_000 + F.col("event_id") * 4_000_000).alias("ts"), (F.col("event_type") == "purchase").alias("success"))
 
 
-@query("R01_login_limiter")
+@query("R01_login_limiter", """SELECT key, ts, success, blocked, blocks FROM (WITH RECURSIVE a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, success) AS k
+      FROM (SELECT 'u' || cast(user_id % 40 AS varchar) || '|ip' AS key, cast(1704067200 + event_id * 4 AS double) AS ts, event_type = 'purchase' AS success FROM events) AS e),
+    turn AS (SELECT DISTINCT key, cast(0 AS bigint) AS k, cast([] AS double[]) AS failures, cast(0 AS double) AS until, cast(0 AS double) AS ts, false AS success, false AS blocked, false AS blocks FROM a
+      UNION ALL SELECT key, k, CASE WHEN blocked THEN failures WHEN success OR blocks THEN cast([] AS double[]) ELSE recent END, CASE WHEN blocked THEN until WHEN success THEN 0 WHEN blocks THEN ts + 60 ELSE until END, ts, success, blocked, blocks
+      FROM (SELECT *, NOT blocked AND NOT success AND len(recent) >= 5 AS blocks
+        FROM (SELECT a.key, a.k, a.ts, a.success, t.failures, t.until, a.ts < t.until AS blocked, list_append(list_filter(t.failures, lambda x: x > a.ts - 60), a.ts) AS recent FROM turn AS t JOIN a ON a.key = t.key AND a.k = t.k + 1) AS r) AS n)
+  SELECT * FROM turn WHERE k > 0) AS x""")
 def r01(t: Tables):
     return limiter.blocked_attempts(_attempts(t))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.scratch import stored
+from ..operators.segments import replayed
 
 FAILURES, WINDOW_S, KEEP_S = 5, 60.0, 900
 OUT = "key string, ts double, success boolean, blocked boolean, blocks boolean"
@@ -49,45 +49,17 @@ def keyed(attempts: DataFrame) -> DataFrame:
 def blocked_attempts(attempts: DataFrame, part: int = PART) -> DataFrame:
     """Every attempt with whether it met a block and whether it began one; a key's attempts are replayed in time order.
 
-    They are cut at long pauses, and then into parts of at most `part` attempts that follow each other: a task
-    holds one part, and the rule's state goes from part to part.
+    A task holds at most `part` attempts; parts of a key are replayed at once, and again where the state before them turns out to be another.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("key", "session").orderBy("ts", "success")
-    rows = sessions(keyed(attempts)).select("key", "session", "ts", "success").withColumn("part", F.floor((F.row_number().over(w) - 1) / part).cast("int"))
-    rows = stored(rows, "attempts")
-    last, state, done = rows.agg(F.max("part")).first()[0], None, None
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "success"])
-        first = rows.iloc[0]
-        failures, until = ([], 0.0) if first["failures"] is None else (list(first["failures"]), float(first["until"]))
-        out, failures, until = replay(zip(rows["ts"], rows["success"], strict=True), failures, until)
-        ends = [False] * (len(out) - 1) + [True]
-        return pd.DataFrame([(first["key"], *x, first["session"], end, failures if end else None, until) for x, end in zip(out, ends, strict=True)], columns=names)
-
-    kind = f"{OUT}, session long, last boolean, {STATE}"
-    names = [f.split()[0] for f in kind.split(", ")]
-    for k in range((last or 0) + 1):
-        own = rows.where(F.col("part") == k)
-        if state is None:
-            own = own.withColumns({"failures": F.lit(None).cast("array<double>"), "until": F.lit(None).cast("double")})
-        else:
-            own = own.join(state, ["key", "session"])
-        replayed = stored(own.groupBy("key", "session").applyInPandas(one, kind), "replayed")
-        state = replayed.where("last").select("key", "session", "failures", "until")
-        done = replayed if done is None else done.unionByName(replayed)
-    return done.select("key", "ts", "success", "blocked", "blocks")
-
-
-def sessions(rows: DataFrame) -> DataFrame:
-    """Cut a key's attempts where more than twice the window passes without any: no block or failure outlives that, so the parts are independent."""
-    from pyspark.sql import Window
+    def run(rows: pd.DataFrame, state: list[float]):
+        out, failures, until = replay(zip(rows["ts"], rows["success"], strict=True), state[1:], state[0])
+        now = out[-1][0]  # what no later attempt can tell apart is one state
+        left = [until if until > now else 0.0, *(t for t in failures if t > now - WINDOW_S)]
+        return {"blocked": [x[2] for x in out], "blocks": [x[3] for x in out]}, left, None
 
-    w = Window.partitionBy("key").orderBy("ts")
-    gap = (F.col("ts") - F.lag("ts").over(w)) > 2 * WINDOW_S
-    return rows.withColumn("session", F.sum(F.coalesce(gap.cast("int"), F.lit(0))).over(w))
+    rows = keyed(attempts).select("key", "ts", "success", F.array(F.lit(0.0)).alias("__start"))
+    return replayed(rows, "key", ["ts", "success"], run, "blocked boolean, blocks boolean", "array<double>", part)
 
 
 def bursts(attempts: DataFrame, failures: int = FAILURES, seconds: int = int(WINDOW_S)) -> DataFrame:
