@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import integrity, queues, scans, transitions
+from ..operators import integrity, queues, scan_run, scans, transitions
 from ..sources.views import Tables
 from ..streaming import limiter
 from .registry import AS_OF, query
@@ -38,6 +38,36 @@ def k01(t: Tables):
     return scans.scan_actions(t.scan_listing, t.scan_file).select("path", "action")
 
 
+RUN = """(SELECT path, content_hash, action, status, CASE WHEN action = 'CREADO' THEN substr(sha256('co|' || path || '|' || content_hash), 1, 32) WHEN status IN ('ERROR', 'DUPLICADO', 'NO_SOPORTADO') THEN NULL ELSE old_receipt END AS receipt_id, old_receipt, extraction_status
+  FROM (SELECT *, CASE WHEN quiet AND same THEN 'SIN_CAMBIOS' WHEN quiet OR unsupported THEN 'OMITIDO' WHEN failed THEN 'ERROR' WHEN fresh AND twin THEN 'OMITIDO' WHEN rid IS NULL THEN 'CREADO' WHEN reviewed THEN 'OMITIDO' ELSE 'ACTUALIZADO' END AS action,
+      CASE WHEN quiet THEN old_status WHEN unsupported THEN 'NO_SOPORTADO' WHEN failed THEN 'ERROR' WHEN fresh AND twin THEN 'DUPLICADO' ELSE 'PROCESADO' END AS status
+    FROM (SELECT l.path, l.content_hash, f.receipt_id AS old_receipt, f.status AS old_status, l.k % 11 = 5 AS unsupported, l.k % 13 = 6 AS failed, f.path IS NULL AS fresh, f.content_hash = l.content_hash AS same, r.id AS rid, r.k % 4 = 0 AS reviewed, r.extraction_status,
+        f.path IS NOT NULL AND f.status NOT IN ('PENDIENTE', 'ERROR') AND f.receipt_id IS NOT NULL AS quiet,
+        EXISTS (SELECT 1 FROM scan_file AS g WHERE g.content_hash = l.content_hash AND g.path <> l.path AND g.status = 'PROCESADO' AND g.receipt_id IS NOT NULL) AS twin
+      FROM scan_listing AS l LEFT JOIN scan_file AS f ON f.path = l.path LEFT JOIN receipt AS r ON r.id = f.receipt_id) AS x) AS y)"""
+RETIRED = f"""(SELECT y.path, y.content_hash, action, status, y.receipt_id, CASE WHEN y.receipt_id IS NULL THEN NULL WHEN action = 'CREADO' OR coalesce(extraction_status NOT IN ('AUTO_APROBADO', 'APROBADO'), true) THEN 'BANDEJA' WHEN d.sha256 = y.content_hash THEN 'RETIRADO' ELSE 'SIN_RESPALDO' END AS retire
+  FROM {RUN} AS y LEFT JOIN (SELECT receipt_id, arg_max(content_hash, k) AS sha256 FROM scan_file GROUP BY 1) AS d ON d.receipt_id = y.old_receipt)"""
+
+
+def _run(t: Tables):
+    found = t.scan_listing.select("path", "content_hash", F.when(F.col("k") % 11 == 5, "unknown").otherwise("pdf").alias("file_type"), (F.col("k") % 13 == 6).alias("failed"))
+    receipts = t.receipt.select("id", "extraction_status", (F.col("k") % 4 == 0).alias("reviewed"))
+    documents = t.scan_file.select("receipt_id", F.col("k").alias("version"), F.col("content_hash").alias("sha256"))
+    return found, scan_run.run_details(found, t.scan_file, receipts, documents, "co", cap=None)
+
+
+@query("K02_scan_run", f"SELECT * FROM {RETIRED} AS z")
+def k02(t: Tables):
+    return _run(t)[1]
+
+
+@query("K02_run_totals", f"""SELECT (SELECT count(*) FROM scan_listing) AS seen, cast(0 AS bigint) AS waiting, count(*) FILTER (WHERE action = 'CREADO') AS created, count(*) FILTER (WHERE action = 'ACTUALIZADO') AS updated, count(*) FILTER (WHERE action = 'SIN_CAMBIOS') AS unchanged, count(*) FILTER (WHERE action = 'OMITIDO' AND status = 'DUPLICADO') AS duplicates,
+    count(*) FILTER (WHERE action = 'OMITIDO' AND status = 'NO_SOPORTADO') AS unsupported, count(*) FILTER (WHERE action = 'ERROR') AS failed, count(*) FILTER (WHERE retire = 'BANDEJA') AS in_tray, count(*) FILTER (WHERE retire = 'RETIRADO') AS retired FROM {RETIRED} AS z""")
+def k02_totals(t: Tables):
+    found, details = _run(t)
+    return scan_run.run_totals(found, details, None)
+
+
 @query("K03_retirable", """SELECT l.path, min(d.receipt_id) AS receipt_id FROM scan_listing AS l JOIN (SELECT receipt_id, arg_max(sha256, version) AS content_hash FROM (SELECT k % 60 + 32 AS receipt_id, content_hash AS sha256, k AS version FROM scan_file) AS v GROUP BY 1) AS d ON d.content_hash = l.content_hash
     JOIN receipt AS r ON r.k = d.receipt_id AND r.extraction_status IN ('AUTO_APROBADO', 'APROBADO') GROUP BY 1""")
 def k03(t: Tables):
