@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 from pyspark.sql import Column
@@ -35,9 +36,47 @@ def strip_accents(s: Column) -> Column:
     return F.regexp_replace(F.translate(s, _ACCENTED, _BASE), r"\p{Mn}", "")
 
 
+# Hangul syllables stand in the order of their leading consonants, vowels and final consonants (none first).
+_SYLLABLES, _LAST_SYLLABLE = 0xAC00, 0xD7A3
+_LEADS, _VOWELS, _FINALS = ([chr(first + i) for i in range(n)] for first, n in ((0x1100, 19), (0x1161, 21), (0x11A7, 28)))
+_FINALS[0] = ""
+
+
+@functools.cache
+def _decompositions() -> tuple[str, str, str, str]:
+    """All characters with a compatibility decomposition, marks left out: those of one character or none, and the characters
+    of the former in the same order; those of several, and these texts, each after a separator."""
+    single, base, none, several, texts = [], [], [], [], []
+    for code in (*range(0x80, 0xAC00), *range(0xE000, 0x110000)):
+        c = chr(code)
+        d = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(d) > 1:
+            several.append(c)
+            texts.append(d)
+        elif d != c:
+            (single if d else none).append(c)
+            base.append(d)
+    return "".join(single + none), "".join(base), "".join(several), "\x1f".join(texts)
+
+
+def folded(s: Column) -> Column:
+    """Compatibility decomposition without marks: ﬁ as fi, full width as plain letters, ½ as 1⁄2, Hangul as its letters. Plain ASCII is passed through."""
+    single, base, several, texts = _decompositions()
+
+    def spelt(c: Column) -> Column:
+        k = F.ascii(c) - _SYLLABLES
+        letter = lambda letters, at: F.get(F.split(F.lit("\x1f".join(letters)), "\x1f"), at.cast("int"))
+        syllable = F.concat(letter(_LEADS, F.floor(k / 588)), letter(_VOWELS, F.floor(k % 588 / 28)), letter(_FINALS, k % 28))
+        return F.when(k.between(0, _LAST_SYLLABLE - _SYLLABLES), syllable).otherwise(F.coalesce(F.get(F.split(F.lit(texts), "\x1f"), F.position(c, F.lit(several)) - 1), c))
+
+    some = (F.length(F.translate(s, several, "")) < F.length(s)) | s.rlike(f"[{chr(_SYLLABLES)}-{chr(_LAST_SYLLABLE)}]")
+    spelt_out = F.when(some, F.array_join(F.transform(F.split(s, ""), spelt), "")).otherwise(s)
+    return F.when(F.octet_length(s) > F.length(s), F.translate(spelt_out, single, base)).otherwise(s)
+
+
 def comparable(s: Column) -> Column:
-    """upper case, without accents, each run of other than A-Z 0-9 one space."""
-    return F.trim(F.regexp_replace(F.upper(strip_accents(F.coalesce(s, F.lit("")))), "[^A-Z0-9]+", " "))
+    """upper case, decomposed without accents, each run of other than A-Z 0-9 one space."""
+    return F.trim(F.regexp_replace(F.upper(folded(F.coalesce(s, F.lit("")))), "[^A-Z0-9]+", " "))
 
 
 def long_words(provider: Column) -> Column:
@@ -58,7 +97,7 @@ def mentions(provider: Column, description: Column) -> Column:
 def category_key(s: Column) -> Column:
     """the key that categories are grouped by; null and blank are unclassified."""
     bare = F.regexp_replace(s, r"^\s+|\s+$", "")
-    return F.when(F.coalesce(bare, F.lit("")) == "", UNCLASSIFIED).otherwise(strip_accents(F.upper(bare)))
+    return F.when(F.coalesce(bare, F.lit("")) == "", UNCLASSIFIED).otherwise(folded(F.upper(bare)))
 
 
 def no_category(s: Column) -> Column:
@@ -94,8 +133,9 @@ def category_order(key: Column) -> Column:
 
 def description_key(s: Column) -> Column:
     """Trimmed, lower case, no accents, single spaces, no marks at the ends."""
-    bare = F.lower(strip_accents(F.regexp_replace(s, r"^\s+|\s+$", "")))
-    return F.btrim(F.regexp_replace(bare, r"\s+", " "), F.lit(" .,:;-*#"))
+    blank = r"[\s\x1c-\x1f]+"
+    bare = folded(F.lower(F.regexp_replace(s, rf"(?U)^{blank}|{blank}$", "")))
+    return F.btrim(F.regexp_replace(bare, f"(?U){blank}", " "), F.lit(" .,:;-*#"))
 
 
 def formula_guard(s: Column) -> Column:
@@ -132,7 +172,7 @@ def capped_text(s: Column, limit: int = 20_000, head: int = 12_000, tail: int =
 
 def file_name(*parts: Column, extension: str) -> Column:
     """a safe file name: words of letters and digits joined by underscores, lower case."""
-    joined = F.lower(strip_accents(F.concat_ws("_", *parts)))
+    joined = F.lower(folded(F.concat_ws("_", *parts)))
     return F.concat(F.btrim(F.regexp_replace(joined, r"[^a-z0-9._-]+", "_"), F.lit("_")), F.lit(f".{extension}"))
 
 
