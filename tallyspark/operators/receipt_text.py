@@ -12,8 +12,9 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.money import MONEY, marked_number, receipt_number
 from ..functions.text import UNKNOWN_PROVIDER, strip_accents, text_quality
@@ -399,23 +400,41 @@ def repaired_json(answer: Column) -> Column:
     return F.get(F.transform(F.array(json_pairs(answer)), made), F.lit(0))
 
 
-def lines_from_boxes(boxes: DataFrame) -> DataFrame:
+#: Boxes of a page that are merged in one go, if the page can be cut between them.
+PAGE_PART = 5_000
+
+
+def lines_from_boxes(boxes: DataFrame, part: int = PAGE_PART) -> DataFrame:
     """Boxes (page_id, x0, x1, y0, y1, text) as lines (page_id, line, text): by top and left edge, a box joins the
-    first line that it overlaps by more than half of the lower height. Pages are independent; one page's boxes meet in one task."""
-
-    def merge(page: pd.DataFrame) -> pd.DataFrame:
-        page = page[page["text"].fillna("").str.strip() != ""].sort_values(["y0", "x0"], kind="stable")
-        rows: list[list] = []  # top, bottom, boxes
-        for box in page.itertuples(index=False):
-            for row in rows:
-                overlap = min(row[1], box.y1) - max(row[0], box.y0)
-                if overlap > 0.5 * min(row[1] - row[0], box.y1 - box.y0):
-                    row[0], row[1] = min(row[0], box.y0), max(row[1], box.y1)
-                    row[2].append(box)
+    first line that it overlaps by more than half of the lower height; a line's boxes are read by their left edges.
+
+    Where no box above reaches below a box's top, no line goes across: a page is cut there into islands, and about `part`
+    boxes of neighbouring islands go into one task. Boxes without text or place have no line.
+    """
+    w = Window.partitionBy("page_id").orderBy("y0", "x0", "y1", "x1", "text")
+    seen = boxes.where(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]") & ~F.isnull(F.col("x0") + F.col("x1") + F.col("y0") + F.col("y1")))
+    lowest = F.max(F.greatest("y0", "y1")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = seen.select("page_id", "x0", "y0", "y1", "text", F.row_number().over(w).alias("n"), F.coalesce(F.least("y0", "y1") >= lowest, F.lit(True)).alias("fresh"), "x1")
+    island = F.max(F.when(F.col("fresh"), F.col("n"))).over(w)
+    rows = rows.withColumn("block", F.floor(island / part)).select("page_id", "block", "n", "fresh", "x0", "y0", "y1", "text")
+
+    def merge(block: pd.DataFrame) -> pd.DataFrame:
+        lines: list[list] = []  # top, bottom, boxes
+        first = 0  # of the island
+        for box in block.sort_values("n").itertuples(index=False):
+            if box.fresh:
+                first = len(lines)
+            for line in lines[first:]:
+                overlap = min(line[1], box.y1) - max(line[0], box.y0)
+                if overlap > 0.5 * min(line[1] - line[0], box.y1 - box.y0):
+                    line[0], line[1] = min(line[0], box.y0), max(line[1], box.y1)
+                    line[2].append(box)
                     break
             else:
-                rows.append([box.y0, box.y1, [box]])
-        texts = [" ".join(b.text for b in sorted(row[2], key=lambda b: b.x0)) for row in rows]
-        return pd.DataFrame({"page_id": pd.Series(page["page_id"].iloc[: len(texts)].tolist(), dtype="object"), "line": pd.Series(range(len(texts)), dtype="int32"), "text": pd.Series(texts, dtype="object")})
+                lines.append([box.y0, box.y1, [box]])
+        texts = [" ".join(b.text for b in sorted(line[2], key=lambda b: b.x0)) for line in lines]
+        return pd.DataFrame({"page_id": block["page_id"].iloc[0], "block": block["block"].iloc[0], "place": range(len(texts)), "text": texts})
 
-    return boxes.groupBy("page_id").applyInPandas(merge, "page_id string, line int, text string")
+    merged = rows.groupBy("page_id", "block").applyInPandas(merge, T.StructType([boxes.schema["page_id"], T.StructField("block", T.LongType()), T.StructField("place", T.LongType()), T.StructField("text", T.StringType())]))
+    line = F.row_number().over(Window.partitionBy("page_id").orderBy("block", "place")) - 1
+    return merged.select("page_id", line.alias("line"), "text")

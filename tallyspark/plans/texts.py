@@ -108,7 +108,13 @@ def v12(t: Tables):
     return found.select("id", *(F.col(f"found.{n}").alias(n) for n in ("provider_name", "total_amount", "currency", "invoice_number", "excise_amount", "expense_date")))
 
 
-@query("V14_lines_from_boxes")
+@query("V14_lines_from_boxes", """SELECT page_id, cast(place - 1 AS int) AS line, string_agg(text, ' ' ORDER BY x0, k) AS text FROM (WITH RECURSIVE w AS (SELECT cast(conv_id AS varchar) || '-' || cast(turn AS varchar) AS page_id, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM conversations),
+    p AS (SELECT page_id, text, i % 7 * 10.0::double AS x0, i // 7 * 12.0::double + i % 3 AS y0, i // 7 * 12.0::double + 10 + i % 2 AS y1 FROM w WHERE regexp_matches(text, '\\S')),
+    b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y0, x0, y1, text) AS k FROM p),
+    turn AS (SELECT DISTINCT page_id, cast(0 AS bigint) AS k, cast([] AS struct(a double, b double)[]) AS lines, cast(0 AS bigint) AS place, cast(NULL AS varchar) AS text, cast(0 AS double) AS x0 FROM b
+      UNION ALL SELECT page_id, k, CASE WHEN hit = 0 THEN list_append(lines, {'a': y0, 'b': y1}) ELSE list_concat(list_concat(lines[:hit - 1], [{'a': least(lines[hit].a, y0), 'b': greatest(lines[hit].b, y1)}]), lines[hit + 1:]) END, CASE WHEN hit = 0 THEN len(lines) + 1 ELSE hit END, text, x0
+      FROM (SELECT b.*, t.lines, cast(coalesce(list_position(list_transform(t.lines, lambda r: least(r.b, b.y1) - greatest(r.a, b.y0) > 0.5 * least(r.b - r.a, b.y1 - b.y0)), true), 0) AS bigint) AS hit FROM turn AS t JOIN b ON b.page_id = t.page_id AND b.k = t.k + 1) AS n)
+  SELECT * FROM turn WHERE k > 0) AS z GROUP BY page_id, place""")
 def v14(t: Tables):
     words = t.conversations.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("page_id"), F.posexplode(F.split("text", " ")).alias("i", "text"))
     line = F.floor(F.col("i") / 7)
