@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,7 +149,7 @@ def checked_movements(movements: DataFrame, ledger: DataFrame, part: int = PART)
     refused one lacks, say for which other stocks at its beginning a part's answers are the same.
     """
 
-    def run(rows: pd.DataFrame, state: list):
+    def run(rows: dict[str, list], state: list):
         have, accepted, lower, higher = state[0], [], None, None
         for kind, quantity in zip(rows["kind"], rows["quantity"], strict=True):
             ok = quantity is not None and quantity > 0 and kind in ("AJUSTE", "SALIDA")

@@ -9,7 +9,9 @@ The state at most parts' ends hardly depends on where they began, so a pass or t
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +62,7 @@ def replayed(
 ) -> DataFrame:
     """rows (with __start, the state before a key's first row) with the columns of results (a schema).
 
-    run(rows of one key in order, state) gives (results by column, state after them, room or None); state is an
+    run(rows of one key in order, lists by column, state) gives (results by column, lists, state after them, room or None); state is an
     array type. guess makes (__part, __entry) of the cut rows, for parts that begin within a key. wrong(ends, key)
     names the parts to replay again, with their entries; it gets key, __part, __used, __exit and __room of the first and last key of each part.
     """
@@ -72,15 +74,21 @@ def replayed(
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([key, *order], kind="stable", na_position="first").reset_index(drop=True)
-        entry, pieces = frame["__entry"].iloc[0], []
-        for i, (_, rows) in enumerate(frame.groupby(key, sort=False, dropna=False)):
-            used = list(rows["__start"].iloc[0] if i or entry is None else entry)
-            columns, left, room = run(rows, used)
-            last = [None] * (len(rows) - 1)
-            pieces.append(rows[[*names, "__part"]].assign(**columns, __end=False, __used=[*last, used], __exit=[*last, left], __room=[*last, room]))
-        for piece in (pieces[0], pieces[-1]):
-            piece.iloc[-1, piece.columns.get_loc("__end")] = True
-        return pd.concat(pieces)[schema.names]
+        entry, n = frame["__entry"].iloc[0], len(frame)
+        values, starts = {c: frame[c].tolist() for c in names}, frame["__start"].tolist()
+        results: dict[str, list] = {c: [] for c in added.names}
+        marks: dict[str, list] = {"__end": [False] * n, "__used": [None] * n, "__exit": [None] * n, "__room": [None] * n}
+        cuts = [0, *(np.flatnonzero(np.diff(pd.factorize(frame[key])[0])) + 1), n]
+        # lists, as a frame of its own for each key would take far longer than its few rows
+        for low, high in pairwise(cuts):
+            used = list(starts[low] if low or entry is None else entry)
+            columns, left, room = run({c: v[low:high] for c, v in values.items()}, used)
+            for c in added.names:
+                results[c] += columns[c]
+            if low == 0 or high == n:
+                for c, v in zip(marks, (True, used, left, room), strict=True):
+                    marks[c][high - 1] = v
+        return frame[[*names, "__part"]].assign(**results, **marks)[schema.names]
 
     entries = guess(cut) if guess else None
     given = cut.join(entries, "__part", "left") if entries is not None else cut.withColumn("__entry", F.lit(None).cast(kind))

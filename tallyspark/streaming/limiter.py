@@ -52,7 +52,7 @@ def blocked_attempts(attempts: DataFrame, part: int = PART) -> DataFrame:
     A task holds at most `part` attempts; parts of a key are replayed at once, and again where the state before them turns out to be another.
     """
 
-    def run(rows: pd.DataFrame, state: list[float]):
+    def run(rows: dict[str, list], state: list[float]):
         out, failures, until = replay(zip(rows["ts"], rows["success"], strict=True), state[1:], state[0])
         now = out[-1][0]  # what no later attempt can tell apart is one state
         left = [until if until > now else 0.0, *(t for t in failures if t > now - WINDOW_S)]
