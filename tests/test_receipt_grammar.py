@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from datetime import date
 from decimal import Decimal
 
@@ -91,3 +92,21 @@ def test_cut_answers_against_a_parser(spark):
 def test_answers_without_a_field(spark, answer):
     got = spark.createDataFrame([(answer,)], "a string").select(receipt_text.repaired_json(F.col("a")).alias("r")).first().r
     assert all(v is None for v in got)
+
+
+def test_blank_lines_and_marks_at_ends(spark):
+    """Blank lines don't count, blanks around a line and light marks behind its amount neither; a line separator is no blank."""
+    df = spark.createDataFrame([(1, " \t\n  PAN DULCE \u2028\r\n\n \nTOTAL\n \t$ 5.00 :\n ")], "id int, text string")
+    got = receipt_text.parsed_receipts(df, trace="why").first()
+    assert (got.provider_name, got.total_amount) == ("PAN DULCE \u2028", Decimal("5.00"))
+    assert [(w.field, w.line, w.rule) for w in got.why] == [("provider", 0, "look"), ("total", 1, "below")]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """A text of many blanks, marks or lines is read in a time that grows with its length; tokens are written with a blank around each."""
+    texts = ["x" + " " * 200_000 + "TOTAL 5.00", "TOTAL" + " :" * 100_000 + "5.00", "1" + "." * 200_000 + "\nTOTAL 5.00", "\n".join(["pan 1.00"] * 20_000 + ["TOTAL 5.00"])]
+    began = time.monotonic()
+    got = receipt_text.parsed_receipts(spark.createDataFrame([(t,) for t in texts], "text string")).select("total_amount").collect()
+    assert [r[0] for r in got] == [Decimal("5.00")] * 4 and time.monotonic() - began < 60
+    lines = spark.createDataFrame([("TOTAL 5.00\nIVA 1.00",)], "text string").select(receipt_text._spaced(F.lower("text")).alias("t")).first().t
+    assert lines.split("\n") == [" total 5.00 ", " iva 1.00 "]
