@@ -77,7 +77,10 @@ def as_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def dealt(keys: np.ndarray, buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket with the positions of its keys, in the keys' order."""
-    order = np.lexsort((keys, buckets))
+    if len(keys) and (keys[1:] >= keys[:-1]).all():  # the usual case; small numbers are sorted by their digits
+        order = np.argsort(buckets.astype(np.uint16) if buckets.max() < 1 << 16 else buckets, kind="stable")
+    else:
+        order = np.lexsort((keys, buckets))
     cuts = np.flatnonzero(np.diff(buckets[order])) + 1
     for part in np.split(order, cuts) if len(order) else ():
         yield int(buckets[part[0]]), part
@@ -176,10 +179,7 @@ def _blocks(docs: DataFrame, buckets: int, held_out: Column) -> DataFrame:
     """Rows SEQUENCE, ORDER and WORDS of all blocks."""
 
     def closed(block: int, numbers: _Numbers, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        trained = np.zeros(len(numbers), np.int64)
-        for _, held, sequence in rows:
-            if not held:
-                trained += np.bincount(sequence, minlength=len(numbers))
+        trained = np.bincount(np.concatenate([np.empty(0, np.uint32), *[x for _, held, x in rows if not held]]), minlength=len(numbers))
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))
         order, out = [], []
         for bucket, part in dealt(hashes, (hashes % np.uint64(buckets)).astype(np.int64)):
@@ -244,25 +244,44 @@ def _by_kind(table: pa.Table, kind: int) -> list[dict]:
     return sorted(rows, key=lambda r: r["bucket"])
 
 
-def _numbered(block: pa.Table, answers: pa.Table) -> list[tuple[int, bool, np.ndarray]]:
-    """The block's documents (id, held_out, words by number in the vocabulary; -1: not seen), always in the same order."""
+@dataclass(frozen=True)
+class Block:
+    """A block's documents one after another, always in the same order: each one's id, whether it is held out and its length, and the words' numbers inside
+    the block. ids: the number in the vocabulary of each of these; -1: not seen. What depends on a word alone is computed once for each of the block's words."""
+
+    doc_ids: list[int | None]
+    held: np.ndarray
+    lengths: np.ndarray
+    numbers: np.ndarray
+    ids: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.lengths) - self.lengths
+
+    def before(self, begin: int) -> np.ndarray:
+        """The number inside the block of the word before each word; begin where a document begins."""
+        out = np.empty(len(self.numbers), np.int64)
+        out[1:] = self.numbers[:-1]
+        out[self.starts] = begin
+        return out
+
+
+def _numbered(block: pa.Table, answers: pa.Table) -> Block:
     rows = block.select(["kind", "keys", "counts"]).to_pylist()
     order = unpack(next(r["keys"] for r in rows if r["kind"] == ORDER), np.uint32)
     ids = np.empty(len(order), np.int64)
     ids[order] = np.concatenate([unpack(r["keys"], np.int64) for r in _by_kind(answers, WORDS)])
-    out = []
-    for r in rows:
-        if r["kind"] == SEQUENCE:
-            lengths, doc_ids, flags = unpack(r["counts"], np.int64).reshape(3, -1)
-            words = ids[unpack(r["keys"], np.uint32)]
-            for x, doc_id, flag in zip(np.split(words, np.cumsum(lengths)[:-1]), doc_ids.tolist(), flags.tolist(), strict=True):
-                out.append((None if flag & 2 else doc_id, bool(flag & 1), x))
-    return out
+    rows = [r for r in rows if r["kind"] == SEQUENCE]
+    lengths, doc_ids, flags = np.concatenate([unpack(r["counts"], np.int64).reshape(3, -1) for r in rows], axis=1)
+    named = [None if flag & 2 else x for x, flag in zip(doc_ids.tolist(), flags.tolist(), strict=True)]
+    return Block(named, (flags & 1).astype(bool), lengths, np.concatenate([unpack(r["keys"], np.uint32) for r in rows]), ids)
 
 
-def _pairs(ids: np.ndarray, size: int) -> np.ndarray:
+def _pairs(block: Block, size: int) -> np.ndarray:
     """The key of each token's context and word; -1 where either was not seen."""
-    before = np.concatenate([[size], ids[:-1]])
+    ids = block.ids[block.numbers]
+    before = np.append(block.ids, size)[block.before(len(block.ids))]
     return np.where((before >= 0) & (ids >= 0), before * size + ids, -1)
 
 
@@ -273,18 +292,28 @@ def _pair_buckets(keys: np.ndarray, words: Words, buckets: int, per_bucket: int)
     return ((mix64(before.astype(np.uint64)) + mix64(keys.astype(np.uint64)) % spread) % np.uint64(buckets)).astype(np.int64)
 
 
-def _asked(documents: list[tuple[int, bool, np.ndarray]], words: Words, buckets: int, per_bucket: int):
-    """The block's distinct pairs, their training counts and buckets, and its distinct contexts."""
-    empty = [np.empty(0, np.int64)]
-    own = [(held, _pairs(ids, words.size)) for _, held, ids in documents]
-    trained, times = np.unique(np.concatenate([x for held, x in own if not held] or empty), return_counts=True)
-    keys = np.union1d(trained, np.unique(np.concatenate([x for held, x in own if held] or empty)))
+def _contexts(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block's distinct contexts: every seen word that another follows, and the begin of a document; and for each number inside the block, the begin's behind
+    them, the place of its context, else that behind the last."""
+    used = np.zeros(len(block.ids) + 1, bool)
+    used[block.before(len(block.ids))] = True
+    known = np.flatnonzero(used & (np.append(block.ids, size) >= 0))
+    contexts = np.append(block.ids, size)[known]
+    order = np.argsort(contexts)
+    place = np.full(len(used), len(contexts), np.int64)
+    place[known[order]] = np.arange(len(contexts))
+    return contexts[order], place
+
+
+def _asked(block: Block, pairs: np.ndarray):
+    """The distinct ones of the block's pairs and their training counts."""
+    held = np.repeat(block.held, block.lengths)
+    trained, times = np.unique(pairs[~held], return_counts=True)
+    keys = np.union1d(trained, pairs[held])
     counts = np.zeros(len(keys), np.int64)
     counts[np.searchsorted(keys, trained)] = times
-    keys, counts = keys[keys >= 0], counts[keys >= 0]
-    # every seen word may be a context, and so may the begin of a document
-    contexts = np.unique(np.concatenate([[words.size], *[ids[:-1] for _, _, ids in documents]]))
-    return keys, counts, _pair_buckets(keys, words, buckets, per_bucket), contexts[contexts >= 0]
+    first = int(np.searchsorted(keys, 0))
+    return keys[first:], counts[first:]
 
 
 @dataclass(frozen=True)
@@ -414,7 +443,9 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
     def asked(block: pa.Table, answers: pa.Table) -> pa.Table:
         words = shared.value
         number = block.column("block")[0].as_py()
-        keys, counts, buckets, contexts = _asked(_numbered(block, answers), words, plan.buckets, plan.per_bucket)
+        whole = _numbered(block, answers)
+        keys, counts = _asked(whole, _pairs(whole, words.size))
+        buckets, contexts = _pair_buckets(keys, words, plan.buckets, plan.per_bucket), _contexts(whole, words.size)[0]
         out = [(number, b, PAIRS, pack_sorted(keys[part]), pack(counts[part].astype(np.int32))) for b, part in dealt(keys, buckets)]
         out += [(number, b, CONTEXTS, pack_sorted(contexts[part]), None) for b, part in dealt(contexts, contexts % plan.buckets)]
         return pa.Table.from_batches([as_rows(out)])
@@ -428,31 +459,35 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
 
     def scored(block: pa.Table, answers: pa.Table) -> pa.Table:
         words = shared.value
-        documents = _numbered(block, answers)
-        keys, _, buckets, contexts = _asked(documents, words, plan.buckets, plan.per_bucket)
+        whole = _numbered(block, answers)
+        pairs = _pairs(whole, words.size)
+        order = np.argsort(pairs)
+        ranked = pairs[order]
+        new = np.append(True, ranked[1:] != ranked[:-1])
+        at = np.empty(len(pairs), np.int64)
+        at[order] = np.cumsum(new) - 1
+        keys = ranked[new]
+        first = int(np.searchsorted(keys, 0))  # 1 where words or contexts were not seen
+        buckets = _pair_buckets(keys[first:], words, plan.buckets, plan.per_bucket)
         totals = np.zeros(len(keys), np.int64)
-        if len(keys):
-            totals[np.concatenate([p for _, p in dealt(keys, buckets)])] = np.concatenate([unpack(r["keys"], np.int64) for r in _by_kind(answers, PAIRS)])
+        if len(keys) > first:
+            totals[first + np.concatenate([p for _, p in dealt(keys[first:], buckets)])] = np.concatenate([unpack(r["keys"], np.int64) for r in _by_kind(answers, PAIRS)])
+        contexts, place = _contexts(whole, words.size)
         below, alpha = np.ones(len(contexts) + 1), np.ones(len(contexts) + 1)  # the last: contexts not seen
         if len(contexts):
             got = [unpack(r["keys"], np.float64) for r in _by_kind(answers, CONTEXTS)]
             order = np.concatenate([p for _, p in dealt(contexts, contexts % plan.buckets)])
             below[order] = np.concatenate([x[: len(x) // 2] for x in got])
             alpha[order] = np.concatenate([x[len(x) // 2 :] for x in got])
-        out = []
-        for doc_id, is_held, tokens in documents:
-            c = words.count(tokens)
-            pairs = _pairs(tokens, words.size)
-            at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
-            seen = np.where(pairs >= 0, totals[at], 0) if len(keys) else np.zeros(len(tokens), np.int64)
-            before = np.concatenate([[words.size], tokens[:-1]])
-            k = np.where(before >= 0, np.searchsorted(contexts, before), len(contexts))
-            p = np.where(seen > 0, kept_counts(seen, d) / below[k], alpha[k] * words.p(c))
-            base = np.log10((c + 0.1) / (words.tokens + 0.1 * (words.size + 1)))
-            out.append((doc_id, is_held, len(tokens), int((c > 0).sum()), words.tokens, float(base.sum()), float(np.log10(p).sum())))
-        columns = zip(*out, strict=True)
+        c = words.count(whole.ids)
+        base = np.log10((c + 0.1) / (words.tokens + 0.1 * (words.size + 1)))
+        seen, k = totals[at], place[whole.before(len(whole.ids))]
+        p = np.where(seen > 0, kept_counts(seen, d) / below[k], alpha[k] * words.p(c)[whole.numbers])
+        each = lambda x: np.add.reduceat(x, whole.starts)
+        n = len(whole.lengths)
+        columns = [whole.doc_ids, whole.held, whole.lengths, each((c > 0).astype(np.int64)[whole.numbers]), np.full(n, words.tokens), each(base[whole.numbers]), each(np.log10(p))]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], names=SCORED.names)
+        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=SCORED.names)
 
     answers = ids.unionByName(counted.where(f"kind = {PAIRS}").select(*ROW.names)).unionByName(weights)
     return sequences.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, SCORED)

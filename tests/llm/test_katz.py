@@ -106,3 +106,17 @@ def test_totals_beyond_32_bits(spark):
     assert [katz.unpack(r["keys"], np.int64).tolist() for r in counted if r["kind"] == katz.PAIRS] == [[3 * much, 3]] * 3
     assert [katz.unpack(r["counts"], np.int64).tolist() for r in counted if r["kind"] == katz.MODEL] == [[3 * much, 3]]
     assert {r["h"]: r["rest"] for r in counted if r["kind"] == katz.CONTEXTS} == {0: 3 * much, 1: 0}
+
+
+def test_a_block_is_scored_at_once(spark, monkeypatch):
+    """What depends on a word alone is computed for each distinct word of a block, not for each document."""
+    words = katz.Words.of([(1, 3), (4, 2)], 2)
+    asked = []
+    monkeypatch.setattr(katz.Words, "count", lambda self, ids, f=katz.Words.count: asked.append(len(ids)) or f(self, ids))
+    ids = np.array([0, 1, -1, 4])
+    block = katz.Block([7, None, 9], np.array([False, True, False]), np.array([3, 1, 4]), np.array([1, 2, 0, 0, 1, 3, 1, 0], np.uint32), ids)
+    assert katz._pairs(block, words.size).tolist() == [26, -1, -1, 25, 26, 9, 21, 5]
+    contexts, place = katz._contexts(block, words.size)
+    assert contexts.tolist() == [1, 4, 5] and place[[1, 3, 4]].tolist() == [0, 1, 2] and place[[0, 2]].tolist() == [3, 3]
+    keys, counts = katz._asked(block, katz._pairs(block, words.size))
+    assert dict(zip(keys.tolist(), counts.tolist())) == {26: 2, 25: 0, 9: 1, 21: 1, 5: 1} and not asked
