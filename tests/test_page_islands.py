@@ -42,3 +42,12 @@ def test_a_large_page_is_spread_over_tasks(spark):
     rows = receipt_text.lines_from_boxes(df)
     got = rows.selectExpr("count(*) AS n", "max(line) AS last", "count_if(text = array_join(transform(sequence(0, 7), i -> string(line * 8 + i)), ' ')) AS right").first()
     assert tuple(got) == (5000, 4999, 5000)
+
+
+def test_small_pages_cost_no_frame_of_their_own(spark):
+    """Pages go through a task as one stream, after one shuffle; pages without an id are one page."""
+    boxes = [(p, x, x + 9.0, y, y + 10.0, f"{x:g}/{y:g}") for p in (None, "a", "b") for y in (0.0, 12.0) for x in (10.0, 0.0)]
+    rows = receipt_text.lines_from_boxes(spark.createDataFrame(boxes, BOX), 1)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("Exchange") == 1
+    assert sorted((r.page_id or "", r.line, r.text) for r in rows.collect()) == [(p, i, f"0/{y} 10/{y}") for p in ("", "a", "b") for i, y in enumerate((0, 12))]
