@@ -158,14 +158,31 @@ def parse_html(html: str | None) -> list[dict] | None:
     return [{"position": i} | x for i, x in enumerate(reader.items)]
 
 
+#: Characters of pages whose items are Python objects at a time (a longer page is by itself).
+PARSED_CHARS = 1 << 20
+ITEMS = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
+
+
+def parsed_pages(texts: pa.Array) -> pa.Array:
+    """The items of each page; only few pages at a time are Python objects, however many a batch has."""
+    out, some, chars = [], [], 0
+    for x in texts:
+        html = x.as_py()
+        if some and chars + len(html or "") > PARSED_CHARS:
+            out.append(pa.array(some, ITEMS))
+            some, chars = [], 0
+        some.append(parse_html(html))
+        chars += len(html or "")
+    return pa.concat_arrays([*out, pa.array(some, ITEMS)])
+
+
 def interleaved(pages: DataFrame, html: str = "html", items: str = "items") -> DataFrame:
     """pages with the list of their items; a null page has a null list, an empty one an empty list; a column of that name is replaced."""
     small_batches(pages.sparkSession)
 
     @F.arrow_udf(T.ArrayType(ITEM))
     def parsed(texts: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
-        return pa.array([parse_html(x) for x in texts.to_pylist()], kind)
+        return parsed_pages(texts)
 
     return pages.withColumn(items, parsed(html))
 

@@ -81,3 +81,20 @@ def test_op7_against_recomputed_bytes(spark, sf_dir):
                 block = [payload[64 * y + x : 64 * y + x + 8] for y in range(a, b)]
                 bits = bits * 2 + (sum(map(sum, block)) / (8 * len(block)) > mean + 1e-9)
         assert r.feature == f"{height}x64:{mean:.3f}:{bits:016x}"
+
+
+def test_few_pages_at_a_time_are_python_objects():
+    """A batch of many pages gives what its pages give one by one, in a small part of the memory that their items take as Python objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pages = [None, "", *["<p>some words</p><img src='a.png' alt='b'>" * 500] * 200]
+    texts = pa.array(pages)
+    want = [media.parse_html(x) for x in pages[:3]]
+    tracemalloc.start()
+    got = media.parsed_pages(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == len(pages) and peak < 40e6
+    assert [[{k: v for k, v in i.items() if v is not None} for i in x] if x is not None else None for x in got[:3].to_pylist()] == [[{k: v for k, v in i.items() if v is not None} for i in x] if x is not None else None for x in want]
