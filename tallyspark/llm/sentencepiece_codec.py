@@ -29,7 +29,7 @@ SPACE = "▁"
 LITERAL = "\udfff"  # stands for a U+2581 of the text; no valid text holds it
 UNIT = 1024
 UNKNOWN_PENALTY = 10.0
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
 
 
 @dataclass
@@ -41,12 +41,16 @@ class Vocabulary:
     tokens: list[bytes]
     unknown: int
     longest: int = 0
-    table: dict[str, tuple[int, int] | None] = field(default_factory=dict)  # pieces, and None for what only begins one
+    tree: dict[str, tuple] = field(default_factory=dict)  # pieces by characters: each one's (score, id or -1 for what only begins one, what may follow)
     split: re.Pattern | None = None
 
     def __post_init__(self):
         self.longest = max(map(len, self.ids), default=1)
-        self.table = dict.fromkeys(p[:k] for p in self.ids for k in range(1, len(p))) | self.ids
+        follows = {"": self.tree}
+        for p in sorted({p[:k] for p in self.ids for k in range(1, len(p) + 1)}, key=len):
+            one, score = self.ids.get(p, (-1, 0))
+            follows[p] = {}
+            follows[p[:-1]][p[-1]] = (score, one, follows[p])
         chars = {c for p in self.ids for c in p}
         stop = "".join(c for c in "\n\t\r" if c not in chars)
         words = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
@@ -83,11 +87,12 @@ def load_vocabulary(model_file: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts one after another; keeps the ids of frequent segments, at most CACHE_ENTRIES."""
+    """Encodes texts one after another; keeps the ids of segments in two halves of at most CACHE_ENTRIES together. A full half takes the other's place, so what comes again stays."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.longest_window = 0
 
     def _unknown(self, char: str) -> list[int]:
@@ -96,7 +101,7 @@ class Encoder:
     def stream(self, s: str) -> list[int]:
         """The ids of the best segmentation of s; of equal ones, that whose last piece is longest."""
         v, n, longest = self.v, len(s), self.v.longest
-        pieces, table = v.ids, v.table
+        pieces = v.ids
         out: list[int] = []
         done = 0
         best = {0: 0}  # scores of the surviving states
@@ -104,17 +109,18 @@ class Encoder:
         check = 2 * longest
         for i in range(n):
             at = best.pop(i)
-            end, top = i + 1, min(n, i + longest)
-            while end <= top:
-                hit = table.get(s[i:end], 0)
-                if hit == 0:
+            follow, end = v.tree, i
+            for char in s[i : i + longest]:
+                hit = follow.get(char)
+                if hit is None:
                     break
-                if hit:
-                    score = at + hit[1]
+                score, one, follow = hit
+                end += 1
+                if one >= 0:
+                    score += at
                     if end not in best or score > best[end]:
                         best[end] = score
-                        back[end] = (i, hit[0])
-                end += 1
+                        back[end] = (i, one)
             if i + 1 not in best or at + v.unknown > best[i + 1] and s[i] not in pieces:
                 best[i + 1] = at + v.unknown
                 back[i + 1] = (i, -1)
@@ -141,21 +147,23 @@ class Encoder:
 
     def short(self, s: str) -> list[int]:
         """The same for a segment that lies within one window, where nothing can be committed early."""
-        get, unknown = self.v.table.get, self.v.unknown
+        tree, unknown = self.v.tree, self.v.unknown
         n = len(s)
         best, start, ids = [-(1 << 60)] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0
         for i in range(n):
-            at = best[i]
-            for end in range(i + 1, n + 1):
-                hit = get(s[i:end], 0)
-                if hit:
-                    score = at + hit[1]
-                    if score > best[end]:
-                        best[end], start[end], ids[end] = score, i, hit[0]
-                elif hit == 0:
+            at, follow, end = best[i], tree, i
+            for char in s[i:]:
+                hit = follow.get(char)
+                if hit is None:
                     break
-            if at + unknown > best[i + 1] and not get(s[i]):
+                score, one, follow = hit
+                end += 1
+                if one >= 0:
+                    score += at
+                    if score > best[end]:
+                        best[end], start[end], ids[end] = score, i, one
+            if at + unknown > best[i + 1] and (s[i] not in tree or tree[s[i]][1] < 0):
                 best[i + 1], start[i + 1], ids[i + 1] = at + unknown, i, -1
         out: list[int] = []
         while n:
@@ -168,10 +176,10 @@ class Encoder:
         return out
 
     def segment(self, s: str) -> bytes:
-        ids = array("i", self.short(s) if len(s) <= self.v.longest else self.stream(s)).tobytes()
+        ids = self.cache.get(s) or self.older.get(s) or array("i", self.short(s) if len(s) <= self.v.longest else self.stream(s)).tobytes()
         if len(s) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
+            if len(self.cache) >= CACHE_ENTRIES // 2:
+                self.older, self.cache = self.cache, {}
             self.cache[s] = ids
         return ids
 

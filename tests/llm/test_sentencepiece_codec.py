@@ -76,6 +76,20 @@ def test_short_equals_stream(vocabulary):
             assert e.short(s) == e.stream(s)
 
 
+def test_remembered_stretches_are_few_and_frequent(vocabulary, monkeypatch):
+    """The table stays within its bound, and a stretch that comes again and again is searched once."""
+    monkeypatch.setattr(c, "CACHE_ENTRIES", 100)
+    e = c.Encoder(vocabulary)
+    searched, search = [], e.short
+    monkeypatch.setattr(e, "short", lambda s: searched.append(s) or search(s))
+    for k in range(1000):
+        ids = e.encode(f"hello a{k}").tolist()
+        assert c.decode(ids, vocabulary.tokens) == f"hello a{k}"
+        assert len(e.cache) + len(e.older) <= 100
+    assert searched.count(f"{c.SPACE}hello") == 1 and len(searched) == 1001
+    assert c.CACHE_ENTRIES == 100 and c.Encoder(vocabulary).encode("hello a1" * 40).tolist() == e.encode("hello a1" * 40).tolist()
+
+
 def test_documents(spark):
     rows = [(1, "hello world", "x"), (2, None, "y"), (3, "", "z"), (1, "hello world", "x"), (None, "long " * 5000, "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
