@@ -1,12 +1,13 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes of a text.
 
 Python only tokenises (tokens_of): each text is cut into parts that no token of either side leaves, and a
-block of texts is written as its distinct parts, with ids and byte offsets of the tokens' ends of both
-sides, and each text's list of parts. The rest are Spark's higher-order functions over these arrays: where
-both have an end (array_intersect) a group of tokens ends. Each end that at least one has (array_union)
-closes one stretch of bytes that lies in one token of either side, so these ends number the links. A token
-is found from a byte by an array that repeats the token's place for each of its bytes. A text's groups and
-links are those of its parts in order. All is linear in the text.
+block of texts is written as its distinct parts and each text's list of parts. A part has the byte ends of
+both sides' tokens, for each byte the ids of the tokens that hold it, and the ids in decimal with the place
+of each byte's. The rest are Spark's higher-order functions over these arrays: where both have an end
+(array_intersect) a group of tokens ends. Each end that at least one has (array_union) closes one stretch of
+bytes that lies in one token of either side, so these ends number the links. Spark interprets such functions
+node by node, so what a link or group needs is looked up by its byte. A text's groups and links are those of
+its parts in order. All is linear in the text.
 
 The corpus-wide table of linked ids (id_pairs) counts documents. Its most frequent pairs, at most
 HOT_PAIRS of them, are broadcast to the documents; links of the others meet their counts by a shuffle, in
@@ -19,7 +20,7 @@ import json
 import re
 from array import array
 from functools import cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,7 @@ class ByteTokenizer:
         self.bytes: list[bytes] = [b""] * self.size
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(byte_of[c] for c in token if c in byte_of)
-        self.lengths = np.array(list(map(len, self.bytes)), np.int32)
+        self.lengths, self.decimal, self.digits = _measures(self.bytes)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         plain = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not spec["normalizer"]
         self.fast = None
@@ -84,6 +85,12 @@ class ByteTokenizer:
         return [next(rest) if ids is None else ids for ids in out]
 
 
+def _measures(tokens: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """For each id the length of its bytes, the id in decimal with a comma, and the length of that."""
+    decimal = [b"%d," % i for i in range(len(tokens))]
+    return np.array(list(map(len, tokens)), np.int32), decimal, np.array(list(map(len, decimal)), np.int32)
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The characters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow from U+0100."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -101,7 +108,7 @@ class PieceTokenizer:
         self.size = sp.get_piece_size()
         pieces = [sp.id_to_piece(i) for i in range(self.size)]
         self.bytes = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.lengths = np.array([len(x) for x in self.bytes], np.int32)
+        self.lengths, self.decimal, self.digits = _measures(self.bytes)
         # no piece goes across the start of a word, a line break or a mark after a letter or digit
         self.cuts = not any(SPACE in p.lstrip(SPACE) or len(p) > 1 and "\n" in p or re.search(f"[{_WORD}][{_MARKS}]", p) for i, p in enumerate(pieces) if not sp.is_byte(i))
 
@@ -120,12 +127,13 @@ def tokenizers(a_file: str, b_file: str) -> tuple[ByteTokenizer, PieceTokenizer]
 
 
 class Parts:
-    """Cuts texts and encodes the parts; remembers up to CACHE_PARTS of them. None stands for a part that a side doesn't give back byte by byte."""
+    """Cuts texts and encodes the parts; remembers those of the last blocks, about CACHE_PARTS. None stands for a part that a side doesn't give back byte by byte."""
 
     def __init__(self, a: ByteTokenizer, b: PieceTokenizer):
         self.sides = a, b
         self.cut = b.cuts
         self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
 
     def parts(self, text: str | None) -> list[str]:
         if not text:
@@ -141,10 +149,13 @@ class Parts:
 
     def learn(self, parts: list[str]) -> None:
         """Encode those parts that aren't known."""
-        known = self.known
-        if len(known) > CACHE_PARTS:
-            known.clear()
+        if len(self.known) > CACHE_PARTS // 3:  # a block adds to either half
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         new = [p for p in parts if p not in known]
+        if older:
+            known.update((p, older[p]) for p in new if p in older)
+            new = [p for p in new if p not in known]
         both = [side.encode_parts(new) for side in self.sides]
         raw = "".join(new).encode()
         all_same = all(b"".join([side.bytes[i] for ids in found for i in ids]) == raw for side, found in zip(self.sides, both, strict=True))
@@ -158,12 +169,43 @@ class Parts:
                 self.known.pop(p, None)
 
 
+@cache
+def parts_of(a_file: str, b_file: str) -> Parts:
+    """A worker's own, kept from task to task."""
+    return Parts(*tokenizers(a_file, b_file))
+
+
 _INTS = T.ArrayType(T.IntegerType(), False)
-PART = T.StructType([T.StructField(c, _INTS, False) for c in ("a", "a_end", "b", "b_end")])
+#: Of each side: where its tokens end; of each place in the bytes, from 0 to the end, the id of the token that holds the byte before (0: none) and where in digits the ids from here on begin (from 1).
+#: digits holds the ids in decimal, a comma after each, a's before b's.
+SIDE = ("_end", "_id", "_from")
+PART = T.StructType([*(T.StructField(side + c, _INTS, False) for side in "ab" for c in SIDE), T.StructField("digits", T.BinaryType(), False)])
+
+
+def _sums(sizes: np.ndarray) -> np.ndarray:
+    """0 and the running sums."""
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def part_fields(sides: tuple, tokens: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+    """The fields of PART from each side's tokens: the ids, one part after another, and how many are in each part."""
+    lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.astype(np.int32, copy=False), pa.int32()))
+    fields, written, before = [], [], np.ones(len(tokens[0][1]), np.int64)
+    for side, (ids, sizes) in zip(sides, tokens, strict=True):
+        bounds, lengths = _sums(sizes), side.lengths[ids]
+        ends, digits = _sums(lengths), _sums(side.digits[ids])
+        text = b"".join(map(side.decimal.__getitem__, ids.tolist()))
+        written.append([text[i:j] for i, j in pairwise(digits[bounds].tolist())])
+        at = ends[bounds]
+        places, heads = at + np.arange(len(at)), at[:-1]
+        stops = (digits[1:] + np.repeat(before - digits[bounds[:-1]], sizes)).astype(np.int32)
+        fields += [lists(bounds, ends[1:] - np.repeat(heads, sizes)), lists(places, np.insert(np.repeat(ids, lengths), heads, 0)), lists(places, np.insert(np.repeat(stops, lengths), heads, before))]
+        before = before + np.diff(digits[bounds])
+    return [*fields, pa.array([x + y for x, y in zip(*written, strict=True)], pa.binary())]
 
 
 def tokens_of(docs: DataFrame, a_file: str, b_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Blocks of texts: parts, an array of (a, a_end, b, b_end), the ids and byte ends of both sides' tokens of each distinct part; texts, an array of (key, n_a, n_b, parts), for each text the places of its parts.
+    """Blocks of texts: parts, an array of PART, the tokens of both sides of each distinct part; texts, an array of (key, n_a, n_b, parts), for each text the places of its parts.
 
     A text is read with a blank before it. A null or empty one has no parts, and so has one that a tokenizer
     doesn't give back byte by byte. Special tokens' names within a text are text. Whole texts, one for each row of docs.
@@ -172,7 +214,6 @@ def tokens_of(docs: DataFrame, a_file: str, b_file: str, key: str = "doc_id", te
     schema = T.StructType([T.StructField("parts", T.ArrayType(PART, False), False), T.StructField("texts", T.ArrayType(text_type, False), False)])
 
     def block(keys: pa.Array, texts: list[str | None], parts: Parts) -> pa.RecordBatch:
-        lengths = [side.lengths for side in parts.sides]
         cut = [parts.parts(x) for x in texts]
         distinct = list(dict.fromkeys(chain.from_iterable(cut)))
         parts.learn(distinct)
@@ -182,24 +223,21 @@ def tokens_of(docs: DataFrame, a_file: str, b_file: str, key: str = "doc_id", te
         place = dict(zip(distinct, range(len(distinct)), strict=True))
         offsets = np.cumsum([0, *map(len, cut)], dtype=np.int32)
         places = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int32, offsets[-1])
-        fields, numbers = [], []
-        for side in (0, 1):
-            raw = [x[side] if x else b"" for x in known]
+        tokens, numbers = [], []
+        for k in (0, 1):
+            raw = [x[k] if x else b"" for x in known]
             ids, sizes = np.frombuffer(b"".join(raw), np.int32), np.array(list(map(len, raw)), np.int64) // 4
-            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(lengths[side][ids], dtype=np.int64)])
-            at = pa.array(bounds, pa.int32())
-            fields += [pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array((ends[1:] - np.repeat(ends[bounds[:-1]], sizes)).astype(np.int32)))]
-            total = np.concatenate([[0], np.cumsum(sizes[places])])
+            tokens.append((ids, sizes))
+            total = _sums(sizes[places])
             numbers.append(pa.array(total[offsets[1:]] - total[offsets[:-1]], pa.int64()))
-            parts_of = pa.StructArray.from_arrays(fields, PART.names) if side else None
+        parts_of = pa.StructArray.from_arrays(part_fields(parts.sides, tokens), PART.names)
         texts_of = pa.StructArray.from_arrays([keys, *numbers, pa.ListArray.from_arrays(pa.array(offsets), pa.array(places))], ["key", "n_a", "n_b", "parts"])
         whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         parts.forget(distinct)
         return pa.RecordBatch.from_arrays([whole(parts_of), whole(texts_of)], names=["parts", "texts"])
 
     def tokenised(batches):
-        parts = Parts(*tokenizers(a_file, b_file))
+        parts = parts_of(a_file, b_file)
         for batch in batches:
             column, start = batch.column("text"), 0
             sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
@@ -219,40 +257,34 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def token_at(ends: Column) -> Column:
-    """For each byte the place of the token that holds it."""
-    return F.flatten(F.transform(ends, lambda e, k: F.array_repeat(k, e - F.coalesce(F.get(ends, k - 1), F.lit(0)))))
+def groups(part: Column, put, together=lambda x: x) -> Column:
+    """together of an array of put(start, end) for each group of a part, in order: its bytes lie between one common end of tokens and the next."""
+    return let(F.array_intersect(part["a_end"], part["b_end"]), lambda ends: let(F.concat(F.array(F.lit(0)), ends), lambda starts: together(F.transform(ends, lambda end, k: put(F.get(starts, k), end)))))
 
 
-def groups(a_at: Column, b_at: Column, a: Column, b: Column, common: Column, put) -> Column:
-    """put(a's tokens, b's tokens) for each group, in order: the tokens between one common end and the next. a, b: one value a token."""
+def links(part: Column, put) -> Column:
+    """put(id of a's token, id of b's token) for each two of a part that overlap, in the order of their bytes."""
+    return F.transform(F.sort_array(F.array_union(part["a_end"], part["b_end"])), lambda e: put(F.get(part["a_id"], e), F.get(part["b_id"], e)))
 
-    def part(values: Column, at: Column, k: Column, end: Column) -> Column:
-        first = F.when(k == 0, F.lit(0)).otherwise(F.get(at, F.get(common, k - 1)))
-        return F.slice(values, first + 1, F.get(at, end - 1) - first + 1)
 
-    return F.transform(common, lambda end, k: put(part(a, a_at, k, end), part(b, b_at, k, end)))
+def group_text(part: Column) -> Column:
+    """A part's groups as `a1,a2|b1;a3|b2,b3`."""
 
+    def written(text: Column) -> Column:
+        def ids(side: str, start: Column, end: Column) -> Column:
+            at = part[f"{side}_from"]
+            return F.substring(text, F.get(at, start), F.get(at, end) - F.get(at, start) - 1)
 
-def links(a_at: Column, b_at: Column, a_end: Column, b_end: Column, put) -> Column:
-    """put(place of a's token, place of b's token) for each two that overlap, in the order of their bytes."""
-    return F.transform(F.sort_array(F.array_union(a_end, b_end)), lambda e: put(F.get(a_at, e - 1), F.get(b_at, e - 1)))
+        return groups(part, lambda start, end: F.concat(ids("a", start, end), F.lit(b"|"), ids("b", start, end)).cast("string"), lambda x: F.array_join(x, ";"))
 
-
-def of_part(part: Column, use_group, use_link, together) -> Column:
-    """together(groups, links) of one part: use_group(a's values, b's values) for each group of its tokens, use_link(a's place, b's place) for each link."""
-    a_end, b_end = part["a_end"], part["b_end"]
-
-    def made(p: Column, q: Column) -> Column:
-        return let(F.array_intersect(a_end, b_end), lambda common: together(groups(p, q, part["a"], part["b"], common, use_group), links(p, q, a_end, b_end, use_link)))
-
-    return let(token_at(a_end), lambda p: let(token_at(b_end), lambda q: made(p, q)))
+    return let(part["digits"], written)
 
 
 def align(blocks: DataFrame) -> DataFrame:
     """For each text of blocks (of tokens_of) a row: key, n_a, n_b, groups, an array of (a, b) arrays of ids, and links, an array of (a, b) ids."""
     as_struct = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
-    one = lambda part: of_part(part, as_struct, lambda i, j: as_struct(F.get(part["a"], i), F.get(part["b"], j)), lambda g, k: F.struct(g.alias("groups"), k.alias("links")))
+    of = lambda part, side, start, end: F.transform(F.filter(part[f"{side}_end"], lambda e: (e > start) & (e <= end)), lambda e: F.get(part[f"{side}_id"], e))
+    one = lambda part: F.struct(groups(part, lambda start, end: as_struct(of(part, "a", start, end), of(part, "b", start, end))).alias("groups"), links(part, as_struct).alias("links"))
     listed = lambda made, text, field: F.flatten(F.transform(text["parts"], lambda i: F.get(made, i)[field])).alias(field)
     texts = let(F.transform(blocks["parts"], one), lambda made: F.transform(blocks["texts"], lambda x: F.struct(x["key"].alias("key"), x["n_a"].alias("n_a"), x["n_b"].alias("n_b"), listed(made, x, "groups"), listed(made, x, "links"))))
     return blocks.select(F.inline(texts))
@@ -269,18 +301,15 @@ def digests(blocks: DataFrame, bits: int, kind: str) -> DataFrame:
 
     The groups are digested as `a1,a2|b1;a3|b2,b3`; a text without tokens has zeros and an empty digest.
     """
-    comma = lambda x: F.array_join(F.transform(x, lambda i: i.cast("string")), ",")
-    text = lambda x, y: F.concat(comma(x), F.lit("|"), comma(y))
-    pair = lambda part: lambda i, j: F.shiftleft(F.get(part["a"], i).cast(kind), bits) + F.get(part["b"], j)
-    one = lambda part: of_part(part, text, pair(part), lambda g, k: F.struct(F.array_join(g, ";").alias("text"), k.alias("pairs")))
-
-    def of_text(made: Column, x: Column) -> Column:
-        words = F.array_join(F.transform(x["parts"], lambda i: F.get(made, i)["text"]), ";")
-        pairs = F.sort_array(F.flatten(F.transform(x["parts"], lambda i: F.get(made, i)["pairs"])))
-        sha = F.when(F.size(x["parts"]) > 0, F.sha2(words.cast("binary"), 256)).otherwise("")
-        return F.struct(x["key"].alias("key"), x["n_a"].alias("n_a"), x["n_b"].alias("n_b"), sha.alias("groups_sha256"), pairs.alias("linked"))
-
-    texts = let(F.transform(blocks["parts"], one), lambda made: F.transform(blocks["texts"], lambda x: of_text(made, x)))
+    pair = lambda i, j: F.shiftleft(i.cast(kind), bits) + j
+
+    def of_text(words: Column, pairs: Column, x: Column) -> Column:
+        of = lambda made: F.transform(x["parts"], lambda i: F.get(made, i))
+        sha = F.when(F.size(x["parts"]) > 0, F.sha2(F.array_join(of(words), ";").cast("binary"), 256)).otherwise("")
+        return F.struct(x["key"].alias("key"), x["n_a"].alias("n_a"), x["n_b"].alias("n_b"), sha.alias("groups_sha256"), F.sort_array(F.flatten(of(pairs))).alias("linked"))
+
+    made = lambda one: F.transform(blocks["parts"], one)
+    texts = let(made(group_text), lambda words: let(made(lambda part: links(part, pair)), lambda pairs: F.transform(blocks["texts"], lambda x: of_text(words, pairs, x))))
     rows = blocks.select(F.inline(texts)).withColumn("n_links", F.size("linked").cast("long"))
     return rows.withColumn("n_groups", F.col("n_a") + F.col("n_b") - F.col("n_links"))
 

@@ -78,3 +78,25 @@ def test_empty_and_null_keys(spark, docs):
     assert ta.alignment_counts(docs.limit(0), A_FILE, B_FILE).count() == 0
     rows = spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")
     assert [(r.doc_id, r.n_groups, r.count_sum) for r in ta.alignment_counts(rows, A_FILE, B_FILE).collect()] == [(None, 2, 4)] * 2
+
+
+def test_parts_of_the_last_blocks_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(ta, "CACHE_PARTS", 6)
+    parts = ta.Parts(*ta.tokenizers(A_FILE, B_FILE))
+    parts.learn([" one", " two", " three", " four", " five", " six", " seven"])
+    before = parts.sides[0].encode_parts
+    asked = []
+    monkeypatch.setattr(ta.ByteTokenizer, "encode_parts", lambda self, new: asked.extend(new) or before(new))
+    parts.learn([" two", " eight"])
+    assert asked == [" eight"] and parts.known.keys() == {" two", " eight"}
+
+
+def test_a_part_names_the_ids_at_each_byte(spark):
+    one = spark.createDataFrame([(7, "wonderful")], "doc_id long, text string")
+    part = ta.tokens_of(one, A_FILE, B_FILE).first().parts[0]
+    a_side, b_side = ta.tokenizers(A_FILE, B_FILE)
+    a, b = a_side.encode([" wonderful"])[0], b_side.encode(["wonderful"])[0]
+    assert bytes(part.digits).decode() == "".join(f"{i}," for i in [*a, *b])
+    for ids, ends, held, starts, side in ((a, part.a_end, part.a_id, part.a_from, a_side), (b, part.b_end, part.b_id, part.b_from, b_side)):
+        assert ends == list(accumulate(len(side.bytes[i]) for i in ids)) and held == [0, *(i for i in ids for _ in side.bytes[i])]
+        assert [bytes(part.digits)[starts[s] - 1 : starts[e] - 2].decode() for s, e in zip([0, *ends[:-1]], ends, strict=True)] == list(map(str, ids))
