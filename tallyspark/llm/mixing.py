@@ -8,6 +8,9 @@ In that metric the gradient's Lipschitz constant is 1, so accelerated projected
 are r' = max(0, y - A' W (A y - T)), y' = r' + b (r' - r), from y = r = 1. Each step is one distributed sum
 (A y follows from the sums A r); a document's rate follows from its own row of A and the short list of
 multipliers W (A y - T) of the steps so far, so no vector of rates is ever gathered.
+
+Where shares are only ceilings, T is the mix within them that is nearest to A y in that metric: half the squared
+distance to a convex set has the gradient W (A y - T) and the same Lipschitz constant.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -108,21 +112,44 @@ class Fit:
     steps: list[tuple[list[float], float]] = field(default_factory=list)  # multipliers, and momentum after the step
     misses: list[float] = field(default_factory=list)
 
-    def rate(self, n_tokens: Column, p: Column) -> Column:
-        """The fitted rate of a document, from its own tokens and posteriors."""
+    def least(self, p: Column) -> Column:
+        """The least rate that a document may have."""
+        return F.lit(0.0) if self.keep is None else F.when(F.element_at(p, 1) >= self.keep, 1.0).otherwise(0.0)
+
+    def state(self, n_tokens: Column, p: Column, since: int = 0, start: Column | None = None) -> Column:
+        """A document's rate r and where its next step begins (y), by the steps since the one at which they were start."""
+        start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")) if start is None else start
+        if len(self.steps) == since:
+            return start
         a = F.transform(p, lambda q: q * n_tokens.cast("double") / F.lit(self.unit))
-        if not self.steps:
-            return F.lit(1.0)
-        history = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in m]).alias("m"), F.lit(b).alias("b")) for m, b in self.steps])
-        least = F.lit(0.0) if self.keep is None else F.when(F.element_at(p, 1) >= self.keep, 1.0).otherwise(0.0)
+        history = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in m]).alias("m"), F.lit(b).alias("b")) for m, b in self.steps[since:]])
 
         def step(state: Column, h: Column) -> Column:
             moved = F.aggregate(F.zip_with(a, h["m"], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-            r = F.greatest(least, state["y"] - moved)
+            r = F.greatest(self.least(p), state["y"] - moved)
             r = r if self.most is None else F.least(F.lit(self.most), r)
             return F.struct(r.alias("r"), (r + h["b"] * (r - state["r"])).alias("y"))
 
-        return F.aggregate(history, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step, lambda state: state["r"])
+        return F.aggregate(history, start, step)
+
+    def rate(self, n_tokens: Column, p: Column) -> Column:
+        """The fitted rate of a document, from its own tokens and posteriors."""
+        return self.state(n_tokens, p)["r"] if self.steps else F.lit(1.0)
+
+
+def within_ceilings(totals: np.ndarray, gram: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    """The point with rules @ point <= 0 that is nearest to totals in the metric of gram's inverse: it lies on a face of those, which are few."""
+    points = []
+    for face in chain.from_iterable(combinations(range(len(rules)), n) for n in range(len(rules) + 1)):
+        c = rules[list(face)]
+        pull = np.linalg.pinv(c @ gram @ c.T) @ (c @ totals)
+        point = totals - gram @ c.T @ pull
+        points.append((float((rules @ point).max(initial=1e-9)), float(pull @ (c @ gram @ c.T) @ pull), point))
+    return min(points, key=lambda x: x[:2])[2]
+
+
+#: So many steps are replayed for a document in each sum; earlier ones are kept as its state in a stored table.
+REPLAYED = 32
 
 
 def fit_rates(memberships: DataFrame, shares: dict[str, float], budget: float = 1.0, most_steps: int = 100, patience: int = 16, tolerance: float = 1e-3, keep: float | None = None, most: float | None = None, ceilings: tuple[str, ...] = ()) -> Fit:
@@ -130,19 +157,22 @@ def fit_rates(memberships: DataFrame, shares: dict[str, float], budget: float =
 
     shares: the share of all expected tokens that each domain is to have, summing to 1; budget: expected
     tokens as a multiple of those there are. Ends when each domain's total is within tolerance of its
-    target, relative to the budget, which misses[-1] tells; also when patience steps brought the largest miss no nearer,
-    as where the bounds on rates put a target out of reach, or after most_steps, and then warns; keep projects onto rates of at least 1 for documents
+    target, relative to the budget, which misses[-1] tells. keep projects onto rates of at least 1 for documents
     of the first domain instead of 0, so targets below what they hold are not reached; most projects onto rates
-    up to it. With ceilings, the shares of those domains are only upper bounds: the other domains keep what they
-    hold, and a ceiling's domain is brought to its share beside them or stays at what it holds if that is less.
+    up to it. With ceilings, the shares of those domains are upper bounds of theirs, and the other domains and the budget
+    are free; if all documents have the same posteriors, as without labels, no rates change a share, and all are 1.
+    With most, a target that the bounds put out of reach is told by a warning, once the miss is proven to be within tolerance of
+    the least that any rates reach; there is no limit of steps. Without most, where the nearest may need rates without bound, the fit also ends when
+    patience steps brought the largest miss no nearer, or after most_steps, and then warns.
     An empty table or one without tokens: all rates 1.
     """
     k = len(DOMAINS)
     if abs(sum(shares.get(d, 0.0) for d in DOMAINS) - 1) > 1e-9 or set(shares) - set(DOMAINS):
         raise ValueError(f"shares of {DOMAINS} that sum to 1 are needed")
+    rows, start, since = memberships.select("n_tokens", "p"), None, 0
     n, p = F.col("n_tokens").cast("double"), [F.element_at("p", i + 1) for i in range(k)]
     grams = [(i, j) for i in range(k) for j in range(i, k)]
-    row = memberships.agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("rows"), *[F.sum(n * q).alias(f"t{i}") for i, q in enumerate(p)], *[F.sum(n * n * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in grams]).first()
+    row = rows.agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("rows"), *[F.sum(n * q).alias(f"t{i}") for i, q in enumerate(p)], *[F.sum(n * n * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in grams]).first()
     if not row["n"]:
         return Fit(1.0)
     total = float(row["n"])
@@ -151,30 +181,46 @@ def fit_rates(memberships: DataFrame, shares: dict[str, float], budget: float =
     for i, j in grams:
         gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] / total**2
     metric = np.linalg.pinv(gram, rcond=1e-10)
-    target = np.array([shares.get(d, 0.0) for d in DOMAINS]) * budget
+    goal = np.array([shares.get(d, 0.0) for d in DOMAINS])
+    rules = np.array([np.eye(k)[i] - goal[i] for i, d in enumerate(DOMAINS) if d in ceilings]).reshape(-1, k)
+
+    def target(totals: np.ndarray) -> np.ndarray:
+        return within_ceilings(totals, gram, rules) if ceilings else goal * budget
+
     now = np.array([row[f"t{i}"] for i in range(k)]) / total
-    if ceilings:
-        free = [i for i, d in enumerate(DOMAINS) if d not in ceilings]
-        unit = now[free].sum() / max(sum(shares.get(DOMAINS[i], 0.0) for i in free), 1e-9)
-        target = np.array([now[i] if i in free else min(now[i], shares.get(d, 0.0) * unit) for i, d in enumerate(DOMAINS)])
-    at, t = now, 1.0  # the totals of y, and the momentum's sequence
-    for _ in range(most_steps):
-        fitted.misses.append(float(np.abs(now - target).max()))
-        if fitted.misses[-1] <= tolerance * budget:
+    fixed = bool(ceilings) and np.linalg.matrix_rank(gram, tol=1e-12 * np.trace(gram)) < 2
+    at, t, far = now, 1.0, []  # the totals of y, the momentum's sequence and half the squared distances
+    while True:
+        off = now - target(now)
+        pull = metric @ off
+        fitted.misses.append(float(np.abs(off).max()))
+        far.append(float(off @ pull) / 2)
+        if fitted.misses[-1] <= tolerance * budget or fixed:
             break
-        if len(fitted.misses) > patience and min(fitted.misses[-patience:]) > 0.99 * min(fitted.misses[:-patience]):
+        if most is None and (len(fitted.steps) >= most_steps or len(fitted.misses) > patience and min(fitted.misses[-patience:]) > 0.99 * min(fitted.misses[:-patience])):
             break
-        if len(fitted.misses) > 1 and fitted.misses[-1] > fitted.misses[-2]:
+        if len(far) > 1 and far[-1] > far[-2]:
             t = 1.0  # the momentum overshot
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         momentum = float((t - 1) / after)
-        fitted.steps.append(((metric @ (at - target)).tolist(), momentum))
-        rate = fitted.rate(F.col("n_tokens"), F.col("p"))
-        sums = memberships.withColumn("__r", rate).agg(*[F.sum(F.col("__r") * n * q).alias(f"t{i}") for i, q in enumerate(p)]).first()
+        if len(fitted.steps) - since == REPLAYED:
+            before, rows = rows, stored(rows.select("n_tokens", "p", fitted.state(F.col("n_tokens"), F.col("p"), since, start).alias("state")), "rates")
+            start, since = F.col("state"), len(fitted.steps)
+            if since > REPLAYED:
+                drop_stored(before)
+        fitted.steps.append(((metric @ (at - target(at))).tolist(), momentum))
+        # no rates within the bounds lower the pull's product with the totals beyond this sum
+        slope = sum(F.lit(float(v)) * n * q / F.lit(total) for v, q in zip(pull, p, strict=True))
+        floor = F.sum(F.least(fitted.least(F.col("p")) * slope, F.lit(most) * slope)) if most is not None else F.lit(None)
+        sums = rows.withColumn("__r", fitted.state(F.col("n_tokens"), F.col("p"), since, start)["r"]).agg(*[F.sum(F.col("__r") * n * q).alias(f"t{i}") for i, q in enumerate(p)], floor.alias("floor")).first()
+        # the half squared distance is above its least by the difference at most, and the miss, in the metric, from the least's by the root of twice that
+        if most is not None and np.sqrt(2 * max(0.0, float(pull @ now) - sums["floor"]) * gram.max()) <= tolerance * budget:
+            fitted.steps.pop()
+            break
         before, now, t = now, np.array([sums[f"t{i}"] for i in range(k)]) / total, after
         at = now + momentum * (now - before)
-    else:
-        fitted.misses.append(float(np.abs(now - target).max()))
+    if since:
+        drop_stored(rows)
     if fitted.misses[-1] > tolerance * budget:
         warnings.warn(f"the rates miss a target by {fitted.misses[-1]:.4f} of all tokens after {len(fitted.steps)} steps", stacklevel=2)
     return fitted
